@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .pretokens import WORD_SPLIT, Coder, library_words, loaded, open_tokenizer, per_text, tokenizer_text
+from .pretokens import WORD_SPLIT, Coder, library_words, loaded, open_tokenizer, tokenizer_text
 from .common import blocks, map_arrow
 
 
@@ -42,7 +42,7 @@ class Counter:
     def __init__(self, text: str):
         tokenizer = open_tokenizer(text)
         merge = library_words(tokenizer)
-        self.coder = Coder(tokenizer, WORD_SPLIT, lambda words: (merge(words)[0], np.zeros(0, np.uint32)), keep_space=False)
+        self.coder = Coder(tokenizer, WORD_SPLIT, lambda words: (merge(words)[0], np.zeros(0, np.uint32)), keep_space=False, keep_ids=False)
         self.whole = whole_tokens(tokenizer)
         clear = self.coder.clear
 
@@ -54,8 +54,7 @@ class Counter:
         refill()
 
     def count(self, texts: list[str | None]) -> np.ndarray:
-        codes, counts = self.coder.codes(texts)
-        return per_text(self.coder.size.data[codes], counts)
+        return self.coder.count(texts)
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, tokenizer_path: str | None = None) -> DataFrame:

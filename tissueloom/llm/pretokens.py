@@ -1,8 +1,8 @@
 """Pre-tokens of the two tokenizer files, coded once per distinct pre-token.
 
-A text is split into pre-tokens, each distinct pre-token is encoded once, and a text's ids are gathered
-from a table by code.  The table is a cache: it is emptied when it reaches ``LIMIT`` entries, which costs
-time and never changes a result.
+A text is cut into units and these into pre-tokens, each distinct one is encoded once, and a text's ids are
+gathered from a table by code.  The tables are caches: they are emptied when there are ``LIMIT`` units, which
+costs time and never changes a result.
 """
 
 from __future__ import annotations
@@ -13,12 +13,18 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import regex
 
-LIMIT = 400_000
+LIMIT = 700_000
 BYTE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: The same over units joined by a mark that no pre-token holds (in bytes a lone surrogate, which no text has); it is a match of its own.
+BYTE_MARKED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\ud800]+|\s+(?![^\s\ud800])|\s+|\ud800")
+WORD_MARKED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
 #: Outside these ranges Unicode versions of Python and of the library may differ; such texts take the library's own path.
 _UNSURE = regex.compile("[^\u0000-ͷ΄-ԩऀ-ॣḀ-ỿ -⁤₠-₿←-⏾①-⭳ぁ-ゖァ-ヿ一-鿪가-힣︰-﹒！-ﾾ\U0001f300-\U0001f64f]")
 
+_SPACE_RUN = regex.compile(r" (?:\s|$|[\x1c-\x1f])")
+_SEPARATORS = regex.compile(r"[\x1c-\x1f]")
+
 
 class Grown:
     """An array that grows at its end."""
@@ -44,20 +50,29 @@ def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    """Texts to ids through a table of distinct pre-tokens."""
+    """Texts to ids through tables of distinct units and distinct pre-tokens.
+
+    A text is first cut into units at spaces, where that cannot change its pre-tokens; otherwise its
+    pre-tokens are its units.  A unit met for the first time is cut into pre-tokens, and a pre-token met for
+    the first time is encoded.
+    """
 
-    def __init__(self, tokenizer, split, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], keep_space: bool):
-        self.tokenizer, self.split, self.encode, self.keep_space = tokenizer, split, encode, keep_space
+    def __init__(self, tokenizer, split, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], keep_space: bool, keep_ids: bool = True):
+        self.tokenizer, self.split, self.encode, self.keep_space, self.keep_ids = tokenizer, split, encode, keep_space, keep_ids
+        self.mark, self.marked = ("\ud800", BYTE_MARKED) if keep_space else ("\n", WORD_MARKED)
         self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.on_special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code: dict = {}
         self.start, self.size, self.flat = Grown(np.int64), Grown(np.int64), Grown(np.uint32)
-        self.put([f"\0{s}" for s in self.special], np.ones(len(self.special), np.int64), np.array(list(self.special.values()), np.uint32))
+        self.unit: dict = {}
+        self.unit_start, self.unit_size, self.unit_flat = Grown(np.int64), Grown(np.int64), Grown(np.uint32)
+        self.put([self.mark], np.zeros(1, np.int64), np.zeros(0, np.uint32))
+        self.put([("special", s) for s in self.special], np.ones(len(self.special), np.int64), np.array(list(self.special.values()), np.uint32))
 
-    def put(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+    def put(self, words: list, sizes: np.ndarray, ids: np.ndarray) -> None:
         self.code.update(zip(words, range(len(self.code), len(self.code) + len(words))))
         self.start.add(self.flat.n + np.cumsum(sizes) - sizes)
         self.size.add(sizes)
@@ -77,39 +92,96 @@ class Coder:
             return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return self.split.findall(text)
 
-    def pretokens(self, text: str) -> list[str]:
-        if "<" not in text or not self.special or not self.on_special.search(text):
-            return self.plain(text)
-        out: list[str] = []
-        for part in self.on_special.split(text):
-            if part in self.special:
-                out.append(f"\0{part}")
-            elif part:
-                out += self.plain(part)
-        return out
+    def units(self, text: str) -> list:
+        if "<" in text and self.special and self.on_special.search(text):
+            out: list = []
+            for part in self.on_special.split(text):
+                if part in self.special:
+                    out.append(("special", part))
+                elif part:
+                    out += [("piece", p) for p in self.plain(part)]
+            return out
+        if self.keep_space:
+            # a space that is followed by no white space begins a pre-token, whatever stands before it
+            if _SPACE_RUN.search(text):
+                return [("piece", p) for p in self.plain(text)]
+            out = text.split(" ")
+            out[0] = ("first", out[0])
+            return out
+        if _SEPARATORS.search(text):  # white space to str.split, but not to the pattern
+            return [("piece", p) for p in self.plain(text)]
+        return text.split()
+
+    def pieces(self, unit) -> list:
+        if isinstance(unit, str):
+            return self.plain(" " + unit) if self.keep_space else self.plain(unit)
+        kind, text = unit
+        if kind == "special":
+            return [unit]
+        return [text] if kind == "piece" else self.plain(text)
+
+    def cut(self, units: list) -> list:
+        """The pre-tokens of all units, with the mark after each unit's."""
+        plain = " ".join(units) if all(type(u) is str for u in units) else None
+        if plain is None or not plain.isascii() and _UNSURE.search(plain):
+            pieces = [self.pieces(u) for u in units]
+            return [p for ps in pieces for p in (*ps, self.mark)]
+        if self.keep_space:
+            joined = " " + (self.mark + " ").join(units)
+        elif plain.isascii():
+            joined = self.mark.join(units).lower()
+        else:
+            joined = unicodedata.normalize("NFC", self.mark.join(units)).replace("Σ", "σ").lower()
+        return [*self.marked.findall(joined), self.mark]
+
+    def learn(self, units: list) -> None:
+        plain = [u for u in units if type(u) is str]
+        if len(plain) != len(units):
+            self.learn([u for u in units if type(u) is not str]) if plain else self.add(units)
+            if not plain:
+                return
+        for at in range(0, len(plain), 50_000):
+            self.add(plain[at : at + 50_000])
+
+    def add(self, units: list) -> None:
+        flat = self.cut(units)
+        if new := list(set(flat).difference(self.code)):
+            self.put(new, *self.encode(new))
+        codes = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
+        sizes = self.size.data[codes]
+        ids = self.flat.data[gather(self.start.data[codes], sizes)] if self.keep_ids else np.zeros(0, np.uint32)
+        # the mark is code 0 and has no ids
+        own = per_text(sizes, np.diff(np.flatnonzero(codes == 0), prepend=-1))
+        self.unit.update(zip(units, range(len(self.unit), len(self.unit) + len(units))))
+        self.unit_start.add(self.unit_flat.n + np.cumsum(own) - own)
+        self.unit_size.add(own)
+        self.unit_flat.add(ids)
 
     def codes(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The code of each pre-token of all texts, and how many each text has."""
-        words: list[str] = []
+        """The code of each unit of all texts, and how many units each text has."""
+        all_units: list = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if t:
-                found = self.pretokens(t)
+                found = self.units(t)
                 counts[i] = len(found)
-                words += found
-        if len(self.code) > LIMIT:
+                all_units += found
+        if len(self.unit) > LIMIT:
             self.clear()
-        if new := list(set(words).difference(self.code)):
-            sizes, ids = self.encode(new)
-            self.put(new, sizes, ids)
-        return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words)), counts
+        if new := list(set(all_units).difference(self.unit)):
+            self.learn(new)
+        return np.fromiter(map(self.unit.__getitem__, all_units), np.int64, len(all_units)), counts
 
     def ids(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and how many each text has."""
         codes, counts = self.codes(texts)
-        sizes = self.size.data[codes]
-        ids = self.flat.data[gather(self.start.data[codes], sizes)]
-        return ids, per_text(sizes, counts)
+        sizes = self.unit_size.data[codes]
+        return self.unit_flat.data[gather(self.unit_start.data[codes], sizes)], per_text(sizes, counts)
+
+    def count(self, texts: Sequence[str | None]) -> np.ndarray:
+        """How many ids each text has."""
+        codes, counts = self.codes(texts)
+        return per_text(self.unit_size.data[codes], counts)
 
 
 def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
