@@ -43,41 +43,56 @@ def compress(symbols: np.ndarray, terminals: int, rounds: int = ROUNDS, least: i
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        code = seq[:-1] << 32 | seq[1:]
-        bucket = (code * -7046029254386353131) >> (64 - _BITS) & ((1 << _BITS) - 1)
-        counts = np.bincount(bucket, minlength=1 << _BITS)
-        floor = max(least, int(np.partition(counts, -2 * RULES_A_ROUND)[-2 * RULES_A_ROUND]))
-        free = (seq[:-1] != terminals - 1) & (seq[1:] != terminals - 1)
-        at = np.flatnonzero((counts >= floor)[bucket] & free)
-        pairs, n = np.unique(code[at], return_counts=True)
-        best = np.argsort(-n, kind="stable")[:RULES_A_ROUND]
+        code = seq[:-1] << 32
+        code |= seq[1:]
+        bucket = ((code * -7046029254386353131) >> (64 - _BITS)) & ((1 << _BITS) - 1)
+        end = seq == terminals - 1
+        bucket[end[:-1] | end[1:]] = 1 << _BITS
+        counts = np.bincount(bucket, minlength=(1 << _BITS) + 1)
+        counts[-1] = 0
+        heavy = np.flatnonzero(counts >= max(least, int(np.partition(counts, -2 * RULES_A_ROUND)[-2 * RULES_A_ROUND])))
+        rank = np.full(len(counts), -1, np.int32)
+        rank[heavy] = np.arange(len(heavy))
+        place = rank[bucket]
+        at = np.flatnonzero(place >= 0)
+        if not len(at):
+            break
+        place, found = place[at], code[at]
+        # one pair stands for a bucket; another that shares it waits for a later round
+        own = np.zeros(len(heavy), np.int64)
+        own[place] = found
+        same = own[place] == found
+        n = np.bincount(place[same], minlength=len(heavy))
+        name = np.full(len(heavy), -1, np.int64)
         lefts: set[int] = set()
         rights: set[int] = set()
-        taken = []
-        for p in pairs[best[n[best] >= least]].tolist():
+        taken: list[int] = []
+        for k in np.argsort(-n, kind="stable")[:RULES_A_ROUND].tolist():
+            if n[k] < least:
+                break
+            p = int(own[k])
             a, b = p >> 32, p & 0xFFFFFFFF
             if a in rights or b in lefts or (a == b and (a in lefts or b in rights)):
                 continue
             lefts.add(a)
             rights.add(b)
+            name[k] = terminals + len(rules) + len(taken)
             taken.append(p)
         if not taken:
             break
-        taken_codes = np.array(taken, np.int64)
-        order = np.argsort(taken_codes)
-        k = np.searchsorted(taken_codes[order], code[at])
-        k[k == len(taken)] = 0
-        hit = taken_codes[order][k] == code[at]
-        at, which = at[hit], order[k[hit]]
+        new = name[place]
+        hit = same & (new >= 0)
+        at, new = at[hit], new[hit]
         # matches at consecutive places come only from pairs of one symbol: take every other of a run
         fresh = np.ones(len(at), bool)
         fresh[1:] = at[1:] != at[:-1] + 1
-        run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        even = (np.arange(len(at)) - run) % 2 == 0
-        at, which = at[even], which[even]
-        first = terminals + len(rules)
-        rules = np.concatenate((rules, np.stack((taken_codes >> 32, taken_codes & 0xFFFFFFFF), 1)))
-        seq[at] = first + which
+        if not fresh.all():
+            run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            even = (np.arange(len(at)) - run) % 2 == 0
+            at, new = at[even], new[even]
+        pairs = np.array(taken, np.int64)
+        rules = np.concatenate((rules, np.stack((pairs >> 32, pairs & 0xFFFFFFFF), 1)))
+        seq[at] = new
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import regex
 
-LIMIT = 700_000
+LIMIT = 500_000
 BYTE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: The same over units joined by a mark that no pre-token holds (in bytes a lone surrogate, which no text has); it is a match of its own.
@@ -192,15 +192,25 @@ def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def library_words(tokenizer) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Encoder of distinct word pre-tokens by the tokenizers library itself."""
+    """Encoder of distinct word pre-tokens by the tokenizers library itself.
+
+    The words are normal and cut already, so its model gets them as they are, many in one string.
+    """
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel, Sequence as Steps, WhitespaceSplit
+
+    model = Tokenizer.from_str(tokenizer.to_str())
+    model.normalizer = None
+    model.pre_tokenizer = Steps([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+    model.encode_special_tokens = True
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes, ids = np.zeros(len(words), np.int64), []
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            got = tokenizer.encode(" ".join(part), add_special_tokens=False)
+            got = model.encode(" ".join(part), add_special_tokens=False)
             of = np.array(got.word_ids, np.int64)
-            if len(of) and of[-1] + 1 == len(part) or not part:
+            if len(of) and of[-1] + 1 == len(part):
                 sizes[at : at + len(part)] = np.bincount(of, minlength=len(part))
                 ids.append(np.array(got.ids, np.uint32))
             else:  # a pre-token that does not stand alone; encode each by itself

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, counts, grammar, jaccard, mixing, pii, quality, topk
+from . import bpe, classifier, counts, grammar, jaccard, mixing, pii, quality, repeats, topk
 from .common import table
 
 
@@ -48,10 +48,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS[:5], "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_compression_classifier, op3_ngram_jaccard, op4_pii_surrogates, op5_exact_topk, op6_grammar_ids, op7_bpe_round_trip, op8_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_compression_classifier, op3_ngram_jaccard, op4_pii_surrogates, op5_exact_topk, op6_grammar_ids, op7_bpe_round_trip, op8_token_counts, op9_suffix_repeats, op10_quality_rules)}
 
 ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE_SQL, "op3_ngram_jaccard": jaccard.ORACLE_SQL, "op5_exact_topk": topk.ORACLE_SQL, "op10_quality_rules": quality.ORACLE_SQL}
