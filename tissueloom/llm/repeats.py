@@ -31,6 +31,8 @@ from .suffixes import repeated_starts
 LENGTH = 400
 GRAM = 200
 BROADCAST_ROWS = 2_000_000
+#: Keys of a partition are sorted together up to so many bytes of text; one key is never split.
+SHARD_BYTES = 3_000_000
 
 
 def sliding(x: np.ndarray, w: int, function) -> np.ndarray:
@@ -177,32 +179,37 @@ def segments(src: DataFrame, asked: DataFrame, length: int, gram: int) -> DataFr
 
 
 def shards(parts: DataFrame, length: int) -> DataFrame:
-    """(u, n, a, b): spans of the strings that repeat within a shard, shards being the partitions by key."""
+    """(u, n, a, b): spans of the strings that repeat within a shard, a shard being some keys of a partition."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[tuple, tuple] = {}
-        for b in batches:
-            for key, u, n, at, raw in zip(*(b.column(k).to_pylist() for k in range(5))):
-                rows[key, u, at] = (key, u, n, at, raw)
-        if not rows:
-            return
+    def shard(rows: list[tuple]) -> pa.RecordBatch:
         # anchors of one text that lie close give overlapping pieces; a place must stand in the shard once
         pieces: list[list] = []
-        for _, u, n, at, raw in sorted(rows.values(), key=lambda r: (r[1], r[2], r[3])):
+        for _, u, n, at, raw in sorted(rows, key=lambda r: (r[1], r[2], r[3])):
             last = pieces[-1] if pieces else None
-            if last and last[0] == u and last[1] == n and at <= last[2] + len(last[3]):
-                extra = at + len(raw) - last[2] - len(last[3])
+            if last and last[0] == u and last[1] == n and at <= last[2] + last[4]:
+                extra = at + len(raw) - last[2] - last[4]
                 if extra > 0:
-                    last[3] += raw[len(raw) - extra :]
+                    last[3].append(raw[len(raw) - extra :])
+                    last[4] += extra
             else:
-                pieces.append([u, n, at, raw])
-        out = []
-        for piece, lo, hi in repeated_starts([p[3] for p in pieces], length):
-            u, n, at, _ = pieces[piece]
-            out.append((u, n, at + lo, at + hi + length))
-        if out:
-            u, n, a, b = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(n, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["u", "n", "a", "b"])
+                pieces.append([u, n, at, [raw], len(raw)])
+        out = [(pieces[p][0], pieces[p][1], pieces[p][2] + lo, pieces[p][2] + hi + length) for p, lo, hi in repeated_starts([b"".join(p[3]) for p in pieces], length)]
+        u, n, a, b = zip(*out) if out else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(n, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["u", "n", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # copies of a text ask for the same pieces
+        rows = {(key, u, at): (key, u, n, at, raw) for b in batches for key, u, n, at, raw in zip(*(b.column(k).to_pylist() for k in range(5)))}
+        held, size, last = [], 0, None
+        for row in sorted(rows.values(), key=lambda r: r[0]):
+            if size >= SHARD_BYTES and row[0] != last:
+                yield shard(held)
+                held, size = [], 0
+            held.append(row)
+            size += len(row[4])
+            last = row[0]
+        if held:
+            yield shard(held)
 
     return map_arrow(parts.repartition("key"), run, "u long, n int, a int, b int")
 
