@@ -223,6 +223,26 @@ def repeated_spans(src: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     return met.filter("kind = 0").select("u", "n", "a", "b").union(found).union(copies)
 
 
+def merged(spans: DataFrame) -> DataFrame:
+    """(u, n, spans): the spans of each text as disjoint runs in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b.column(k).to_numpy() for k in range(4)] for b in batches if b.num_rows]
+        if not got:
+            return
+        u, n, a, b = (np.concatenate(x) for x in zip(*got))
+        order = np.lexsort((a, n, u))
+        u, n, a, b = u[order], n[order], a[order].astype(np.int64), b[order].astype(np.int64)
+        text = np.cumsum(np.concatenate(([0], (u[1:] != u[:-1]) | (n[1:] != n[:-1])))) << 32
+        reach = np.maximum.accumulate(text + b)
+        new = np.concatenate(([True], (text + a)[1:] > reach[:-1]))
+        at = np.flatnonzero(new)
+        yield pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(n[at]), pa.array(a[at].astype(np.int32)), pa.array((np.maximum.reduceat(text + b, at) - text[at]).astype(np.int32))], names=["u", "n", "a", "b"])
+
+    runs = map_arrow(spans.distinct().repartition("u", "n"), run, "u long, n int, a int, b int")
+    return runs.groupBy("u", "n").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+
+
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     """(bytes removed, maximal runs removed, what is left)."""
     out, removed, runs, at = [], 0, 0, 0
@@ -248,9 +268,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     not carried.
     """
     src = _text(docs, id_col, text_col)
-    spans = materialize(repeated_spans(src, length, length // 2).distinct(), "spans")
-    lists = spans.groupBy("u", "n").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    joined = src.join(F.broadcast(lists) if spans.count() <= BROADCAST_ROWS else lists, ["u", "n"], "left").select("id", "text", "spans")
+    lists = materialize(merged(repeated_spans(src, length, length // 2)), "spans")
+    few = (lists.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS
+    joined = src.join(F.broadcast(lists) if few else lists, ["u", "n"], "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
