@@ -111,7 +111,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
 
 
 def index(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Prefix index rows (spread, token, cls, hub).
+    """Prefix index rows (spread, token, cls, n, hub, hub_n).
 
     Within a block, a token of several classes gives a star at once, and only its hub goes on, so no token
     reaches a task more often than there are blocks.  hub: null for rows yet to be grouped by token, the
@@ -121,16 +121,17 @@ def index(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> Da
     def run(batches):
         for _, sets in _sets_of(batches, words):
             own = {fingerprint(s): s for s in sets if len(s) > 1}
-            parts, names = [], []
+            parts, names, sizes = [], [], []
             for c, s in own.items():
                 p = ordered(s, frequent)[0][: len(s) - needed(len(s), percent) + 1]
                 parts.append(p)
                 names.append(np.full(len(p), c, np.int64))
+                sizes.append(np.full(len(p), len(s), np.int32))
             if not parts:
                 continue
-            token, cls = np.concatenate(parts), np.concatenate(names)
+            token, cls, n = np.concatenate(parts), np.concatenate(names), np.concatenate(sizes)
             order = np.lexsort((cls, token))
-            token, cls = token[order], cls[order]
+            token, cls, n = token[order], cls[order], n[order]
             start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             size = np.diff(np.append(start, len(token)))
             hub = np.repeat(cls[start], size)
@@ -138,38 +139,38 @@ def index(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> Da
             is_hub = np.zeros(len(token), bool)
             is_hub[start] = True
             spread = np.where(local & ~is_hub, cls ^ signed(token), signed(token))
-            hubs = pa.array(hub, mask=~local)
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(signed(token)), pa.array(cls), hubs], names=["spread", "token", "cls", "hub"])
+            hubs, hub_n = pa.array(hub, mask=~local), pa.array(np.repeat(n[start], size), mask=~local)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(signed(token)), pa.array(cls), pa.array(n), hubs, hub_n], names=["spread", "token", "cls", "n", "hub", "hub_n"])
 
-    return map_arrow(docs, run, "spread long, token long, cls long, hub long")
+    return map_arrow(docs, run, "spread long, token long, cls long, n int, hub long, hub_n int")
 
 
 def group(rows: DataFrame) -> DataFrame:
-    """(token, cls, hub) for tokens of two classes or more; rows must be dealt by ``spread``."""
+    """(token, cls, n, hub, hub_n) for tokens of two classes or more; rows must be dealt by ``spread``."""
 
     def run(batches):
-        got = [(b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).fill_null(0).to_numpy(), b.column(3).is_null().to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        got = [[b.column(k).fill_null(0).to_numpy() for k in range(1, 6)] + [b.column(4).is_null().to_numpy(zero_copy_only=False)] for b in batches if b.num_rows]
         if not got:
             return
-        token, cls, hub, open_ = (np.concatenate(x) for x in zip(*got))
+        token, cls, n, hub, hub_n, open_ = (np.concatenate(x) for x in zip(*got))
         waits = open_ | (hub == cls)
         done = ~waits
-        order = np.lexsort((cls[waits], token[waits]))
-        t, c, starred = token[waits][order], cls[waits][order], ~open_[waits][order]
+        order = np.flatnonzero(waits)
+        order = order[np.lexsort((cls[order], token[order]))]
+        t, c, m, starred = token[order], cls[order], n[order], ~open_[order]
+        h, hm = c, m
         if len(t):
             start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
             size = np.diff(np.append(start, len(t)))
             several = (c[start] != c[start + size - 1]) | (np.maximum.reduceat(starred, start))
             keep = np.repeat(several, size)
-            t, c, h = t[keep], c[keep], np.repeat(c[start], size)[keep]
-        else:
-            h = c
-        t, c, h = np.concatenate((token[done], t)), np.concatenate((cls[done], c)), np.concatenate((hub[done], h))
-        for at in range(0, len(t), 200_000):
-            part = slice(at, at + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(t[part]), pa.array(c[part]), pa.array(h[part])], names=["token", "cls", "hub"])
+            h, hm = np.repeat(c[start], size)[keep], np.repeat(m[start], size)[keep]
+            t, c, m = t[keep], c[keep], m[keep]
+        out = [np.concatenate((x[done], y)) for x, y in ((token, t), (cls, c), (n, m), (hub, h), (hub_n, hm))]
+        for at in range(0, len(out[0]), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in out], names=["token", "cls", "n", "hub", "hub_n"])
 
-    return map_arrow(rows.repartition("spread"), run, "token long, cls long, hub long")
+    return map_arrow(rows.repartition("spread"), run, "token long, cls long, n int, hub long, hub_n int")
 
 
 def class_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -184,13 +185,30 @@ def class_sets(docs: DataFrame, words: int) -> DataFrame:
     return map_arrow(docs, run, "cls long, n int, tokens array<long>")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose similarity is reached, by the exact sizes of their sets."""
-    one = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(one, "a").join(two, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    shared = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("shared"))
-    return shared.filter(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
+def _bounded(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it is small; otherwise left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def sets_of(classes: DataFrame, docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """(cls, n, tokens) of the wanted classes, from the text of one document each."""
+    ids = materialize(classes.join(reps, "cls").select("doc_id", "cls"), "wanted")
+    picked = docs.join(_bounded(ids.select("doc_id")), "doc_id", "left_semi")
+    # rows that repeat an id can hold other texts
+    return materialize(class_sets(picked, words).join(_bounded(ids.select("cls")), "cls", "left_semi"), "sets")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose similarity is reached, by the exact sizes of their sets.
+
+    Sets of b go to their pairs in place, and from there to a, so that each pair moves one set.
+    """
+    pairs = materialize(pairs, "pairs")
+    sets = sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), docs, reps, words)
+    two = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")).join(_bounded(pairs), "b")
+    one = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(_bounded(pairs.select("a").distinct()), "a", "left_semi")
+    shared = two.join(one, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("shared"))
+    return materialize(shared.filter(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b").distinct(), "links")
 
 
 def recombine(members: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -225,18 +243,31 @@ def recombine(members: DataFrame, percent: int, frequent: np.ndarray) -> DataFra
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(names))], names=["key", "cls"])
 
-    return map_arrow(members.select("cls", "tokens"), run, "key long, cls long")
+    return map_arrow(members.select("cls", "tokens"), run, "key long, cls long").distinct()
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
 
-def _across(rows: DataFrame, key: str) -> DataFrame:
-    """Distinct pairs of classes that share a key and are in different components; rows: (key, cls, root)."""
-    a = rows.select(key, F.col("cls").alias("a"), F.col("root").alias("ra"))
-    b = rows.select(key, F.col("cls").alias("b"), F.col("root").alias("rb"))
-    return a.join(b, key).filter("a < b AND ra <> rb").select("a", "b").distinct()
+def _across(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """Distinct pairs of classes of similar size that share a key and are in different components; rows: (key, cls, n, root)."""
+    a = rows.select(key, F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    b = rows.select(key, F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    return a.join(b, key).filter(f"a < b AND ra <> rb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+
+
+def plausible(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share enough; lists: (cls, n, tokens) of prefix tokens that could be shared.
+
+    Of two prefixes, say that of a ends first in the global order.  Its tokens that b lacks are missing from
+    the overlap, so with c shared prefix tokens the overlap is at most needed(a) - 1 + c, and it has to reach
+    percent / (100 + percent) of both sizes together.
+    """
+    one, two = (lists.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}")) for x in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b").withColumn("c", F.size(F.array_intersect("ta", "tb")))
+    most = f"greatest(({percent} * na + 99) DIV 100, ({percent} * nb + 99) DIV 100) - 1 + c"
+    return both.filter(f"{100 + percent} * ({most}) >= {percent} * (na + nb)").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -254,33 +285,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent = np.sort(np.array([r[0] for r in heavy.select("cls").toLocalIterator()], np.int64).view(U64))
     buckets = materialize(group(index(src, words, percent, frequent)), "buckets")
 
-    wanted = buckets.select("cls").union(buckets.select(F.col("hub").alias("cls"))).distinct()
     reps = rows.filter("n > 1").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    ids = materialize(wanted.join(reps, "cls").select("doc_id", "cls"), "wanted")
-    few = ids.count() <= BROADCAST_IDS
-    picked = src.join(F.broadcast(ids.select("doc_id")) if few else ids.select("doc_id"), "doc_id", "left_semi")
-    sets = materialize(class_sets(picked, words).join(F.broadcast(ids.select("cls")) if few else ids.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
-    tried = materialize(buckets.filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
-    links = materialize(verify(tried, sets, percent), "links")
+    # each class against the hub it shares most tokens with
+    stars = buckets.filter(f"cls <> hub AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").groupBy("cls", "hub").agg(F.count("*").alias("shared"))
+    best = stars.groupBy("cls").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
+    tried = materialize(best.select(F.col("hub").alias("a"), F.col("cls").alias("b")), "stars")
+    links = verify(tried, src, reps, words, percent)
     roots = materialize(components(links), "roots")
 
-    rooted = materialize(_rooted(buckets.select("token", "cls").union(buckets.select("token", F.col("hub").alias("cls"))).distinct(), roots), "rooted")
+    members = buckets.select("token", "cls", "n").union(buckets.select("token", F.col("hub").alias("cls"), F.col("hub_n").alias("n"))).distinct()
+    rooted = materialize(_rooted(members, roots), "rooted")
     facts = rooted.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
     open_ = materialize(facts.filter("low <> high").select("token", "size"), "open")
     bound = max(64, rooted.count() // MOST_FREQUENT)
     small = rooted.join(open_.filter(F.col("size") <= bound).select("token"), "token")
-    more = _across(small, "token").join(tried, ["a", "b"], "left_anti")
+    more = _across(small, "token", percent)
 
     big = open_.filter(F.col("size") > bound).select("token")
     again = np.sort(np.array([r[0] for r in big.toLocalIterator()], np.int64).view(U64))  # at most MOST_FREQUENT, by the bound
     if len(again):
         affected = rooted.join(big, "token").select("cls").distinct()
-        keyed = recombine(sets.join(affected, "cls"), percent, np.union1d(frequent, again))
-        shared = materialize(_rooted(keyed, roots), "combined")
+        keyed = recombine(sets_of(affected, src, reps, words), percent, np.union1d(frequent, again))
+        sized = keyed.join(rows.groupBy("cls").agg(F.max("n").alias("n")), "cls")
+        shared = materialize(_rooted(sized, roots), "combined")
         several = shared.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-        more = more.union(_across(shared.join(several, "key"), "key")).distinct().join(tried, ["a", "b"], "left_anti")
-    found = verify(materialize(more, "pairs"), sets, percent)
+        more = more.union(_across(shared.join(several, "key"), "key", percent)).distinct()
+    # two classes of different components share prefix tokens in open buckets only
+    lists = rooted.join(open_.select("token"), "token").groupBy("cls", "n").agg(F.collect_set("token").alias("tokens"))
+    more = plausible(more, materialize(lists, "lists"), percent)
+    swapped = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    found = verify(more.join(tried.union(swapped), ["a", "b"], "left_anti"), src, reps, words, percent)
     roots = materialize(components(links.union(found)), "roots")
 
     classed = _rooted(rows, roots)
