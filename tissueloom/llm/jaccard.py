@@ -34,6 +34,7 @@ WORDS = 5
 PERCENT = 80
 LOCAL_FREQUENT = 8
 MOST_FREQUENT = 1_000_000
+LEAST_BOUND = 64
 COMBINED_UP_TO = 400
 BROADCAST_IDS = 2_000_000
 
@@ -164,6 +165,7 @@ def group(rows: DataFrame) -> DataFrame:
             size = np.diff(np.append(start, len(t)))
             several = (c[start] != c[start + size - 1]) | (np.maximum.reduceat(starred, start))
             keep = np.repeat(several, size)
+            keep[1:] &= (t[1:] != t[:-1]) | (c[1:] != c[:-1])  # copies from several blocks
             h, hm = np.repeat(c[start], size)[keep], np.repeat(m[start], size)[keep]
             t, c, m = t[keep], c[keep], m[keep]
         out = [np.concatenate((x[done], y)) for x, y in ((token, t), (cls, c), (n, m), (hub, h), (hub_n, hm))]
@@ -211,8 +213,54 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perce
     return materialize(shared.filter(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b").distinct(), "links")
 
 
+def _pairs_in_runs(start: np.ndarray, size: np.ndarray, cls: np.ndarray, n: np.ndarray, root: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b) within runs of rows, of similar size and different components, some runs at a time."""
+    for m in np.unique(size[size > 1]).tolist():
+        i, j = np.triu_indices(m, 1)
+        runs = start[size == m]
+        step = max(1, 1_000_000 // len(i))
+        for at in range(0, len(runs), step):
+            base = runs[at : at + step, None]
+            x, y = (base + i).ravel(), (base + j).ravel()
+            nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
+            ok = (root[x] != root[y]) & (cls[x] != cls[y]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+            x, y = cls[x[ok]], cls[y[ok]]
+            if len(x):
+                both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
+                yield both[:, 0], both[:, 1]
+
+
+def across(rows: DataFrame, bound: int, percent: int) -> DataFrame:
+    """rows: (key, cls, n, root).  kind 0: (key, x: cls, y: root, n, size) of keys with several components;
+    kind 1: pairs (x, y) across components of keys with at most ``bound`` rows."""
+    names = ["kind", "key", "x", "y", "n", "size"]
+
+    def run(batches):
+        got = [[b.column(k).to_numpy() for k in range(4)] for b in batches if b.num_rows]
+        if not got:
+            return
+        key, cls, n, root = (np.concatenate(x) for x in zip(*got))
+        order = np.lexsort((cls, key))
+        key, cls, n, root = key[order], cls[order], n[order], root[order]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(start, len(key)))
+        several = np.maximum.reduceat(root, start) != np.minimum.reduceat(root, start)
+        keep = np.repeat(several, size)
+        out = [key[keep], cls[keep], root[keep], n[keep], np.repeat(size, size)[keep].astype(np.int32)]
+        for at in range(0, len(out[0]), 200_000):
+            part = [x[at : at + 200_000] for x in out]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part[0]), np.int32)), *map(pa.array, part)], names=names)
+        few = several & (size <= bound)
+        for a, b in _pairs_in_runs(start[few], size[few], cls, n, root, percent):
+            zero = np.zeros(len(a), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(zero.astype(np.int64)), pa.array(a), pa.array(b), pa.array(zero), pa.array(zero)], names=names)
+
+    dealt = rows.select("key", "cls", F.col("n").cast("int").alias("n"), "root").repartition("key")
+    return map_arrow(dealt, run, "kind int, key long, x long, y long, n int, size int")
+
+
 def recombine(members: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Keys (key, cls) of step 4: single rare tokens and pairs of frequent ones from extended prefixes.
+    """Keys (key, cls, n, root) of step 4: single rare tokens and pairs of frequent ones from extended prefixes.
 
     Sets of up to ``COMBINED_UP_TO`` tokens use pairs; sets from ``percent`` of that on use single tokens
     as well, so that two similar sets always have one kind in common, and long sets never need all pairs.
@@ -220,8 +268,14 @@ def recombine(members: DataFrame, percent: int, frequent: np.ndarray) -> DataFra
 
     def run(batches):
         for batch in batches:
-            keys, names = [], []
-            for c, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
+            columns = [batch.column(k).to_numpy() for k in (0, 1, 3)]
+            keys, rows, sizes = [], [], []
+
+            def out():
+                at = np.repeat(rows, sizes)
+                return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), *(pa.array(c[at]) for c in columns)], names=["key", "cls", "n", "root"])
+
+            for r, tokens in enumerate(batch.column(2)):
                 s = tokens.values.to_numpy().view(U64)
                 n = len(s)
                 order, rare = ordered(s, frequent)
@@ -234,27 +288,20 @@ def recombine(members: DataFrame, percent: int, frequent: np.ndarray) -> DataFra
                 if n <= COMBINED_UP_TO and len(often) > 1:
                     i, j = np.triu_indices(len(often), 1)
                     found.append(splitmix(splitmix(often[i]) + splitmix(often[j] ^ U64(0x5BD1E995)) * U64(3)))
-                k = np.concatenate(found)
-                keys.append(k)
-                names.append(np.full(len(k), c, np.int64))
-                if sum(map(len, keys)) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(names))], names=["key", "cls"])
-                    keys, names = [], []
+                keys.append(np.concatenate(found))
+                rows.append(r)
+                sizes.append(len(keys[-1]))
+                if sum(sizes) > 200_000:
+                    yield out()
+                    keys, rows, sizes = [], [], []
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(names))], names=["key", "cls"])
+                yield out()
 
-    return map_arrow(members.select("cls", "tokens"), run, "key long, cls long").distinct()
+    return map_arrow(members.select("cls", "n", "tokens", "root"), run, "key long, cls long, n int, root long")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-
-
-def _across(rows: DataFrame, key: str, percent: int) -> DataFrame:
-    """Distinct pairs of classes of similar size that share a key and are in different components; rows: (key, cls, n, root)."""
-    a = rows.select(key, F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = rows.select(key, F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    return a.join(b, key).filter(f"a < b AND ra <> rb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+    return rows.join(_bounded(roots.select(F.col("node").alias("cls"), "root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
 
 def plausible(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
@@ -294,26 +341,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = verify(tried, src, reps, words, percent)
     roots = materialize(components(links), "roots")
 
-    members = buckets.select("token", "cls", "n").union(buckets.select("token", F.col("hub").alias("cls"), F.col("hub_n").alias("n"))).distinct()
-    rooted = materialize(_rooted(members, roots), "rooted")
-    facts = rooted.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    open_ = materialize(facts.filter("low <> high").select("token", "size"), "open")
-    bound = max(64, rooted.count() // MOST_FREQUENT)
-    small = rooted.join(open_.filter(F.col("size") <= bound).select("token"), "token")
-    more = _across(small, "token", percent)
+    members = _rooted(buckets.select(F.col("token").alias("key"), "cls", "n"), roots)
+    bound = max(LEAST_BOUND, buckets.count() // MOST_FREQUENT)
+    met = materialize(across(members, bound, percent), "across")
+    more = met.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
-    big = open_.filter(F.col("size") > bound).select("token")
-    again = np.sort(np.array([r[0] for r in big.toLocalIterator()], np.int64).view(U64))  # at most MOST_FREQUENT, by the bound
+    big = met.filter(F.col("kind") == 0).filter(F.col("size") > bound)
+    again = np.sort(np.array([r[0] for r in big.select("key").distinct().toLocalIterator()], np.int64).view(U64))  # at most MOST_FREQUENT, by the bound
     if len(again):
-        affected = rooted.join(big, "token").select("cls").distinct()
-        keyed = recombine(sets_of(affected, src, reps, words), percent, np.union1d(frequent, again))
-        sized = keyed.join(rows.groupBy("cls").agg(F.max("n").alias("n")), "cls")
-        shared = materialize(_rooted(sized, roots), "combined")
-        several = shared.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-        more = more.union(_across(shared.join(several, "key"), "key", percent)).distinct()
+        affected = _rooted(sets_of(big.select(F.col("x").alias("cls")).distinct(), src, reps, words), roots)
+        keyed = materialize(across(recombine(affected, percent, np.union1d(frequent, again)), bound, percent), "combined")
+        more = more.union(keyed.filter("kind = 1").select("x", "y"))
+        # keys that are still large: all pairs across their components, by a join that Spark can split
+        large = keyed.filter(F.col("kind") == 0).filter(F.col("size") > bound)
+        if not large.isEmpty():
+            one, two = (large.select("key", F.col("x").alias(x), F.col("y").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in ("a", "b"))
+            more = more.union(one.join(two, "key").filter(f"a < b AND ra <> rb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b"))
+        more = more.distinct()
     # two classes of different components share prefix tokens in open buckets only
-    lists = rooted.join(open_.select("token"), "token").groupBy("cls", "n").agg(F.collect_set("token").alias("tokens"))
-    more = plausible(more, materialize(lists, "lists"), percent)
+    lists = met.filter("kind = 0").groupBy(F.col("x").alias("cls"), "n").agg(F.collect_set("key").alias("tokens"))
+    more = plausible(materialize(more, "more"), materialize(lists, "lists"), percent)
     swapped = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
     found = verify(more.join(tried.union(swapped), ["a", "b"], "left_anti"), src, reps, words, percent)
     roots = materialize(components(links.union(found)), "roots")
