@@ -9,8 +9,9 @@ their prefixes of length n - need + 2 share two.  So:
    never against all others, and verified links are contracted to components.
 3. In buckets of at most ``bound`` members that still hold several components, the remaining pairs across
    components are verified.
-4. Classes in larger buckets with several components are indexed again, with the tokens of those buckets
-   moved to the frequent end: single tokens for rare ones, pairs of tokens for frequent ones, from prefixes
+4. Classes of larger buckets are contracted in blocks, and get more stars, around members drawn anew.  Classes of those that still hold several
+   components are indexed again, with the tokens of those buckets and others they often hold moved to the
+   frequent end: single tokens for rare ones, pairs of tokens for frequent ones, from prefixes
    extended by one.  What shares a key across components is verified.
 
 Links inside a component need no verification, as only components are returned; no link between components
@@ -35,6 +36,8 @@ PERCENT = 80
 LOCAL_FREQUENT = 8
 MOST_FREQUENT = 1_000_000
 LEAST_BOUND = 64
+STAR_TURNS = 3
+BLOCK_CLASSES = 256
 COMBINED_UP_TO = 400
 BROADCAST_IDS = 2_000_000
 
@@ -259,6 +262,82 @@ def across(rows: DataFrame, bound: int, percent: int) -> DataFrame:
     return map_arrow(dealt, run, "kind int, key long, x long, y long, n int, size int")
 
 
+def heavy_tokens(sets: DataFrame, least: int) -> np.ndarray:
+    """Tokens held by many of these sets: those met several times in a task, ``least`` times in all, at most MOST_FREQUENT.
+
+    They only choose the order of tokens, so what a task overlooks costs time and no link.
+    """
+
+    def run(batches):
+        got = [b.column(0).flatten().to_numpy() for b in batches if b.num_rows]
+        if got:
+            tokens, counts = np.unique(np.concatenate(got), return_counts=True)
+            often = counts >= 4
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[often]), pa.array(counts[often].astype(np.int64))], names=["token", "n"])
+
+    counted = map_arrow(sets.select("tokens"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    best = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token")
+    return np.array([r[0] for r in best.toLocalIterator()], np.int64).view(U64)
+
+
+def contract(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) inside blocks of about ``BLOCK_CLASSES`` classes of one large key; rows: (key, cls, size).
+
+    In a block, pairs whose smallest hashes agree well are verified until their components meet.  This finds
+    some of the links of large groups with few comparisons; what it leaves out is found by the other steps.
+    """
+    own = rows.groupBy("cls").agg(F.max_by(F.struct("key", "size"), F.struct("size", "key")).alias("k"))
+    own = own.select("cls", F.col("k.key").alias("key"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("k.size") / BLOCK_CLASSES)).alias("salt"))
+    dealt = sets.select("cls", "tokens").join(_bounded(own), "cls").select("key", "salt", "cls", "tokens").repartition("key", "salt")
+
+    def run(batches):
+        held: dict[tuple, dict] = {}
+        for b in batches:
+            key, salt, cls = (b.column(k).to_pylist() for k in range(3))
+            for i, k in enumerate(zip(key, salt)):
+                held.setdefault(k, {})[cls[i]] = b.column(3)[i].values.to_numpy().view(U64)
+        found = []
+        for block in held.values():
+            names, tokens = list(block), list(block.values())
+            small = [t[:32] for t in tokens]
+            _, at = np.unique(np.concatenate(small), return_inverse=True)
+            marks = np.zeros((len(small), at.max() + 1), np.float32)
+            marks[np.repeat(np.arange(len(small)), [len(t) for t in small]), at] = 1
+            alike = marks @ marks.T
+            least = 0.6 * np.minimum.outer(*[np.array([len(t) for t in small])] * 2)
+            root = list(range(len(names)))
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for i, j in np.argwhere(np.triu(alike >= least, 1)).tolist():
+                x, y = find(i), find(j)
+                if x == y:
+                    continue
+                n, m = len(tokens[i]), len(tokens[j])
+                shared = n + m - len(np.union1d(tokens[i], tokens[j]))
+                if 100 * shared >= percent * (n + m - shared):
+                    root[y] = x
+                    found.append((names[i], names[j]))
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return materialize(map_arrow(dealt, run, "a long, b long"), "contracted")
+
+
+def star_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """rows: (key, cls, n, root).  Each class against the drawn member, of another component, it shares most keys with."""
+    drawn = rows.groupBy("key").agg(F.max_by(F.struct("cls", "n", "root"), F.xxhash64("cls", F.lit(turn))).alias("hub"))
+    near = rows.join(drawn, "key").filter(f"root <> hub.root AND 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
+    counted = near.groupBy("cls", F.col("hub.cls").alias("hub")).agg(F.count("*").alias("shared"))
+    best = counted.groupBy("cls").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
+    return best.select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+
+
 def recombine(members: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
     """Keys (key, cls, n, root) of step 4: single rare tokens and pairs of frequent ones from extended prefixes.
 
@@ -346,11 +425,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = materialize(across(members, bound, percent), "across")
     more = met.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
-    big = met.filter(F.col("kind") == 0).filter(F.col("size") > bound)
-    again = np.sort(np.array([r[0] for r in big.select("key").distinct().toLocalIterator()], np.int64).view(U64))  # at most MOST_FREQUENT, by the bound
+    big = met.filter(F.col("kind") == 0).filter(F.col("size") > bound).select("key", F.col("x").alias("cls"), "n", "size")
+    if not big.isEmpty():
+        in_big = sets_of(big.select("cls").distinct(), src, reps, words)
+        links = links.union(contract(big, in_big, percent))
+        roots = materialize(components(links), "roots")
+    for turn in range(STAR_TURNS):
+        if big.isEmpty():
+            break
+        found = verify(star_pairs(_rooted(big, roots), turn, percent), src, reps, words, percent)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        roots = materialize(components(links), "roots")
+    placed = _rooted(big, roots)
+    still = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    big = materialize(placed.join(still, "key"), "big")
+    again = np.array([r[0] for r in big.select("key").distinct().toLocalIterator()], np.int64).view(U64)  # at most MOST_FREQUENT, by the bound
     if len(again):
-        affected = _rooted(sets_of(big.select(F.col("x").alias("cls")).distinct(), src, reps, words), roots)
-        keyed = materialize(across(recombine(affected, percent, np.union1d(frequent, again)), bound, percent), "combined")
+        affected = in_big.join(_bounded(big.select("cls").distinct()), "cls", "left_semi")
+        order = np.unique(np.concatenate((frequent, again, heavy_tokens(affected, bound // 4))))
+        keyed = materialize(across(recombine(_rooted(affected, roots), percent, order), bound, percent), "combined")
         more = more.union(keyed.filter("kind = 1").select("x", "y"))
         # keys that are still large: all pairs across their components, by a join that Spark can split
         large = keyed.filter(F.col("kind") == 0).filter(F.col("size") > bound)
