@@ -314,5 +314,6 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     raw = decoded[bytes_at[e - n] : bytes_at[e]] if decoded is not None else engine.bpe.decode(ids[e - n : e], engine.special)
                     text_out.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts_out, pa.int64()), pa.array(ids_out, pa.string()), pa.array(text_out, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        engine.coder.clear()  # the worker lives on for other stages
 
     return map_arrow(column_names(docs, id_col, text_col), run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

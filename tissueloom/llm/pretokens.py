@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import regex
 
-LIMIT = 500_000
+LIMIT = 250_000
 BYTE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: The same over units joined by a mark that no pre-token holds (in bytes a lone surrogate, which no text has); it is a match of its own.
