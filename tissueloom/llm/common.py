@@ -55,9 +55,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with this package at hand on the executors."""
+    """mapInArrow with this package at hand on the executors; a task's memory is given back at its end."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,7 +147,7 @@ class Block:
         return splitmix(out)
 
 
-def blocks(values: Sequence[bytes | None], limit: int = 2_000_000) -> Iterator[slice]:
+def blocks(values: Sequence[bytes | None], limit: int = 1_000_000) -> Iterator[slice]:
     """Slices of rows of about ``limit`` bytes; one longer text is a slice of its own."""
     start = size = 0
     for i, v in enumerate(values):
@@ -154,6 +159,18 @@ def blocks(values: Sequence[bytes | None], limit: int = 2_000_000) -> Iterator[s
         yield slice(start, len(values))
 
 
+def release() -> None:
+    """Give freed memory back to the system; a worker lives on while other stages run beside it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: memory is kept for reuse
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
