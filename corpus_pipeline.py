@@ -50,7 +50,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Tokens and keyed surrogates are beyond SQL; tests hold run() against a plain version.
+#: Tokens and keyed surrogates are beyond SQL; the stages' operators are tested one by one.
 ORACLE_SQL = None
 
 
