@@ -14,6 +14,9 @@ their prefixes of length n - need + 2 share two.  So:
    frequent end: single tokens for rare ones, pairs of tokens for frequent ones, from prefixes
    extended by one.  What shares a key across components is verified.
 
+Steps 2 and 4 verify only stars and pairs of a block that look similar by their sketches, the smallest hashes
+of each set.  Sketches choose what to contract early; they never rule a pair out of steps 3 and 4.
+
 Links inside a component need no verification, as only components are returned; no link between components
 is lost, because every pair that shares a prefix token is verified, in one component, or meets in step 4.
 ``bound`` is at least 64 and grows as index rows / 1,000,000, which bounds the tokens of step 4 at a million.
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, blocks, column_names, map_arrow, materialize, signed, splitmix, U64
+from .common import Block, blocks, column_names, discard, map_arrow, materialize, signed, splitmix, U64
 from .components import components
 
 WORDS = 5
@@ -40,6 +43,8 @@ STAR_TURNS = 3
 BLOCK_CLASSES = 256
 COMBINED_UP_TO = 400
 BROADCAST_IDS = 2_000_000
+SKETCH = 16
+LIKELY_PERCENT = 55
 
 
 def needed(n, percent: int):
@@ -75,6 +80,13 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(signed(splitmix(h))[0]) or 1
 
 
+def sketches(sets: list[np.ndarray]) -> pa.ListArray:
+    """The ``SKETCH`` smallest hashes of each sorted set, shifted so that signed order is that of the hashes."""
+    small = [s[:SKETCH] for s in sets]
+    offsets = np.concatenate(([0], np.cumsum([len(s) for s in small]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate([np.zeros(0, U64), *small]) ^ U64(1 << 63))))
+
+
 def ordered(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
     """Tokens with rare ones first, and the number of rare ones."""
     if not len(frequent) or not len(tokens):
@@ -97,21 +109,22 @@ def _sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[li
 
 
 def describe(docs: DataFrame, words: int) -> DataFrame:
-    """kind 0: (doc_id, n, cls) of each row; kind 1: (token, count) of tokens frequent within a block."""
+    """kind 0: (doc_id, n, cls, sketch) of each row; kind 1: (token, count) of tokens frequent within a block."""
+    names = ["kind", "doc_id", "n", "cls", "sketch"]
 
     def run(batches):
         for ids, sets in _sets_of(batches, words):
             n, cls = [len(s) for s in sets], [fingerprint(s) for s in sets]
             m = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], names=["kind", "doc_id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), sketches(sets)], names=names)
             own = list({c: s for c, s in zip(cls, sets)}.values())
             if own:
                 tokens, counts = np.unique(np.concatenate(own), return_counts=True)
                 at = counts >= LOCAL_FREQUENT
                 tokens, counts = tokens[at], counts[at]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.nulls(len(tokens), pa.int64()), pa.array(counts.astype(np.int64)), pa.array(signed(tokens))], names=["kind", "doc_id", "n", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.nulls(len(tokens), pa.int64()), pa.array(counts.astype(np.int64)), pa.array(signed(tokens)), pa.nulls(len(tokens), pa.list_(pa.int64()))], names=names)
 
-    return map_arrow(docs, run, "kind int, doc_id long, n long, cls long")
+    return map_arrow(docs, run, "kind int, doc_id long, n long, cls long, sketch array<long>")
 
 
 def index(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -196,11 +209,19 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def sets_of(classes: DataFrame, docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """(cls, n, tokens) of the wanted classes, from the text of one document each."""
+    """(cls, n, tokens) of the wanted classes, from the text of one document each; not written anywhere."""
     ids = materialize(classes.join(reps, "cls").select("doc_id", "cls"), "wanted")
     picked = docs.join(_bounded(ids.select("doc_id")), "doc_id", "left_semi")
     # rows that repeat an id can hold other texts
-    return materialize(class_sets(picked, words).join(_bounded(ids.select("cls")), "cls", "left_semi"), "sets")
+    return class_sets(picked, words).join(_bounded(ids.select("cls")), "cls", "left_semi")
+
+
+def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches look similar: of the smallest hashes of both sets, enough are in each."""
+    one, two = (reps.select(F.col("cls").alias(x), F.col("sketch").alias(f"s{x}")) for x in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b").withColumn("low", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH))
+    shared = F.size(F.array_intersect("low", F.array_intersect("sa", "sb")))
+    return both.filter(100 * shared >= LIKELY_PERCENT * F.size("low")).select("a", "b")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
@@ -209,11 +230,13 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perce
     Sets of b go to their pairs in place, and from there to a, so that each pair moves one set.
     """
     pairs = materialize(pairs, "pairs")
-    sets = sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), docs, reps, words)
+    sets = materialize(sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), docs, reps, words), "sets")
     two = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")).join(_bounded(pairs), "b")
     one = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(_bounded(pairs.select("a").distinct()), "a", "left_semi")
     shared = two.join(one, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("shared"))
-    return materialize(shared.filter(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b").distinct(), "links")
+    links = materialize(shared.filter(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b").distinct(), "links")
+    discard(sets, pairs)
+    return links
 
 
 def _pairs_in_runs(start: np.ndarray, size: np.ndarray, cls: np.ndarray, n: np.ndarray, root: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -280,31 +303,30 @@ def heavy_tokens(sets: DataFrame, least: int) -> np.ndarray:
     return np.array([r[0] for r in best.toLocalIterator()], np.int64).view(U64)
 
 
-def contract(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified links (a, b) inside blocks of about ``BLOCK_CLASSES`` classes of one large key; rows: (key, cls, size).
+def contract(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Likely links (a, b) inside blocks of about ``BLOCK_CLASSES`` classes of one large key; rows: (key, cls, size).
 
-    In a block, pairs whose smallest hashes agree well are verified until their components meet.  This finds
-    some of the links of large groups with few comparisons; what it leaves out is found by the other steps.
+    In a block, pairs whose sketches agree well are named until their components meet.  This finds some of the
+    links of large groups with few comparisons; what it leaves out is found by the other steps.
     """
     own = rows.groupBy("cls").agg(F.max_by(F.struct("key", "size"), F.struct("size", "key")).alias("k"))
     own = own.select("cls", F.col("k.key").alias("key"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("k.size") / BLOCK_CLASSES)).alias("salt"))
-    dealt = sets.select("cls", "tokens").join(_bounded(own), "cls").select("key", "salt", "cls", "tokens").repartition("key", "salt")
+    dealt = reps.select("cls", "sketch").join(_bounded(own), "cls").select("key", "salt", "cls", "sketch").repartition("key", "salt")
 
     def run(batches):
         held: dict[tuple, dict] = {}
         for b in batches:
             key, salt, cls = (b.column(k).to_pylist() for k in range(3))
             for i, k in enumerate(zip(key, salt)):
-                held.setdefault(k, {})[cls[i]] = b.column(3)[i].values.to_numpy().view(U64)
+                held.setdefault(k, {})[cls[i]] = b.column(3)[i].values.to_numpy()
         found = []
         for block in held.values():
-            names, tokens = list(block), list(block.values())
-            small = [t[:32] for t in tokens]
+            names, small = list(block), list(block.values())
+            sizes = np.array([len(t) for t in small])
             _, at = np.unique(np.concatenate(small), return_inverse=True)
             marks = np.zeros((len(small), at.max() + 1), np.float32)
-            marks[np.repeat(np.arange(len(small)), [len(t) for t in small]), at] = 1
-            alike = marks @ marks.T
-            least = 0.6 * np.minimum.outer(*[np.array([len(t) for t in small])] * 2)
+            marks[np.repeat(np.arange(len(small)), sizes), at] = 1
+            alike = np.triu(100 * (marks @ marks.T) >= (LIKELY_PERCENT + 5) * np.minimum.outer(sizes, sizes), 1)
             root = list(range(len(names)))
 
             def find(x: int) -> int:
@@ -313,20 +335,16 @@ def contract(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     x = root[x]
                 return x
 
-            for i, j in np.argwhere(np.triu(alike >= least, 1)).tolist():
+            for i, j in np.argwhere(alike).tolist():
                 x, y = find(i), find(j)
-                if x == y:
-                    continue
-                n, m = len(tokens[i]), len(tokens[j])
-                shared = n + m - len(np.union1d(tokens[i], tokens[j]))
-                if 100 * shared >= percent * (n + m - shared):
+                if x != y:
                     root[y] = x
                     found.append((names[i], names[j]))
         if found:
             a, b = zip(*found)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return materialize(map_arrow(dealt, run, "a long, b long"), "contracted")
+    return map_arrow(dealt, run, "a long, b long")
 
 
 def star_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -339,7 +357,7 @@ def star_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def recombine(members: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Keys (key, cls, n, root) of step 4: single rare tokens and pairs of frequent ones from extended prefixes.
+    """Keys (key, cls, n) of step 4: single rare tokens and pairs of frequent ones from extended prefixes.
 
     Sets of up to ``COMBINED_UP_TO`` tokens use pairs; sets from ``percent`` of that on use single tokens
     as well, so that two similar sets always have one kind in common, and long sets never need all pairs.
@@ -347,12 +365,12 @@ def recombine(members: DataFrame, percent: int, frequent: np.ndarray) -> DataFra
 
     def run(batches):
         for batch in batches:
-            columns = [batch.column(k).to_numpy() for k in (0, 1, 3)]
+            columns = [batch.column(k).to_numpy() for k in (0, 1)]
             keys, rows, sizes = [], [], []
 
             def out():
                 at = np.repeat(rows, sizes)
-                return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), *(pa.array(c[at]) for c in columns)], names=["key", "cls", "n", "root"])
+                return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), *(pa.array(c[at]) for c in columns)], names=["key", "cls", "n"])
 
             for r, tokens in enumerate(batch.column(2)):
                 s = tokens.values.to_numpy().view(U64)
@@ -376,7 +394,13 @@ def recombine(members: DataFrame, percent: int, frequent: np.ndarray) -> DataFra
             if keys:
                 yield out()
 
-    return map_arrow(members.select("cls", "n", "tokens", "root"), run, "key long, cls long, n int, root long")
+    return map_arrow(members.select("cls", "n", "tokens"), run, "key long, cls long, n int")
+
+
+def distinct_groups(rows: DataFrame) -> DataFrame:
+    """The rows (key, cls, ...) of one key for each different set of members; the others would give the same pairs."""
+    named = rows.groupBy("key").agg(F.count("*").alias("m"), *[F.sum(F.xxhash64("cls", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)])
+    return rows.join(named.groupBy("m", "h0", "h1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -407,33 +431,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = _binary(docs, id_col, text_col)
     seen = materialize(describe(src, words), "described")
     rows = seen.filter("kind = 0").select("doc_id", "n", "cls")
+    one_text = seen.filter("kind = 0 AND n > 1").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch"))
+    reps = materialize(one_text, "reps")
     heavy = seen.filter("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(MOST_FREQUENT)
     frequent = np.sort(np.array([r[0] for r in heavy.select("cls").toLocalIterator()], np.int64).view(U64))
     buckets = materialize(group(index(src, words, percent, frequent)), "buckets")
 
-    reps = rows.filter("n > 1").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-
-    # each class against the hub it shares most tokens with
+    # each class against the hub it shares most tokens with, where that looks similar
     stars = buckets.filter(f"cls <> hub AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").groupBy("cls", "hub").agg(F.count("*").alias("shared"))
     best = stars.groupBy("cls").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
-    tried = materialize(best.select(F.col("hub").alias("a"), F.col("cls").alias("b")), "stars")
+    tried = materialize(likely(best.select(F.col("hub").alias("a"), F.col("cls").alias("b")), reps), "stars")
     links = verify(tried, src, reps, words, percent)
     roots = materialize(components(links), "roots")
 
     members = _rooted(buckets.select(F.col("token").alias("key"), "cls", "n"), roots)
     bound = max(LEAST_BOUND, buckets.count() // MOST_FREQUENT)
     met = materialize(across(members, bound, percent), "across")
+    discard(buckets)
     more = met.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
     big = met.filter(F.col("kind") == 0).filter(F.col("size") > bound).select("key", F.col("x").alias("cls"), "n", "size")
     if not big.isEmpty():
-        in_big = sets_of(big.select("cls").distinct(), src, reps, words)
-        links = links.union(contract(big, in_big, percent))
+        links = links.union(verify(contract(big, reps), src, reps, words, percent))
         roots = materialize(components(links), "roots")
     for turn in range(STAR_TURNS):
         if big.isEmpty():
             break
-        found = verify(star_pairs(_rooted(big, roots), turn, percent), src, reps, words, percent)
+        found = verify(likely(star_pairs(_rooted(big, roots), turn, percent), reps), src, reps, words, percent)
         if found.isEmpty():
             break
         links = links.union(found)
@@ -443,14 +467,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     big = materialize(placed.join(still, "key"), "big")
     again = np.array([r[0] for r in big.select("key").distinct().toLocalIterator()], np.int64).view(U64)  # at most MOST_FREQUENT, by the bound
     if len(again):
-        affected = in_big.join(_bounded(big.select("cls").distinct()), "cls", "left_semi")
+        affected = sets_of(big.select("cls").distinct(), src, reps, words)
         order = np.unique(np.concatenate((frequent, again, heavy_tokens(affected, bound // 4))))
-        keyed = materialize(across(recombine(_rooted(affected, roots), percent, order), bound, percent), "combined")
+        keyed = materialize(across(_rooted(recombine(affected, percent, order), roots), bound, percent), "combined")
         more = more.union(keyed.filter("kind = 1").select("x", "y"))
         # keys that are still large: all pairs across their components, by a join that Spark can split
-        large = keyed.filter(F.col("kind") == 0).filter(F.col("size") > bound)
+        large = distinct_groups(keyed.filter(F.col("kind") == 0).filter(F.col("size") > bound).withColumnRenamed("x", "cls"))
         if not large.isEmpty():
-            one, two = (large.select("key", F.col("x").alias(x), F.col("y").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in ("a", "b"))
+            one, two = (large.select("key", F.col("cls").alias(x), F.col("y").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in ("a", "b"))
             more = more.union(one.join(two, "key").filter(f"a < b AND ra <> rb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b"))
         more = more.distinct()
     # two classes of different components share prefix tokens in open buckets only
