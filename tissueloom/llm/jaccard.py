@@ -239,8 +239,8 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perce
     return links
 
 
-def _pairs_in_runs(start: np.ndarray, size: np.ndarray, cls: np.ndarray, n: np.ndarray, root: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (a < b) within runs of rows, of similar size and different components, some runs at a time."""
+def _pairs_in_runs(start: np.ndarray, size: np.ndarray, cls: np.ndarray, n: np.ndarray, root: np.ndarray, left: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b) within runs of rows, of similar size, enough ``left`` and different components, some runs at a time."""
     for m in np.unique(size[size > 1]).tolist():
         i, j = np.triu_indices(m, 1)
         runs = start[size == m]
@@ -250,6 +250,7 @@ def _pairs_in_runs(start: np.ndarray, size: np.ndarray, cls: np.ndarray, n: np.n
             x, y = (base + i).ravel(), (base + j).ravel()
             nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
             ok = (root[x] != root[y]) & (cls[x] != cls[y]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+            ok &= (100 + percent) * np.minimum(left[x], left[y]).astype(np.int64) >= percent * (nx + ny)
             x, y = cls[x[ok]], cls[y[ok]]
             if len(x):
                 both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
@@ -257,32 +258,36 @@ def _pairs_in_runs(start: np.ndarray, size: np.ndarray, cls: np.ndarray, n: np.n
 
 
 def across(rows: DataFrame, bound: int, percent: int) -> DataFrame:
-    """rows: (key, cls, n, root).  kind 0: (key, x: cls, y: root, n, size) of keys with several components;
-    kind 1: pairs (x, y) across components of keys with at most ``bound`` rows."""
-    names = ["kind", "key", "x", "y", "n", "size"]
+    """rows: (key, cls, n, root, left).  kind 0: (key, x: cls, y: root, n, size, left) of keys with several components;
+    kind 1: pairs (x, y) across components of keys with at most ``bound`` rows.
+
+    left: the largest overlap a set can have with one whose first shared tokens in the order are this key's.  Every
+    pair of similar sets meets under its first shared tokens, so pairs for which that is too little can go.
+    """
+    names = ["kind", "key", "x", "y", "n", "size", "left"]
 
     def run(batches):
-        got = [[b.column(k).to_numpy() for k in range(4)] for b in batches if b.num_rows]
+        got = [[b.column(k).to_numpy() for k in range(5)] for b in batches if b.num_rows]
         if not got:
             return
-        key, cls, n, root = (np.concatenate(x) for x in zip(*got))
+        key, cls, n, root, left = (np.concatenate(x) for x in zip(*got))
         order = np.lexsort((cls, key))
-        key, cls, n, root = key[order], cls[order], n[order], root[order]
+        key, cls, n, root, left = key[order], cls[order], n[order], root[order], left[order]
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(start, len(key)))
         several = np.maximum.reduceat(root, start) != np.minimum.reduceat(root, start)
         keep = np.repeat(several, size)
-        out = [key[keep], cls[keep], root[keep], n[keep], np.repeat(size, size)[keep].astype(np.int32)]
+        out = [key[keep], cls[keep], root[keep], n[keep], np.repeat(size, size)[keep].astype(np.int32), left[keep]]
         for at in range(0, len(out[0]), 200_000):
             part = [x[at : at + 200_000] for x in out]
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part[0]), np.int32)), *map(pa.array, part)], names=names)
         few = several & (size <= bound)
-        for a, b in _pairs_in_runs(start[few], size[few], cls, n, root, percent):
+        for a, b in _pairs_in_runs(start[few], size[few], cls, n, root, left, percent):
             zero = np.zeros(len(a), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(zero.astype(np.int64)), pa.array(a), pa.array(b), pa.array(zero), pa.array(zero)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(zero.astype(np.int64)), pa.array(a), pa.array(b), pa.array(zero), pa.array(zero), pa.array(zero)], names=names)
 
-    dealt = rows.select("key", "cls", F.col("n").cast("int").alias("n"), "root").repartition("key")
-    return map_arrow(dealt, run, "kind int, key long, x long, y long, n int, size int")
+    dealt = rows.select("key", "cls", F.col("n").cast("int").alias("n"), "root", F.col("left").cast("int").alias("left")).repartition("key")
+    return map_arrow(dealt, run, "kind int, key long, x long, y long, n int, size int, left int")
 
 
 def heavy_tokens(sets: DataFrame, least: int) -> np.ndarray:
@@ -357,7 +362,7 @@ def star_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def recombine(members: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Keys (key, cls, n) of step 4: single rare tokens and pairs of frequent ones from extended prefixes.
+    """Keys (key, cls, n, left) of step 4: single rare tokens and pairs of frequent ones from extended prefixes.
 
     Sets of up to ``COMBINED_UP_TO`` tokens use pairs; sets from ``percent`` of that on use single tokens
     as well, so that two similar sets always have one kind in common, and long sets never need all pairs.
@@ -366,11 +371,11 @@ def recombine(members: DataFrame, percent: int, frequent: np.ndarray) -> DataFra
     def run(batches):
         for batch in batches:
             columns = [batch.column(k).to_numpy() for k in (0, 1)]
-            keys, rows, sizes = [], [], []
+            keys, lefts, rows, sizes = [], [], [], []
 
             def out():
                 at = np.repeat(rows, sizes)
-                return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), *(pa.array(c[at]) for c in columns)], names=["key", "cls", "n"])
+                return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), *(pa.array(c[at]) for c in columns), pa.array(np.concatenate(lefts).astype(np.int32))], names=["key", "cls", "n", "left"])
 
             for r, tokens in enumerate(batch.column(2)):
                 s = tokens.values.to_numpy().view(U64)
@@ -379,28 +384,25 @@ def recombine(members: DataFrame, percent: int, frequent: np.ndarray) -> DataFra
                 length = min(n, n - needed(n, percent) + 2)
                 rare = min(rare, length)
                 often = order[rare:length]
-                found = [splitmix(order[:rare])]
+                found, left = [splitmix(order[:rare])], [n - np.arange(rare)]
                 if n * 100 >= percent * COMBINED_UP_TO:
                     found.append(splitmix(often))
+                    left.append(n - np.arange(rare, length))
                 if n <= COMBINED_UP_TO and len(often) > 1:
                     i, j = np.triu_indices(len(often), 1)
                     found.append(splitmix(splitmix(often[i]) + splitmix(often[j] ^ U64(0x5BD1E995)) * U64(3)))
+                    left.append(n - rare - j + 1)
                 keys.append(np.concatenate(found))
+                lefts.append(np.concatenate(left))
                 rows.append(r)
                 sizes.append(len(keys[-1]))
                 if sum(sizes) > 200_000:
                     yield out()
-                    keys, rows, sizes = [], [], []
+                    keys, lefts, rows, sizes = [], [], [], []
             if keys:
                 yield out()
 
-    return map_arrow(members.select("cls", "n", "tokens"), run, "key long, cls long, n int")
-
-
-def distinct_groups(rows: DataFrame) -> DataFrame:
-    """The rows (key, cls, ...) of one key for each different set of members; the others would give the same pairs."""
-    named = rows.groupBy("key").agg(F.count("*").alias("m"), *[F.sum(F.xxhash64("cls", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)])
-    return rows.join(named.groupBy("m", "h0", "h1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    return map_arrow(members.select("cls", "n", "tokens"), run, "key long, cls long, n int, left int")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -444,7 +446,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = verify(tried, src, reps, words, percent)
     roots = materialize(components(links), "roots")
 
-    members = _rooted(buckets.select(F.col("token").alias("key"), "cls", "n"), roots)
+    members = _rooted(buckets.select(F.col("token").alias("key"), "cls", "n", F.col("n").alias("left")), roots)
     bound = max(LEAST_BOUND, buckets.count() // MOST_FREQUENT)
     met = materialize(across(members, bound, percent), "across")
     discard(buckets)
@@ -472,10 +474,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keyed = materialize(across(_rooted(recombine(affected, percent, order), roots), bound, percent), "combined")
         more = more.union(keyed.filter("kind = 1").select("x", "y"))
         # keys that are still large: all pairs across their components, by a join that Spark can split
-        large = distinct_groups(keyed.filter(F.col("kind") == 0).filter(F.col("size") > bound).withColumnRenamed("x", "cls"))
+        large = keyed.filter(F.col("kind") == 0).filter(F.col("size") > bound)
         if not large.isEmpty():
-            one, two = (large.select("key", F.col("cls").alias(x), F.col("y").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in ("a", "b"))
-            more = more.union(one.join(two, "key").filter(f"a < b AND ra <> rb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b"))
+            one, two = (large.select("key", F.col("x").alias(x), F.col("y").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("left").alias(f"l{x}")) for x in ("a", "b"))
+            more = more.union(one.join(two, "key").filter(f"a < b AND ra <> rb AND {100 + percent} * least(la, lb) >= {percent} * (na + nb)").select("a", "b"))
         more = more.distinct()
     # two classes of different components share prefix tokens in open buckets only
     lists = met.filter("kind = 0").groupBy(F.col("x").alias("cls"), "n").agg(F.collect_set("key").alias("tokens"))
