@@ -264,3 +264,38 @@ def test_empty_tables(spark, none):
 def test_word_hash_is_independent_of_place():
     a, b = common.Block([b"xx abc", b"abc"]), common.Block([b"abc abc zz"])
     assert a.words[1] == a.words[2] == b.words[0] == b.words[1] != b.words[2]
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    """run() against SQL for the rules and the mix, all pairs for copies, and the library for tokens."""
+    import duckdb
+    import pandas as pd
+
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    texts = [t + f" mail u{i}@mail.example.com now" for i, t in enumerate(make(rng, 50))] + [None, "", "too short", "again " * 90]
+    frame = pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "lang": ["en", "de"] * (len(texts) // 2), "source": ["s1", None, "s2", "s1"][: len(texts) % 4] + ["s1", None, "s2", "s3"] * (len(texts) // 4)})
+    frame["n_chars"] = frame.text.map(lambda t: len(t or ""))
+    frame.to_parquet(tmp_path / "documents.parquet")
+
+    def ask(documents, sql):
+        with duckdb.connect() as db:
+            db.register("documents", documents)
+            return db.execute(sql).fetchdf()
+
+    judged = ask(frame, quality.ORACLE_SQL)
+    good = frame[frame.doc_id.isin(judged[judged.kept].doc_id)]
+    alone = components_of(list(zip(good.doc_id, good.text)))
+    left = good[[alone[i][1] == i for i in good.doc_id]]
+    assert 0 < len(left) < len(good) < len(frame)
+    clean = pii.replace(spark.createDataFrame(left[["doc_id", "text", "source"]].astype(object).where(left[["doc_id", "text", "source"]].notna(), None).values.tolist(), "doc_id long, text string, source string")).toPandas()
+    assert not any(f"u{i}@mail" in t for i, t in zip(clean.doc_id, clean.text))
+    taken = ask(clean, mixing.ORACLE_SQL)
+    t = pretokens.open_tokenizer(pretokens.tokenizer_text(None, "byte_bpe_50k.json"))
+    want, text_of = [], dict(zip(clean.doc_id, clean.text))
+    for i, size, n in zip(taken.doc_id, taken["size"], taken.taken):
+        ids = t.encode(text_of[i], add_special_tokens=False).ids
+        row = (i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text_of[i].encode()).hexdigest())
+        want += [row] * int(n // size)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(want)
