@@ -105,6 +105,46 @@ def test_factorisation_invariants(spark):
         otnmf.Settings(k=1)
 
 
+def test_factorisation_alternates_both_half_steps(spark):
+    draw = np.random.default_rng(3)
+    x = draw.poisson(2.0, (6, 15)).astype(float) + np.eye(6, 15)
+    x[0] += 1
+    s = otnmf.Settings(k=2, inner=15, outer=2)
+    rows = [(f"s{j:02}", f"g{i}", float(x[i, j])) for i in range(6) for j in range(15) if x[i, j]]
+    usage, spectra, losses = otnmf.factorise(spark.createDataFrame(rows, "spot string, gene string, count double"), s)
+    # the whole matrix at once, as the formulas stand
+    a = x + 1e-6
+    a /= a.sum(0)
+    n, spots = a.shape
+    kern = otnmf.kernel(a + 1e-6, s.eps)
+    h = np.random.default_rng(s.seed).random((n, s.k))
+    h /= h.sum(0)
+    c_h, c_w = s.h / (s.k * math.log(n)), s.w / (spots * math.log(s.k))
+    g, want = np.zeros_like(a), []
+
+    def minimise(g, pull):
+        m = v = np.zeros_like(g)
+        for t in range(1, s.inner + 1):
+            d = otnmf.transport(a, g, kern, s.eps)[1] - pull(g)
+            m, v = 0.9 * m + 0.1 * d, 0.999 * v + 0.001 * d * d
+            g = g - s.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        return g
+
+    def total():
+        return -otnmf.transport(a, g, kern, s.eps)[0] / spots + (h @ w * g).sum() / spots + c_h * (h * (np.log(h) - 1)).sum() + c_w * (w * (np.log(w) - 1)).sum()
+
+    for _ in range(s.outer):
+        g = minimise(g, lambda g: h @ otnmf.softmin(h.T @ g / (c_w * spots)))
+        w = otnmf.softmin(h.T @ g / (c_w * spots))
+        want.append(total())
+        g = minimise(g, lambda g: otnmf.softmin(g @ w.T / (c_h * spots)) @ w)
+        h = otnmf.softmin(g @ w.T / (c_h * spots))
+        want.append(total())
+    assert losses == pytest.approx(want, abs=1e-8)
+    assert all(r.weight == pytest.approx(h[int(r.gene[1:]), int(r.program[3:]) - 1], abs=1e-7) for r in spectra.collect())
+    assert all(r.usage == pytest.approx(w[int(r.program[3:]) - 1, int(r.spot[1:])], abs=1e-7) for r in usage.collect())
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "sets.gmt").write_text("one\tdesc\ta\t b\ntwo\tdesc\tc\n")
     got = [(r.collection, r.set_name, r["rank"], r.gene) for r in readers.gene_sets(spark, str(tmp_path / "sets.gmt")).orderBy("set_name", "rank").collect()]
