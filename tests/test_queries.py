@@ -30,3 +30,13 @@ def test_sql_agrees(spark, name):
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     assert normal(q.QUERIES[name](spark, DATA).toPandas()) == normal(con.execute(q.ORACLE_SQL[name]).df())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="tables are not here")
+def test_factorisation_gets_every_gene_and_the_runner_s_limits(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(q.otnmf, "factorise", lambda counts, settings: seen.append((counts, settings)) or (counts,))
+    q.QUERIES["transport_factorisation"](spark, DATA)
+    (given, settings), whole = seen[0], q.counts(spark, DATA)
+    assert given.exceptAll(whole).isEmpty() and whole.exceptAll(given).isEmpty()
+    assert (settings.k, settings.inner, settings.outer) == (3, 1000, 100)
