@@ -40,3 +40,11 @@ def test_factorisation_gets_every_gene_and_the_runner_s_limits(spark, monkeypatc
     (given, settings), whole = seen[0], q.counts(spark, DATA)
     assert given.exceptAll(whole).isEmpty() and whole.exceptAll(given).isEmpty()
     assert (settings.k, settings.inner, settings.outer) == (3, 1000, 100)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="tables are not here")
+def test_enrichment_takes_the_sets_of_all_parts(spark):
+    import duckdb
+
+    want = dict(duckdb.sql(f"SELECT 'set' || (p_size % 5), count(DISTINCT p_partkey % 97) FROM '{DATA}/part.parquet' GROUP BY 1").fetchall())
+    assert {r.set_name: r.set_size for r in q.QUERIES["set_enrichment"](spark, DATA).collect()} == want

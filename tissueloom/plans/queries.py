@@ -186,14 +186,14 @@ _SETS = """, rk AS (SELECT program, gene, row_number() OVER (PARTITION BY progra
 gs AS (SELECT DISTINCT 'set' || (p_size % 5) AS set_name, 'g' || (p_partkey % 97) AS gene FROM part WHERE p_partkey <= 60)"""
 
 
-def gene_sets(spark, d):
-    part = _table(spark, d, "part").filter("p_partkey <= 60")
+def gene_sets(spark, d, rows="true"):
+    part = _table(spark, d, "part").filter(rows)
     return part.select(F.concat(F.lit("set"), F.col("p_size") % 5).alias("set_name"), F.concat(F.lit("g"), F.col("p_partkey") % 97).alias("gene")).distinct()
 
 
 @register(_SETS + " SELECT set_name, program, round(sum(1.0 / rank), 6) AS score FROM gs JOIN rk USING (gene) GROUP BY 1, 2")
 def marker_scores(spark, d):
-    return rounded(P.mean_rank_score(gene_sets(spark, d), P.rank_genes(scores(spark, d))), "score")
+    return rounded(P.mean_rank_score(gene_sets(spark, d, "p_partkey <= 60"), P.rank_genes(scores(spark, d))), "score")
 
 
 @register(_SETS + """, l AS (SELECT program AS name, gene AS item, rank FROM rk WHERE rank <= 50),
