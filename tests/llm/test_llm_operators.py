@@ -127,6 +127,13 @@ def test_mix_targets_and_whole_epochs(docs):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.times for r in rows if r["size"])
 
 
+def test_classifier_fits_on_whole_texts(spark):
+    docs = spark.createDataFrame([(0, "a" * 50_000), (1, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int")
+    rows = classifier.training_rows(docs, labels, lambda c: c < 0, "doc_id", "text", "quality").collect()
+    assert {r.y: len(r.text) for r in rows} == {0: 50_000, 1: 5}
+
+
 def test_classifier_separates(spark):
     rng = random.Random(3)
     word = lambda abc: "".join(rng.choice(abc) for _ in range(rng.randint(2, 6)))

@@ -6,8 +6,8 @@ sum plus ``PRIOR`` bytes (so that short texts say little), and the logarithm of
 (endless repeats shrink with either dictionary).  A logistic curve fitted on other labelled texts turns the
 evidence into a score.
 
-Fitting uses at most ``SAMPLE`` labelled texts of either class, those with the smallest hashes of their id,
-and at most ``SAMPLE_BYTES`` of each; scoring reads every text whole.
+Fitting uses at most ``SAMPLE`` labelled texts of either class, those with the smallest hashes of their id.
+Fitting and scoring read every text whole; the driver holds the texts fitted on.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 SAMPLE = 1200
-SAMPLE_BYTES = 16_000
 DICTIONARY_BYTES = 64 << 10
 PIECE = 2048
 LEVEL = 3
@@ -118,7 +117,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out, id_col: str, tex
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     # at most 2 * SAMPLE ids
     found = texts.join(F.broadcast(picked), "id")
-    return found.select("y", "order", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
+    return found.select("y", "order", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
