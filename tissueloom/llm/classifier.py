@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import kept_by_worker, map_arrow
 
 SAMPLE = 1200
 DICTIONARY_BYTES = 64 << 10
@@ -43,6 +43,7 @@ class Model:
 
 
 _made: dict[int, tuple] = {}
+kept_by_worker.append(_made)
 
 
 def compressors(good: bytes, bad: bytes) -> tuple:

@@ -64,15 +64,60 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with this package at hand on the executors; a task's memory is given back at its end."""
-    ship(df.sparkSession)
+#: Session setting, its default, and what the operators set in place of that: a Python worker gets a few MB at a time.
+SMALL_BATCHES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b")
+IDLE_SECONDS = 3.0
+#: Tables that workers keep from task to task; emptied when a worker has been idle for a while.
+kept_by_worker: list[dict] = []
+_timer: list = []
+
+
+def _forget() -> None:
+    for cache in kept_by_worker:
+        cache.clear()
+    release()
+
+
+def begin_task() -> None:
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    while _timer:
+        _timer.pop().cancel()
+
+
+def end_task() -> None:
+    """Memory goes back at a task's end, and kept tables once no task has followed for a while."""
+    import threading
+
+    release()
+    if any(kept_by_worker):
+        _timer.append(threading.Timer(IDLE_SECONDS, _forget))
+        _timer[-1].daemon = True
+        _timer[-1].start()
+
+
+def working(function):
+    """Wraps a task's iterator with :func:`begin_task` and :func:`end_task`, by name: a closure's copy would not see the worker's own tables."""
 
     def run(batches):
-        yield from function(batches)
-        release()
+        begin_task()
+        try:
+            yield from function(batches)
+        finally:
+            end_task()
+
+    return run
 
-    return df.mapInArrow(run, schema)
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow with this package at hand on the executors, in batches of a few MB."""
+    spark = df.sparkSession
+    ship(spark)
+    key, usual, small = SMALL_BATCHES
+    if spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, small)
+    return df.mapInArrow(working(function), schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,36 +134,39 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE_VALUE = splitmix(np.arange(256, dtype=U64))
-_FOLDED_VALUE = _BYTE_VALUE.copy()
-_FOLDED_VALUE[65:91] = _BYTE_VALUE[97:123]
-_BASE = 0x2545F4914F6CDD1D
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n, modulo 2 ** 64; kept and grown."""
-    have = _powers.get(base)
-    if have is None or len(have) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
-        steps = np.full(size, base, U64)
-        steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=U64)
-    return have
-
-
-def prefix_hash(data: np.ndarray, values: np.ndarray = _BYTE_VALUE) -> np.ndarray:
-    """Prefix sums from which :func:`span_hash` hashes any span."""
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(values[data] * powers(_BASE, len(data))[: len(data)], dtype=U64, out=out[1:])
-    return out
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+LONG_SPAN = 64
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end] for arrays of spans, independent of where the span lies."""
-    raw = (prefix[end] - prefix[start]) * powers(_INVERSE, len(prefix))[start]
-    return splitmix(raw ^ splitmix((end - start).astype(U64)))
+def span_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of data[begin:end] for arrays of spans, independent of where the span lies.
+
+    Spans are read in words of 8 bytes, each mixed in by a bijection, so spans of up to 8 bytes never collide
+    with others of their size, and no text, however regular, makes longer ones collide more often than
+    random values would.  Spans over ``LONG_SPAN`` bytes are hashed by XXH3.
+    """
+    import xxhash
+
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    begin, size = np.asarray(begin, np.int64), np.asarray(end, np.int64) - begin
+
+    def word(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(eight[at]).view("<u8")[:, 0] & _KEEP[np.minimum(left, 8)]
+
+    out = splitmix(word(begin, size) ^ splitmix(size.astype(U64)))
+    live, done = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
+    while len(live):
+        out[live] = splitmix(splitmix(out[live]) ^ word(begin[live] + done, size[live] - done))
+        done += 8
+        live = live[size[live] > done]
+    long = np.flatnonzero(size > LONG_SPAN)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(begin[long].tolist(), (begin + size)[long].tolist())]
+    return out
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +191,7 @@ class Block:
         self.begin, self.end = word_spans(self.data)
         self.first = np.searchsorted(self.begin, self.starts)
         self.first[-1] = len(self.begin)
-        self.prefix = prefix_hash(self.data, _FOLDED_VALUE if fold else _BYTE_VALUE)
-        self.words = span_hash(self.prefix, self.begin, self.end)
+        self.words = span_hash(_FOLD[self.data] if fold else self.data, self.begin, self.end)
 
     def grams(self, n: int) -> np.ndarray:
         """Hash of the n words from each word on; meaningful where n words follow within the text."""
@@ -185,10 +232,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def column_names(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the wanted columns, so that others of any name cannot clash."""
     return df.select(*[F.col(f"`{c}`") for c in wanted])

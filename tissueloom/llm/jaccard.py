@@ -1,25 +1,24 @@
 """Exact Jaccard join of word-shingle sets with token-combination prefixes.
 
 Tokens are 64-bit hashes of shingles.  A global order puts rare tokens first (by hash) and the tokens found
-frequent last.  If two sets reach the similarity, their prefixes of length n - need + 1 share a token, and
-their prefixes of length n - need + 2 share two.  So:
+frequent last (by count).  If two sets reach the similarity, their prefixes of length n - need + 1 share a
+token, and those of length n - need + 2 share two.  So:
 
 1. Documents with equal sets form one class; all further work is on classes.
-2. The prefixes are indexed.  In each bucket every member is verified against the smallest member (a star),
-   never against all others, and verified links are contracted to components.
-3. In buckets of at most ``bound`` members that still hold several components, the remaining pairs across
-   components are verified.
-4. Classes of larger buckets are contracted in blocks, and get more stars, around members drawn anew.  Classes of those that still hold several
-   components are indexed again, with the tokens of those buckets and others they often hold moved to the
-   frequent end: single tokens for rare ones, pairs of tokens for frequent ones, from prefixes
-   extended by one.  What shares a key across components is verified.
-
-Steps 2 and 4 verify only stars and pairs of a block that look similar by their sketches, the smallest hashes
-of each set.  Sketches choose what to contract early; they never rule a pair out of steps 3 and 4.
-
-Links inside a component need no verification, as only components are returned; no link between components
-is lost, because every pair that shares a prefix token is verified, in one component, or meets in step 4.
-``bound`` is at least 64 and grows as index rows / 1,000,000, which bounds the tokens of step 4 at a million.
+2. Prefixes are indexed: rare tokens as single keys; frequent ones, from the prefix extended by one, as pairs of
+   tokens.  Two similar sets whose first shared token is rare meet under it; otherwise their first two shared
+   tokens are frequent, and they meet under that pair.
+3. Under a key of at most ``bound`` classes, each pair that sizes and places allow is a candidate.  Under a larger
+   key no pair is formed: its classes, as far as their sizes chain, become one family.
+4. Candidates that are not of one family are verified by the exact sizes of intersections.
+5. A family is cut into blocks of bounded size, and whole sets meet block by block: first each block within
+   itself, then, where a family has several blocks, those pairs of blocks that can still hold a link between
+   different components.  Within a task, sizes of intersections are products of 0/1 matrices, and only a
+   spanning forest of the links leaves it, so no task emits more rows than it has read sets.
+
+Only components are returned, so links inside one need no verification; every pair of classes that shares a
+key is verified, meets in a block, or is in one component already.
+``bound`` is at least ``LEAST_BOUND`` and grows with the rows, which bounds the frequent tokens at a million.
 """
 
 from __future__ import annotations
@@ -36,15 +35,16 @@ from .components import components
 
 WORDS = 5
 PERCENT = 80
-LOCAL_FREQUENT = 8
+COUNT_TOKENS = 1_000_000
+LOCAL_FREQUENT = 2
 MOST_FREQUENT = 1_000_000
-LEAST_BOUND = 64
-STAR_TURNS = 3
+LEAST_FREQUENT = 16
+LEAST_BOUND = 128
+COMBINED_UP_TO = 200
 BLOCK_CLASSES = 256
-COMBINED_UP_TO = 400
+BLOCK_TOKENS = 400_000
 BROADCAST_IDS = 2_000_000
-SKETCH = 16
-LIKELY_PERCENT = 55
+MATRIX_TOKENS = 4096
 
 
 def needed(n, percent: int):
@@ -72,135 +72,274 @@ def shingle_sets(texts: list[bytes | None], words: int = WORDS) -> list[np.ndarr
     return out
 
 
-def fingerprint(tokens: np.ndarray) -> int:
-    """A 64-bit name of a set; 0 is kept for the empty one."""
+def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of a set; (0, 0) is kept for the empty one."""
+    import xxhash
+
     if not len(tokens):
-        return 0
-    h = splitmix(tokens ^ U64(0x517CC1B727220A95)).sum(dtype=U64, keepdims=True) ^ splitmix(splitmix(tokens + U64(0x9E37)).sum(dtype=U64, keepdims=True))
-    return int(signed(splitmix(h))[0]) or 1
+        return 0, 0
+    h = xxhash.xxh3_128_intdigest(tokens.tobytes())
+    one, two = signed(np.array([h >> 64, h & (1 << 64) - 1], U64)).tolist()
+    return one or 1, two
+
 
+class Names:
+    """64-bit names of sets: the first half of the fingerprint, or, of those known to clash, a mix of both."""
 
-def sketches(sets: list[np.ndarray]) -> pa.ListArray:
-    """The ``SKETCH`` smallest hashes of each sorted set, shifted so that signed order is that of the hashes."""
-    small = [s[:SKETCH] for s in sets]
-    offsets = np.concatenate(([0], np.cumsum([len(s) for s in small]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate([np.zeros(0, U64), *small]) ^ U64(1 << 63))))
+    def __init__(self, clashing: set[int]):
+        self.clashing = clashing
 
+    def of(self, tokens: np.ndarray) -> int:
+        one, two = fingerprint(tokens)
+        return one if one not in self.clashing else self.mixed(one, two)
 
-def ordered(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
-    """Tokens with rare ones first, and the number of rare ones."""
-    if not len(frequent) or not len(tokens):
-        return tokens, len(tokens)
-    at = np.searchsorted(frequent, tokens)
-    at[at == len(frequent)] = 0
-    often = frequent[at] == tokens
-    return np.concatenate((tokens[~often], tokens[often])), int((~often).sum())
+    @staticmethod
+    def mixed(one: int, two: int) -> int:
+        return int(signed(splitmix(splitmix(np.array([one], np.int64).view(U64)) ^ np.array([two], np.int64).view(U64)))[0])
 
 
-def _binary(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return column_names(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, t): t tells apart rows that repeat an id."""
+    text = F.col(text_col).cast("binary")
+    return column_names(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("t"))
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
-        texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+        texts = batch.column(1).to_pylist()
         for part in blocks(texts):
-            yield ids[part], shingle_sets(texts[part], words)
+            yield batch.slice(part.start, part.stop - part.start), shingle_sets(texts[part], words)
 
 
-def describe(docs: DataFrame, words: int) -> DataFrame:
-    """kind 0: (doc_id, n, cls, sketch) of each row; kind 1: (token, count) of tokens frequent within a block."""
-    names = ["kind", "doc_id", "n", "cls", "sketch"]
+def describe(src: DataFrame, words: int) -> DataFrame:
+    """kind 0: (doc_id, t, n, one, two) of each row; kind 1: (one: token, n: count) of tokens met often within a stretch of rows."""
+    names = ["kind", "doc_id", "t", "n", "one", "two"]
+
+    def often(own: dict) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate(list(own.values())), return_counts=True)
+        at = counts >= LOCAL_FREQUENT
+        m = int(at.sum())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(counts[at].astype(np.int64)), pa.array(signed(tokens[at])), pa.nulls(m, pa.int64())], names=names)
 
     def run(batches):
-        for ids, sets in _sets_of(batches, words):
-            n, cls = [len(s) for s in sets], [fingerprint(s) for s in sets]
-            m = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), sketches(sets)], names=names)
-            own = list({c: s for c, s in zip(cls, sets)}.values())
-            if own:
-                tokens, counts = np.unique(np.concatenate(own), return_counts=True)
-                at = counts >= LOCAL_FREQUENT
-                tokens, counts = tokens[at], counts[at]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.nulls(len(tokens), pa.int64()), pa.array(counts.astype(np.int64)), pa.array(signed(tokens)), pa.nulls(len(tokens), pa.list_(pa.int64()))], names=names)
-
-    return map_arrow(docs, run, "kind int, doc_id long, n long, cls long, sketch array<long>")
-
-
-def index(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Prefix index rows (spread, token, cls, n, hub, hub_n).
-
-    Within a block, a token of several classes gives a star at once, and only its hub goes on, so no token
-    reaches a task more often than there are blocks.  hub: null for rows yet to be grouped by token, the
-    row's own class for hubs of a local star.
+        own, held = {}, 0
+        for rows, sets in _sets_of(batches, words):
+            prints = [fingerprint(s) for s in sets]
+            m = len(sets)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())], names=names)
+            for p, s in zip(prints, sets):
+                if len(s) > 1 and p not in own:
+                    own[p] = s
+                    held += len(s)
+            if held >= COUNT_TOKENS:
+                yield often(own)
+                own, held = {}, 0
+        if own:
+            yield often(own)
+
+    return map_arrow(src, run, "kind int, doc_id long, t long, n long, one long, two long")
+
+
+class Frequent:
+    """The frequent tokens, sorted, and the place of each in the order by count."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        order = np.argsort(tokens)
+        self.tokens = tokens[order]
+        self.place = np.empty(len(tokens), np.int64)
+        self.place[np.lexsort((tokens, counts))] = np.arange(len(tokens))
+        self.place = self.place[order]
+
+    def find(self, tokens: np.ndarray) -> np.ndarray:
+        """The place of each token in the order, -1 for rare ones."""
+        if not len(self.tokens):
+            return np.full(len(tokens), -1, np.int64)
+        at = np.searchsorted(self.tokens, tokens)
+        at[at == len(self.tokens)] = 0
+        return np.where(self.tokens[at] == tokens, self.place[at], -1)
+
+
+def keys_of(sets: list[np.ndarray], frequent: Frequent, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, index of the set, left) of all sets.
+
+    left: the largest overlap a set can have with one whose first shared tokens in the order are this key's.
+    Sets of up to ``COMBINED_UP_TO`` tokens use pairs of frequent tokens; sets from ``percent`` of that on use
+    single ones as well, so that two similar sets always have one kind in common, and long sets never need all
+    pairs.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    place = frequent.find(flat)
+    rare = place < 0
+    upto = np.concatenate(([0], np.cumsum(rare)))
+    first = np.cumsum(n) - n
+    n_rare = upto[first + n] - upto[first]
+    at = upto[:-1] - np.repeat(upto[first], n)  # a rare token's place within its set
+    length = n - needed(n, percent) + 1
+    pick = rare & (at < np.repeat(length, n))
+    keys, owners, lefts = [splitmix(flat[pick])], [owner[pick]], [np.repeat(n, n)[pick] - at[pick]]
+    for i in np.flatnonzero((n_rare < length + 1) & (n_rare < n)).tolist():
+        s, p, m = sets[i], place[first[i] : first[i] + n[i]], int(n[i])
+        inside, before = int(min(m, length[i] + 1)), int(n_rare[i])
+        often = s[p >= 0][np.argsort(p[p >= 0])][: inside - before]
+        if m * 100 >= percent * COMBINED_UP_TO:
+            alone = often[: max(0, int(length[i]) - before)]
+            keys.append(splitmix(alone))
+            lefts.append(m - before - np.arange(len(alone)))
+            owners.append(np.full(len(alone), i))
+        if m <= COMBINED_UP_TO and len(often) > 1:
+            a, b = np.triu_indices(len(often), 1)
+            keys.append(splitmix(splitmix(often[a]) + splitmix(often[b] ^ U64(0x5BD1E995)) * U64(3)))
+            lefts.append(m - before - b + 1)
+            owners.append(np.full(len(a), i))
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(lefts)
+
+
+def chains(key: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Where a new run begins in rows sorted by (key, n): at a new key, or where sizes are too far apart for any pair across."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64))
+    return new
+
+
+def index(src: DataFrame, words: int, percent: int, frequent: Frequent, clashing: set[int], bound: int) -> DataFrame:
+    """Rows (kind, key, cls, n, left): kind 0 a class under a key, 1 the same under a key known to be large, 2 an edge (key, cls) of a family.
+
+    Within a stretch of rows, the classes of a key with more than ``bound`` of them form families at once, and
+    of each run of sizes only so many go on that any other class that could link into it can link to one of
+    them.  So a key sends few rows from a task, however many documents hold it.
     """
+    names = ["kind", "key", "cls", "n", "left"]
 
     def run(batches):
+        own = Names(clashing)
         for _, sets in _sets_of(batches, words):
-            own = {fingerprint(s): s for s in sets if len(s) > 1}
-            parts, names, sizes = [], [], []
-            for c, s in own.items():
-                p = ordered(s, frequent)[0][: len(s) - needed(len(s), percent) + 1]
-                parts.append(p)
-                names.append(np.full(len(p), c, np.int64))
-                sizes.append(np.full(len(p), len(s), np.int32))
-            if not parts:
+            named = {own.of(s): s for s in sets if len(s) > 1}
+            if not named:
                 continue
-            token, cls, n = np.concatenate(parts), np.concatenate(names), np.concatenate(sizes)
-            order = np.lexsort((cls, token))
-            token, cls, n = token[order], cls[order], n[order]
-            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            size = np.diff(np.append(start, len(token)))
-            hub = np.repeat(cls[start], size)
-            local = np.repeat(size >= 3, size)
-            is_hub = np.zeros(len(token), bool)
-            is_hub[start] = True
-            spread = np.where(local & ~is_hub, cls ^ signed(token), signed(token))
-            hubs, hub_n = pa.array(hub, mask=~local), pa.array(np.repeat(n[start], size), mask=~local)
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(signed(token)), pa.array(cls), pa.array(n), hubs, hub_n], names=["spread", "token", "cls", "n", "hub", "hub_n"])
+            key, at, left = keys_of(list(named.values()), frequent, percent)
+            cls = np.fromiter(named, np.int64, len(named))[at]
+            n = np.array([len(s) for s in named.values()], np.int32)[at]
+            order = np.lexsort((n, key))
+            key, cls, n, left = signed(key[order]), cls[order], n[order], left[order].astype(np.int32)
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(start, len(key)))
+            kind = np.repeat((size > bound).astype(np.int32), size)
+            if kind.any():
+                run_start = np.flatnonzero(chains(key, n, percent))
+                hub = np.repeat(np.minimum.reduceat(cls, run_start), np.diff(np.append(run_start, len(key))))
+                sent = kind == 0
+                for a, b in zip(run_start.tolist(), [*run_start[1:].tolist(), len(key)]):
+                    if not kind[a]:
+                        continue
+                    at_n, k = n[a:b], 0
+                    while k < b - a:  # the last one within reach of the one before
+                        sent[a + k] = True
+                        k = max(k + 1, int(np.searchsorted(at_n, 100 * int(at_n[k]) // percent, side="right")) - 1)
+                edge = (kind == 1) & (hub != cls)
+                pairs = np.unique(np.stack((hub[edge], cls[edge]), 1), axis=0)
+                zero = np.zeros(len(pairs), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(zero + 2), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(zero), pa.array(zero)], names=names)
+                kind, key, cls, n, left = (x[sent] for x in (kind, key, cls, n, left))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, key, cls, n, left)], names=names)
+
+    return map_arrow(src, run, "kind int, key long, cls long, n int, left int")
+
+
+def _pairs_in_runs(start: np.ndarray, size: np.ndarray, cls: np.ndarray, n: np.ndarray, left: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b) within runs of rows that sizes and ``left`` allow, some runs at a time."""
+    for m in np.unique(size[size > 1]).tolist():
+        i, j = np.triu_indices(m, 1)
+        runs = start[size == m]
+        step = max(1, 200_000 // len(i))
+        for at in range(0, len(runs), step):
+            base = runs[at : at + step, None]
+            x, y = (base + i).ravel(), (base + j).ravel()
+            nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
+            ok = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
+            ok &= (100 + percent) * np.minimum(left[x], left[y]).astype(np.int64) >= percent * (nx + ny)
+            x, y = cls[x[ok]], cls[y[ok]]
+            yield np.minimum(x, y), np.maximum(x, y)
 
-    return map_arrow(docs, run, "spread long, token long, cls long, n int, hub long, hub_n int")
 
+def meet(rows: DataFrame, bound: int, percent: int) -> DataFrame:
+    """(family, a, b): edges of families (1) and candidate pairs (0), each once a task at least.  Keys stream by in order; one is held at a time."""
 
-def group(rows: DataFrame) -> DataFrame:
-    """(token, cls, n, hub, hub_n) for tokens of two classes or more; rows must be dealt by ``spread``."""
+    def found(key, cls, n, left, kind) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        order = np.lexsort((cls, n, key))
+        key, cls, n, left, kind = (x[order] for x in (key, cls, n, left, kind))
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+        kind = np.maximum.reduceat(kind, np.flatnonzero(fresh))
+        key, cls, n, left = (x[fresh] for x in (key, cls, n, left))
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(start, len(key)))
+        large = (size > bound) | (np.maximum.reduceat(kind, start) > 0)
+        for a, b in _pairs_in_runs(start[~large], size[~large], cls, n, left, percent):
+            yield 0, a, b
+        if large.any():
+            inside = np.repeat(large, size)
+            key, cls, n = key[inside], cls[inside], n[inside]
+            run_start = np.flatnonzero(chains(key, n, percent))
+            hub = np.repeat(np.minimum.reduceat(cls, run_start), np.diff(np.append(run_start, len(key))))
+            at = hub != cls
+            yield 1, hub[at], cls[at]
 
     def run(batches):
-        got = [[b.column(k).fill_null(0).to_numpy() for k in range(1, 6)] + [b.column(4).is_null().to_numpy(zero_copy_only=False)] for b in batches if b.num_rows]
-        if not got:
-            return
-        token, cls, n, hub, hub_n, open_ = (np.concatenate(x) for x in zip(*got))
-        waits = open_ | (hub == cls)
-        done = ~waits
-        order = np.flatnonzero(waits)
-        order = order[np.lexsort((cls[order], token[order]))]
-        t, c, m, starred = token[order], cls[order], n[order], ~open_[order]
-        h, hm = c, m
-        if len(t):
-            start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-            size = np.diff(np.append(start, len(t)))
-            several = (c[start] != c[start + size - 1]) | (np.maximum.reduceat(starred, start))
-            keep = np.repeat(several, size)
-            keep[1:] &= (t[1:] != t[:-1]) | (c[1:] != c[:-1])  # copies from several blocks
-            h, hm = np.repeat(c[start], size)[keep], np.repeat(m[start], size)[keep]
-            t, c, m = t[keep], c[keep], m[keep]
-        out = [np.concatenate((x[done], y)) for x, y in ((token, t), (cls, c), (n, m), (hub, h), (hub_n, hm))]
-        for at in range(0, len(out[0]), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in out], names=["token", "cls", "n", "hub", "hub_n"])
-
-    return map_arrow(rows.repartition("spread"), run, "token long, cls long, n int, hub long, hub_n int")
-
-
-def class_sets(docs: DataFrame, words: int) -> DataFrame:
+        held, out, n_out = None, {0: [], 1: []}, 0
+
+        def flush():
+            for k, parts in out.items():
+                if parts:
+                    rows = np.unique(np.concatenate(parts), axis=0)
+                    parts.clear()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["family", "a", "b"])
+
+        def add(*columns):
+            for k, a, b in found(*columns):
+                if len(a):
+                    out[k].append(np.stack((a, b), 1))
+                    yield len(a)
+
+        for batch in batches:
+            kind, key, cls, n, left = (batch.column(k).to_numpy() for k in range(5))
+            edge = kind == 2
+            if edge.any():
+                out[1].append(np.stack((key[edge], cls[edge]), 1))
+                n_out += int(edge.sum())
+                kind, key, cls, n, left = (x[~edge] for x in (kind, key, cls, n, left))
+            now = [key, cls, n, left, kind]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            if not len(now[0]):
+                continue
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            held = [x[last:] for x in now]
+            if last:
+                n_out += sum(add(*(x[:last] for x in now)))
+            if n_out > 200_000:
+                yield from flush()
+                n_out = 0
+        if held is not None and len(held[0]):
+            for _ in add(*held):
+                pass
+        yield from flush()
+
+    dealt = rows.repartition(F.when(F.col("kind") == 2, F.col("cls")).otherwise(F.col("key"))).sortWithinPartitions("key")
+    return map_arrow(dealt, run, "family int, a long, b long")
+
+
+def class_sets(src: DataFrame, words: int, clashing: set[int]) -> DataFrame:
     """(cls, n, tokens) of each row."""
 
     def run(batches):
+        own = Names(clashing)
         for _, sets in _sets_of(batches, words):
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = np.concatenate([np.zeros(0, U64), *sets])
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(flat)))], names=["cls", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([own.of(s) for s in sets], pa.int64()), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(flat)))], names=["cls", "n", "tokens"])
 
-    return map_arrow(docs, run, "cls long, n int, tokens array<long>")
+    return map_arrow(src, run, "cls long, n int, tokens array<long>")
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -208,218 +347,186 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def sets_of(classes: DataFrame, docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """(cls, n, tokens) of the wanted classes, from the text of one document each; not written anywhere."""
-    ids = materialize(classes.join(reps, "cls").select("doc_id", "cls"), "wanted")
-    picked = docs.join(_bounded(ids.select("doc_id")), "doc_id", "left_semi")
-    # rows that repeat an id can hold other texts
-    return class_sets(picked, words).join(_bounded(ids.select("cls")), "cls", "left_semi")
-
+def sets_of(classes: DataFrame, src: DataFrame, reps: DataFrame, words: int, clashing: set[int]) -> DataFrame:
+    """(cls, n, tokens) of the wanted classes, from the text of one document each."""
+    wanted = materialize(classes.join(reps, "cls").select("cls", "rep.doc_id", "rep.t"), "wanted")
+    ids = _bounded(wanted.select(F.col("doc_id").alias("w_id"), F.col("t").alias("w_t")))
+    picked = src.join(ids, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("t") == F.col("w_t")), "left_semi")
+    return class_sets(picked, words, clashing)
 
-def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches look similar: of the smallest hashes of both sets, enough are in each."""
-    one, two = (reps.select(F.col("cls").alias(x), F.col("sketch").alias(f"s{x}")) for x in ("a", "b"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("low", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH))
-    shared = F.size(F.array_intersect("low", F.array_intersect("sa", "sb")))
-    return both.filter(100 * shared >= LIKELY_PERCENT * F.size("low")).select("a", "b")
 
-
-def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose similarity is reached, by the exact sizes of their sets.
 
     Sets of b go to their pairs in place, and from there to a, so that each pair moves one set.
     """
-    pairs = materialize(pairs, "pairs")
-    sets = materialize(sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), docs, reps, words), "sets")
     two = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")).join(_bounded(pairs), "b")
     one = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(_bounded(pairs.select("a").distinct()), "a", "left_semi")
     shared = two.join(one, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("shared"))
-    links = materialize(shared.filter(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b").distinct(), "links")
-    discard(sets, pairs)
-    return links
+    return shared.filter(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
+
+
+def overlaps(sets: list[np.ndarray], cut: int) -> np.ndarray:
+    """Sizes of intersections: of all sets with all (cut = 0), or of the first ``cut`` with the others."""
+    n = [len(s) for s in sets]
+    tokens, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    shared = count[at] > 1
+    owner, at = np.repeat(np.arange(len(sets)), n)[shared], column[at[shared]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((cut or len(sets), len(sets) - cut), np.float32)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, MATRIX_TOKENS):
+        part = slice(*np.searchsorted(at, (low, low + MATRIX_TOKENS)))
+        marks = np.zeros((len(sets), MATRIX_TOKENS), np.float32)
+        marks[owner[part], at[part] - low] = 1
+        out += marks[: cut or None] @ marks[cut:].T
+    return out
 
 
-def _pairs_in_runs(start: np.ndarray, size: np.ndarray, cls: np.ndarray, n: np.ndarray, root: np.ndarray, left: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (a < b) within runs of rows, of similar size, enough ``left`` and different components, some runs at a time."""
-    for m in np.unique(size[size > 1]).tolist():
-        i, j = np.triu_indices(m, 1)
-        runs = start[size == m]
-        step = max(1, 1_000_000 // len(i))
-        for at in range(0, len(runs), step):
-            base = runs[at : at + step, None]
-            x, y = (base + i).ravel(), (base + j).ravel()
-            nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
-            ok = (root[x] != root[y]) & (cls[x] != cls[y]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
-            ok &= (100 + percent) * np.minimum(left[x], left[y]).astype(np.int64) >= percent * (nx + ny)
-            x, y = cls[x[ok]], cls[y[ok]]
-            if len(x):
-                both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
-                yield both[:, 0], both[:, 1]
+def forest(links: np.ndarray) -> np.ndarray:
+    """The smallest member reachable from each, given a symmetric 0/1 matrix."""
+    label = np.arange(len(links))
+    links = links | np.eye(len(links), dtype=bool)
+    while True:
+        low = np.where(links, label, len(label)).min(1)
+        low = np.minimum(low, low[low])
+        if (low == label).all():
+            return label
+        label = low
 
 
-def across(rows: DataFrame, bound: int, percent: int) -> DataFrame:
-    """rows: (key, cls, n, root, left).  kind 0: (key, x: cls, y: root, n, size, left) of keys with several components;
-    kind 1: pairs (x, y) across components of keys with at most ``bound`` rows.
+def linked(cls: np.ndarray, sets: list[np.ndarray], percent: int, cut: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (a, b) of the links among sets, or, with ``cut``, of those between the first ``cut`` and the others."""
+    n = np.array([len(s) for s in sets], np.int64)
+    shared = overlaps(sets, cut).astype(np.int64)
+    near = 100 * shared >= percent * (n[: cut or None, None] + n[None, cut:] - shared)
+    links = near
+    if cut:
+        links = np.zeros((len(sets), len(sets)), bool)
+        links[:cut, cut:] = near
+        links[cut:, :cut] = near.T
+    label = forest(links)
+    at = label != np.arange(len(label))
+    return cls[label[at]], cls[at]
 
-    left: the largest overlap a set can have with one whose first shared tokens in the order are this key's.  Every
-    pair of similar sets meets under its first shared tokens, so pairs for which that is too little can go.
-    """
-    names = ["kind", "key", "x", "y", "n", "size", "left"]
 
-    def run(batches):
-        got = [[b.column(k).to_numpy() for k in range(5)] for b in batches if b.num_rows]
-        if not got:
-            return
-        key, cls, n, root, left = (np.concatenate(x) for x in zip(*got))
-        order = np.lexsort((cls, key))
-        key, cls, n, root, left = key[order], cls[order], n[order], root[order], left[order]
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(start, len(key)))
-        several = np.maximum.reduceat(root, start) != np.minimum.reduceat(root, start)
-        keep = np.repeat(several, size)
-        out = [key[keep], cls[keep], root[keep], n[keep], np.repeat(size, size)[keep].astype(np.int32), left[keep]]
-        for at in range(0, len(out[0]), 200_000):
-            part = [x[at : at + 200_000] for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part[0]), np.int32)), *map(pa.array, part)], names=names)
-        few = several & (size <= bound)
-        for a, b in _pairs_in_runs(start[few], size[few], cls, n, root, left, percent):
-            zero = np.zeros(len(a), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(zero.astype(np.int64)), pa.array(a), pa.array(b), pa.array(zero), pa.array(zero), pa.array(zero)], names=names)
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    dealt = rows.select("key", "cls", F.col("n").cast("int").alias("n"), "root", F.col("left").cast("int").alias("left")).repartition("key")
-    return map_arrow(dealt, run, "kind int, key long, x long, y long, n int, size int, left int")
 
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    tokens = table.column("tokens").combine_chunks()
+    offsets, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+    return table.column("cls").to_numpy(), [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
-def heavy_tokens(sets: DataFrame, least: int) -> np.ndarray:
-    """Tokens held by many of these sets: those met several times in a task, ``least`` times in all, at most MOST_FREQUENT.
 
-    They only choose the order of tokens, so what a task overlooks costs time and no link.
-    """
+def within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside the blocks of each family; members: (cls, family, block)."""
 
-    def run(batches):
-        got = [b.column(0).flatten().to_numpy() for b in batches if b.num_rows]
-        if got:
-            tokens, counts = np.unique(np.concatenate(got), return_counts=True)
-            often = counts >= 4
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[often]), pa.array(counts[often].astype(np.int64))], names=["token", "n"])
+    def run(table: pa.Table) -> pa.Table:
+        cls, own = _unpacked(table)
+        return _edges(*linked(cls, own, percent))
 
-    counted = map_arrow(sets.select("tokens"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    best = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token")
-    return np.array([r[0] for r in best.toLocalIterator()], np.int64).view(U64)
+    placed = sets.join(_bounded(members), "cls").select("family", "block", "cls", "tokens")
+    return grouped(placed, ["family", "block"], run)
 
 
-def contract(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """Likely links (a, b) inside blocks of about ``BLOCK_CLASSES`` classes of one large key; rows: (key, cls, size).
+def grouped(rows: DataFrame, by: list[str], function) -> DataFrame:
+    from .common import release, ship
 
-    In a block, pairs whose sketches agree well are named until their components meet.  This finds some of the
-    links of large groups with few comparisons; what it leaves out is found by the other steps.
-    """
-    own = rows.groupBy("cls").agg(F.max_by(F.struct("key", "size"), F.struct("size", "key")).alias("k"))
-    own = own.select("cls", F.col("k.key").alias("key"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("k.size") / BLOCK_CLASSES)).alias("salt"))
-    dealt = reps.select("cls", "sketch").join(_bounded(own), "cls").select("key", "salt", "cls", "sketch").repartition("key", "salt")
+    ship(rows.sparkSession)
 
-    def run(batches):
-        held: dict[tuple, dict] = {}
-        for b in batches:
-            key, salt, cls = (b.column(k).to_pylist() for k in range(3))
-            for i, k in enumerate(zip(key, salt)):
-                held.setdefault(k, {})[cls[i]] = b.column(3)[i].values.to_numpy()
-        found = []
-        for block in held.values():
-            names, small = list(block), list(block.values())
-            sizes = np.array([len(t) for t in small])
-            _, at = np.unique(np.concatenate(small), return_inverse=True)
-            marks = np.zeros((len(small), at.max() + 1), np.float32)
-            marks[np.repeat(np.arange(len(small)), sizes), at] = 1
-            alike = np.triu(100 * (marks @ marks.T) >= (LIKELY_PERCENT + 5) * np.minimum.outer(sizes, sizes), 1)
-            root = list(range(len(names)))
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for i, j in np.argwhere(alike).tolist():
-                x, y = find(i), find(j)
-                if x != y:
-                    root[y] = x
-                    found.append((names[i], names[j]))
-        if found:
-            a, b = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return map_arrow(dealt, run, "a long, b long")
-
-
-def star_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    """rows: (key, cls, n, root).  Each class against the drawn member, of another component, it shares most keys with."""
-    drawn = rows.groupBy("key").agg(F.max_by(F.struct("cls", "n", "root"), F.xxhash64("cls", F.lit(turn))).alias("hub"))
-    near = rows.join(drawn, "key").filter(f"root <> hub.root AND 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
-    counted = near.groupBy("cls", F.col("hub.cls").alias("hub")).agg(F.count("*").alias("shared"))
-    best = counted.groupBy("cls").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
-    return best.select(F.col("hub").alias("a"), F.col("cls").alias("b"))
-
-
-def recombine(members: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Keys (key, cls, n, left) of step 4: single rare tokens and pairs of frequent ones from extended prefixes.
-
-    Sets of up to ``COMBINED_UP_TO`` tokens use pairs; sets from ``percent`` of that on use single tokens
-    as well, so that two similar sets always have one kind in common, and long sets never need all pairs.
-    """
+    def run(table):
+        out = function(table)
+        if table.nbytes > 1 << 23:
+            release()
+        return out
 
-    def run(batches):
-        for batch in batches:
-            columns = [batch.column(k).to_numpy() for k in (0, 1)]
-            keys, lefts, rows, sizes = [], [], [], []
-
-            def out():
-                at = np.repeat(rows, sizes)
-                return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), *(pa.array(c[at]) for c in columns), pa.array(np.concatenate(lefts).astype(np.int32))], names=["key", "cls", "n", "left"])
-
-            for r, tokens in enumerate(batch.column(2)):
-                s = tokens.values.to_numpy().view(U64)
-                n = len(s)
-                order, rare = ordered(s, frequent)
-                length = min(n, n - needed(n, percent) + 2)
-                rare = min(rare, length)
-                often = order[rare:length]
-                found, left = [splitmix(order[:rare])], [n - np.arange(rare)]
-                if n * 100 >= percent * COMBINED_UP_TO:
-                    found.append(splitmix(often))
-                    left.append(n - np.arange(rare, length))
-                if n <= COMBINED_UP_TO and len(often) > 1:
-                    i, j = np.triu_indices(len(often), 1)
-                    found.append(splitmix(splitmix(often[i]) + splitmix(often[j] ^ U64(0x5BD1E995)) * U64(3)))
-                    left.append(n - rare - j + 1)
-                keys.append(np.concatenate(found))
-                lefts.append(np.concatenate(left))
-                rows.append(r)
-                sizes.append(len(keys[-1]))
-                if sum(sizes) > 200_000:
-                    yield out()
-                    keys, lefts, rows, sizes = [], [], [], []
-            if keys:
-                yield out()
-
-    return map_arrow(members.select("cls", "n", "tokens"), run, "key long, cls long, n int, left int")
-
-
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return rows.join(_bounded(roots.select(F.col("node").alias("cls"), "root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-
-
-def plausible(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose prefixes share enough; lists: (cls, n, tokens) of prefix tokens that could be shared.
-
-    Of two prefixes, say that of a ends first in the global order.  Its tokens that b lacks are missing from
-    the overlap, so with c shared prefix tokens the overlap is at most needed(a) - 1 + c, and it has to reach
-    percent / (100 + percent) of both sizes together.
+    return rows.groupBy(*by).applyInArrow(run, "a long, b long")
+
+
+def between(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components of one family; members: (cls, family, n) of families of several blocks.
+
+    Classes of a large component fill blocks of their own, others share blocks, and a block holds sizes of one
+    quarter step, so that pairs of blocks of one component or of far sizes are left out.
     """
-    one, two = (lists.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}")) for x in ("a", "b"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("c", F.size(F.array_intersect("ta", "tb")))
-    most = f"greatest(({percent} * na + 99) DIV 100, ({percent} * nb + 99) DIV 100) - 1 + c"
-    return both.filter(f"{100 + percent} * ({most}) >= {percent} * (na + nb)").select("a", "b")
+    rows = members.join(_bounded(roots.select(F.col("node").alias("cls"), "root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rows = rows.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int"))
+    rows = materialize(rows, "rooted")
+    big = rows.groupBy("family", "root").agg(F.count("*").alias("c")).filter(F.col("c") >= BLOCK_CLASSES // 2).select("family", "root", F.lit(True).alias("big"))
+    rows = rows.join(_bounded(big), ["family", "root"], "left").withColumn("own", F.when(F.col("big"), F.col("root")))
+    sizes = rows.groupBy("family", "own", "step").agg(F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_TOKENS)).alias("k"))
+    same = F.col("s.family").eqNullSafe(F.col("r.family")) & F.col("s.own").eqNullSafe(F.col("r.own")) & (F.col("s.step") == F.col("r.step"))
+    rows = rows.alias("r").join(_bounded(sizes).alias("s"), same).select("r.cls", "r.family", "r.own", "r.n", F.xxhash64("r.family", F.col("r.own").isNull(), "r.own", "r.step", F.pmod(F.xxhash64("r.cls"), F.col("s.k"))).alias("block"))
+    rows = materialize(rows, "blocked")
+    about = rows.groupBy("family", "own", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    one, two = about.alias("x"), about.alias("y")
+    apart = F.col("x.own").isNull() | F.col("y.own").isNull() | (F.col("x.own") != F.col("y.own"))
+    reach = (100 * F.col("x.high") >= percent * F.col("y.low")) & (100 * F.col("y.high") >= percent * F.col("x.low"))
+    cells = one.join(two, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block")) & apart & reach)
+    cells = materialize(cells.select(F.col("x.block").alias("one"), F.col("y.block").alias("two")), "cells")
+    sides = cells.select(F.col("one").alias("block"), "one", "two").union(cells.filter("one <> two").select(F.col("two").alias("block"), "one", "two"))
+    placed = sets.join(_bounded(rows.select("cls", "block")), "cls").join(_bounded(sides), "block").select("one", "two", (F.col("block") == F.col("two")).cast("int").alias("side"), "cls", "tokens")
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        cls, own = _unpacked(table)
+        order = np.argsort(side, kind="stable")
+        cut = int((side == 0).sum())
+        return _edges(*linked(cls[order], [own[i] for i in order], percent, cut if cut < len(side) else 0))
+
+    return grouped(placed, ["one", "two"], run)
+
+
+def families(edges: DataFrame, reps: DataFrame) -> DataFrame:
+    """(cls, family, n, block, blocks) of all classes under large keys."""
+    found = components(edges).select(F.col("node").alias("cls"), F.col("root").alias("family")).join(reps.select("cls", "n"), "cls")
+    found = materialize(found, "families")
+    sizes = found.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
+    return materialize(found.join(_bounded(sizes), "family").select("cls", "family", "n", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block"), "blocks"), "members")
+
+
+def _described(src: DataFrame, words: int) -> tuple[DataFrame, Frequent, set[int], int]:
+    seen = materialize(describe(src, words), "described")
+    rows = seen.filter("kind = 0").select("doc_id", "t", "n", "one", "two")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    bound = max(LEAST_BOUND, total // 5 // MOST_FREQUENT // 4)
+    often = seen.filter("kind = 1").groupBy("one").agg(F.sum("n").alias("n")).filter(F.col("n") >= min(bound, LEAST_FREQUENT)).orderBy(F.desc("n"), "one").limit(MOST_FREQUENT).toArrow()
+    frequent = Frequent(often.column("one").to_numpy().view(U64), often.column("n").to_numpy())
+    # two sets with one first half: expected once in 10 ** 10 sets
+    halves = rows.filter("n > 0").groupBy("one").agg(F.min("two").alias("low"), F.max("two").alias("high")).filter("low <> high").select("one")
+    return rows, frequent, {r["one"] for r in halves.toLocalIterator()}, bound
+
+
+def labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(doc_id, t, n, root) of every row; rows of one root are one component.  Rows without words have root 0."""
+    src = _source(docs, id_col, text_col)
+    rows, frequent, clashing, bound = _described(src, words)
+    # beyond 64 bits: the few first halves that clash are replaced by a mix of both
+    clash = F.col("one").isin(*clashing) if clashing else F.lit(False)
+    mixed = F.udf(Names.mixed, "long") if clashing else (lambda one, two: one)
+    rows = rows.withColumn("cls", F.when(clash, mixed("one", "two")).otherwise(F.col("one"))).select("doc_id", "t", "n", "cls")
+    one_each = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("rep")
+    reps = materialize(rows.filter("n > 1").groupBy("cls").agg(one_each, F.min("n").cast("int").alias("n")), "reps")
+    met = materialize(meet(index(src, words, percent, frequent, clashing, bound), bound, percent).distinct(), "met")
+    members = families(met.filter("family = 1").select("a", "b"), reps)
+    one, two = (members.select(F.col("cls").alias(x), F.col("family").alias(f"f{x}")) for x in ("a", "b"))
+    pairs = met.filter("family = 0").select("a", "b").join(_bounded(one), "a", "left").join(_bounded(two), "b", "left")
+    pairs = materialize(pairs.filter("NOT coalesce(fa = fb, false)").select("a", "b"), "pairs")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).union(members.select("cls")).distinct()
+    sets = materialize(sets_of(wanted, src, reps, words, clashing), "sets")
+    inside = within(members.select("cls", "family", "block"), sets, percent)
+    links = materialize(verify(pairs, sets, percent).union(inside).distinct(), "links")
+    roots = materialize(components(links), "roots")
+    several = members.filter("blocks > 1").select("cls", "family", "n")
+    if not several.isEmpty():
+        more = materialize(between(several, roots, sets, percent), "more")
+        roots = materialize(components(links.union(more)), "roots")
+    discard(met, pairs, sets)
+    named = _bounded(roots.select(F.col("node").alias("cls"), "root"))
+    return rows.join(named, "cls", "left").select("doc_id", "t", "n", F.coalesce("root", "cls").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -430,85 +537,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and repeated rows share a component and keep their rows; a row with a null id takes part, and gets the
     smallest id that is not null, or null.  Other columns are not carried.
     """
-    src = _binary(docs, id_col, text_col)
-    seen = materialize(describe(src, words), "described")
-    rows = seen.filter("kind = 0").select("doc_id", "n", "cls")
-    one_text = seen.filter("kind = 0 AND n > 1").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch"))
-    reps = materialize(one_text, "reps")
-    heavy = seen.filter("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(MOST_FREQUENT)
-    frequent = np.sort(np.array([r[0] for r in heavy.select("cls").toLocalIterator()], np.int64).view(U64))
-    buckets = materialize(group(index(src, words, percent, frequent)), "buckets")
-
-    # each class against the hub it shares most tokens with, where that looks similar
-    stars = buckets.filter(f"cls <> hub AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").groupBy("cls", "hub").agg(F.count("*").alias("shared"))
-    best = stars.groupBy("cls").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
-    tried = materialize(likely(best.select(F.col("hub").alias("a"), F.col("cls").alias("b")), reps), "stars")
-    links = verify(tried, src, reps, words, percent)
-    roots = materialize(components(links), "roots")
-
-    members = _rooted(buckets.select(F.col("token").alias("key"), "cls", "n", F.col("n").alias("left")), roots)
-    bound = max(LEAST_BOUND, buckets.count() // MOST_FREQUENT)
-    met = materialize(across(members, bound, percent), "across")
-    discard(buckets)
-    more = met.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-
-    big = met.filter(F.col("kind") == 0).filter(F.col("size") > bound).select("key", F.col("x").alias("cls"), "n", "size")
-    if not big.isEmpty():
-        links = links.union(verify(contract(big, reps), src, reps, words, percent))
-        roots = materialize(components(links), "roots")
-    for turn in range(STAR_TURNS):
-        if big.isEmpty():
-            break
-        found = verify(likely(star_pairs(_rooted(big, roots), turn, percent), reps), src, reps, words, percent)
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        roots = materialize(components(links), "roots")
-    placed = _rooted(big, roots)
-    still = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    big = materialize(placed.join(still, "key"), "big")
-    again = np.array([r[0] for r in big.select("key").distinct().toLocalIterator()], np.int64).view(U64)  # at most MOST_FREQUENT, by the bound
-    if len(again):
-        affected = sets_of(big.select("cls").distinct(), src, reps, words)
-        order = np.unique(np.concatenate((frequent, again, heavy_tokens(affected, bound // 4))))
-        keyed = materialize(across(_rooted(recombine(affected, percent, order), roots), bound, percent), "combined")
-        more = more.union(keyed.filter("kind = 1").select("x", "y"))
-        # keys that are still large: all pairs across their components, by a join that Spark can split
-        large = keyed.filter(F.col("kind") == 0).filter(F.col("size") > bound)
-        if not large.isEmpty():
-            one, two = (large.select("key", F.col("x").alias(x), F.col("y").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("left").alias(f"l{x}")) for x in ("a", "b"))
-            more = more.union(one.join(two, "key").filter(f"a < b AND ra <> rb AND {100 + percent} * least(la, lb) >= {percent} * (na + nb)").select("a", "b"))
-        more = more.distinct()
-    # two classes of different components share prefix tokens in open buckets only
-    lists = met.filter("kind = 0").groupBy(F.col("x").alias("cls"), "n").agg(F.collect_set("key").alias("tokens"))
-    more = plausible(materialize(more, "more"), materialize(lists, "lists"), percent)
-    swapped = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    found = verify(more.join(tried.union(swapped), ["a", "b"], "left_anti"), src, reps, words, percent)
-    roots = materialize(components(links.union(found)), "roots")
-
-    classed = _rooted(rows, roots)
-    least = classed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = classed.join(least, "root", "left")
+    found = labelled(docs, id_col, text_col, words, percent)
+    least = found.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = found.join(least, "root", "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, with all columns.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, with all columns: that with the smallest id, null ids last.
 
-    Rows that repeat an id count as copies of one document, of which one stays.  Rows with a null id stay.
+    Rows that repeat an id with other texts are documents of their own; of rows that repeat both, as of any
+    copies, one stays.  Rows without words link with nothing and all stay.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col, **options), "components")
-    c = F.col(f"`{id_col}`")
-
-    def without(df: DataFrame, ids: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_anti")
-
-    dropped = materialize(found.filter(c != F.col("component_id")).select(c.cast(docs.schema[id_col].dataType)).distinct(), "dropped")
-    repeated = materialize(found.filter(c.isNotNull()).groupBy(c).count().filter("count > 1").select(c.cast(docs.schema[id_col].dataType)), "repeated")
-    kept = without(docs, dropped)
-    if repeated.isEmpty():
+    found = materialize(labelled(docs, id_col, text_col, words, percent).filter("n > 0"), "labelled")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    least = found.groupBy("root").agg(F.min(place).alias("first"))
+    judged = found.join(least, "root").select(place.alias("place"), "first")
+    names = (F.col("place.doc_id").alias("w_id"), F.col("place.t").alias("w_t"))
+    dropped = materialize(judged.filter("place <> first").select(*names).distinct(), "dropped")
+    twice = materialize(judged.filter("place = first").groupBy(*names).count().filter("count > 1").select("w_id", "w_t"), "repeated")
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("w_id")) & (F.coalesce(F.xxhash64(F.col(f"`{text_col}`").cast("binary")), F.lit(0)) == F.col("w_t"))
+    kept = docs.join(_bounded(dropped), same, "left_anti")
+    if twice.isEmpty():
         return kept
-    return without(kept, repeated).unionByName(kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col]))
+    return kept.join(_bounded(twice), same, "left_anti").unionByName(kept.join(_bounded(twice), same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 ORACLE_SQL = """

@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import regex
 
+from .common import kept_by_worker
+
 LIMIT = 250_000
 BYTE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -224,6 +226,7 @@ def library_words(tokenizer) -> Callable[[list[str]], tuple[np.ndarray, np.ndarr
 
 
 _loaded: dict[tuple[str, int], object] = {}
+kept_by_worker.append(_loaded)
 
 
 def loaded(kind: str, text: str, make: Callable[[str], object]):

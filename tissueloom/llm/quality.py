@@ -64,7 +64,7 @@ def measure_texts(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     worded = np.searchsorted(block.begin, line_start) < np.searchsorted(block.begin, line_end)
     line_start, line_end = line_start[worded], line_end[worded]
     line_doc = np.searchsorted(starts, line_start, side="right") - 1
-    keys = span_hash(block.prefix, line_start, line_end) ^ splitmix(line_doc.astype(U64) + U64(1 << 40))
+    keys = span_hash(data, line_start, line_end) ^ splitmix(line_doc.astype(U64) + U64(1 << 40))
     _, at = np.unique(keys, return_index=True)
     again = np.ones(len(keys), bool)
     again[at] = False

@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, map_arrow, materialize, prefix_hash, signed, span_hash, splitmix
+from .common import U64, blocks, map_arrow, materialize, signed, splitmix
 from .suffixes import repeated_starts
 
 LENGTH = 400
@@ -35,6 +36,39 @@ BROADCAST_ROWS = 2_000_000
 SHARD_BYTES = 3_000_000
 
 
+_BYTE_VALUE = splitmix(np.arange(256, dtype=U64))
+_BASE = 0x2545F4914F6CDD1D
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** n, modulo 2 ** 64; kept up to a few MB."""
+    have = _powers.get(base)
+    if have is None or len(have) <= n:
+        steps = np.full(1 << max(16, int(n + 1).bit_length()), base, U64)
+        steps[0] = 1
+        have = np.cumprod(steps, dtype=U64)
+        if have.nbytes <= 1 << 24:
+            _powers[base] = have
+    return have
+
+
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial, from which :func:`gram_hash` hashes any span.
+
+    Modulo 2 ** 64 this is weak on some regular texts.  It only chooses anchors, which may be any function of
+    the bytes; what decides that strings are equal is hashed by XXH3 or compared.
+    """
+    out = np.zeros(len(data) + 1, U64)
+    np.cumsum(_BYTE_VALUE[data] * powers(_BASE, len(data))[: len(data)], dtype=U64, out=out[1:])
+    return out
+
+
+def gram_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return splitmix((prefix[end] - prefix[start]) * powers(_INVERSE, len(prefix))[start])
+
+
 def sliding(x: np.ndarray, w: int, function) -> np.ndarray:
     """function (np.minimum or np.maximum) over x[i : i + w], for every i where it fits."""
     n = len(x)
@@ -53,7 +87,7 @@ def anchors(prefix: np.ndarray, start: int, end: int, length: int = LENGTH, gram
     if end - start < length:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     at = np.arange(start, end - gram + 1)
-    h = span_hash(prefix, at, at + gram)
+    h = gram_hash(prefix, at, at + gram)
     w = length - gram + 1
     least = sliding(h, w, np.minimum)
     # a place is an anchor if it is the smallest of some run that holds it, that is, of the run with the largest minimum
@@ -83,14 +117,16 @@ def anchor_rows(src: DataFrame, length: int, gram: int) -> DataFrame:
                 own = {(u, n): t for u, n, t in zip(us[part], ns[part], texts[part]) if n >= length}
                 if not own:
                     continue
-                data = np.frombuffer(b"".join(own.values()), np.uint8)
+                joined = b"".join(own.values())
+                raw, data = memoryview(joined), np.frombuffer(joined, np.uint8)
                 prefix = prefix_hash(data)
                 rows = []
                 at = 0
                 for u, n in own:
                     pos, key = anchors(prefix, at, at + n, length, gram)
                     lo, hi = np.maximum(pos - before, 0), np.minimum(pos + length, n)
-                    context = span_hash(prefix, at + lo, at + hi) ^ splitmix((pos - lo).astype(U64))
+                    near = np.fromiter(map(xxhash.xxh3_64_intdigest, [raw[a:b] for a, b in zip((at + lo).tolist(), (at + hi).tolist())]), U64, len(pos))
+                    context = splitmix(near ^ splitmix(((pos - lo) << 32 | (hi - pos)).astype(U64)))
                     rows.append((key, context, np.full(len(pos), u, np.int64), np.full(len(pos), n, np.int32), pos.astype(np.int32)))
                     at += n
                 key, context, u, n, pos = (np.concatenate(x) for x in zip(*rows))

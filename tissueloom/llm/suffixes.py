@@ -20,11 +20,39 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-from .common import U64, prefix_hash, span_hash, splitmix
+from .common import U64, splitmix
 
 MEMORY = 256 << 20
 
 
+class Rolling:
+    """Hashes of any span of a text: polynomials modulo two primes below 2 ** 31, 62 bits together."""
+
+    PRIMES = ((2147483647, 1103515245), (2147483629, 1999292671))
+
+    def __init__(self, chars: np.ndarray):
+        values = splitmix(np.arange(int(chars.max(initial=0)) + 1, dtype=U64) + U64(77)) >> U64(34)
+        self.parts = []
+        for p, base in self.PRIMES:
+            sums = np.zeros(len(chars) + 1, U64)
+            np.cumsum(values[chars] * _ladder(base, p, len(chars)) % U64(p), out=sums[1:])
+            self.parts.append((sums, _ladder(pow(base, -1, p), p, len(chars) + 1), U64(p)))
+
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = (end - start).astype(U64)
+        for sums, back, p in self.parts:
+            out = splitmix(out) ^ ((sums[end] - sums[start]) % p * back[start] % p)
+        return out
+
+
+def _ladder(base: int, p: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo p."""
+    out = np.ones(1, U64)
+    while len(out) < n:
+        out = np.concatenate((out, out * U64(pow(base, len(out), p)) % U64(p)))
+    return out[:n]
+
+
 class Queues:
     """Queues of (place, common prefix) arrays, one for each character; the excess over ``memory`` bytes is on disk."""
 
@@ -197,9 +225,8 @@ class Text:
         after = np.append(places[1:], places[-1]) + 1
         number = np.zeros(len(self.chars), np.int32)
         number[places] = np.arange(len(places))
-        if not hasattr(self, "prefix"):
-            self.prefix = prefix_hash(self.chars, values=_values(self.size))
-        pieces = span_hash(self.prefix, by_piece.astype(np.int64), after[number[by_piece]].astype(np.int64))
+        self.hashes = Rolling(self.chars)
+        pieces = self.hashes.span(by_piece.astype(np.int64), after[number[by_piece]].astype(np.int64))
         name = np.zeros(len(places), np.int64)
         name[number[by_piece]] = np.concatenate(([0], np.cumsum(pieces[1:] != pieces[:-1])))
         span, m = 1, len(places)
@@ -220,18 +247,12 @@ class Text:
         while (low < high).any():
             at = np.flatnonzero(low < high)
             mid = (low[at] + high[at] + 1) // 2
-            same = span_hash(self.prefix, a[at], a[at] + mid) == span_hash(self.prefix, b[at], b[at] + mid)
+            same = self.hashes.span(a[at], a[at] + mid) == self.hashes.span(b[at], b[at] + mid)
             low[at[same]] = mid[same]
             high[at[~same]] = mid[~same] - 1
         return np.concatenate(([0], low)).astype(np.int16)
 
 
-def _values(n: int) -> np.ndarray:
-
-
-    return splitmix(np.arange(n, dtype=U64) + U64(77))
-
-
 def sorted_suffixes(chars: np.ndarray, cap: int, memory: int = MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, common prefixes with the suffix before) of each first character, largest character first.
 
