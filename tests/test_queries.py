@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from tissueloom.plans import more  # noqa: F401  registers its queries as well
 from tissueloom.plans import queries as q
 
 DATA = "/root/testdata/sf0.001"

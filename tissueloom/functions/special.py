@@ -15,16 +15,16 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     out = d
-    for m in range(1, 2000):
+    for m in range(1, 10_000 + 20 * int(math.sqrt(a + b))):
         for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + term * d
             c = 1.0 + term / c
             d = 1.0 / (d if abs(d) > tiny else tiny)
             c = c if abs(c) > tiny else tiny
             out *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return out
+        if abs(d * c - 1.0) < 1e-14:
+            return out
+    raise ArithmeticError(f"incomplete beta({a}, {b}) at {x} did not converge")
 
 
 def beta_cdf(x: float, a: float, b: float) -> float:
@@ -45,6 +45,10 @@ def f_survival(x: float, d1: float, d2: float) -> float:
     return 0.0 if math.isinf(x) else beta_cdf(d2 / (d2 + d1 * x), d2 / 2, d1 / 2)
 
 
+def normal_two_sided(z: float) -> float:
+    return math.erfc(abs(z) / math.sqrt(2.0))
+
+
 def t_two_sided(t: float, df: float) -> float:
     return beta_cdf(df / (df + t * t), df / 2, 0.5)
 
@@ -66,15 +70,15 @@ def gamma_cdf(a: float, x: float) -> float:
     b, c = x + 1 - a, 1 / tiny
     d = 1 / b
     out = d
-    for i in range(1, 10_000):
+    for i in range(1, 10_000 + 20 * int(math.sqrt(a))):
         an = -i * (i - a)
         b += 2
         d = 1 / (an * d + b or tiny)
         c = b + an / c or tiny
         out *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return 1.0 - front * out
+        if abs(d * c - 1) < 1e-14:
+            return 1.0 - front * out
+    raise ArithmeticError(f"incomplete gamma({a}) at {x} did not converge")
 
 
 def chi2_quantile(p: float, df: float) -> float:

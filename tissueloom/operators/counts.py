@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tissueloom.shipping import ship
+
 
 def filter_spots(counts: DataFrame, min_counts: float = 1, min_genes: int = 1) -> DataFrame:
     """Spots with enough counts and detected genes; one shuffle by spot for both."""
@@ -26,12 +28,20 @@ def filter_genes(counts: DataFrame, below: float = 0.05, above: float = 1.0) ->
     return counts.join(good.select("gene"), "gene", "left_semi")
 
 
-def gene_moments(counts: DataFrame) -> DataFrame:
-    """(gene, n_spots, mean, var): mean and population variance over all spots, zeros included."""
-    n = counts.agg(F.count_distinct("spot").alias("n_spots"))
-    per = counts.groupBy("gene").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
-    mean = F.col("s") / F.col("n_spots")
-    return per.join(F.broadcast(n)).select("gene", "n_spots", mean.alias("mean"), F.greatest(F.lit(0.0), F.col("q") / F.col("n_spots") - mean * mean).alias("var"))
+def gene_moments(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, gene, n_spots, mean, var): mean and population variance over all spots of each sample, zeros included.
+
+    The variance of the stored cells and that of the block of zeros are merged by their means, so that large
+    counts lose no digits.
+    """
+    by = by or []
+    n = counts.groupBy(*by).agg(F.count_distinct("spot").alias("n_spots"))
+    per = counts.groupBy(*by, "gene").agg(F.count("count").alias("k"), F.avg("count").alias("mu"), F.var_pop("count").alias("s2"))
+    both = per.join(F.broadcast(n), by) if by else per.crossJoin(F.broadcast(n))  # one row, or one a sample
+    share = F.col("k") / F.col("n_spots")
+    mean = share * F.col("mu")
+    var = share * (F.col("s2") + (F.col("mu") - mean) ** 2) + (1 - share) * mean**2
+    return both.select(*by, "gene", "n_spots", mean.alias("mean"), var.alias("var"))
 
 
 def log_moments(moments: DataFrame) -> DataFrame:
@@ -40,16 +50,19 @@ def log_moments(moments: DataFrame) -> DataFrame:
     return moments.withColumns({"m": ln("mean"), "v": ln("var")})
 
 
-def linear_residuals(moments: DataFrame) -> DataFrame:
-    """Adds res, the residual of v on m by least squares over genes with finite v; minus infinity for the others."""
+def linear_residuals(moments: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Adds res, the residual of v on m by least squares over the sample's genes with finite v; minus infinity for the others."""
+    by = by or []
     logs = log_moments(moments)
-    fit = logs.filter("var > 0 AND mean > 0").agg(F.regr_slope("v", "m").alias("slope"), F.regr_intercept("v", "m").alias("intercept"))
+    fit = logs.filter("var > 0 AND mean > 0").groupBy(*by).agg(F.regr_slope("v", "m").alias("slope"), F.regr_intercept("v", "m").alias("intercept"))
     res = F.when((F.col("var") > 0) & (F.col("mean") > 0), F.col("v") - F.col("slope") * F.col("m") - F.col("intercept")).otherwise(F.lit(float("-inf")))
-    return logs.join(F.broadcast(fit)).withColumn("res", res).drop("slope", "intercept")
+    both = logs.join(F.broadcast(fit), by, "left") if by else logs.crossJoin(F.broadcast(fit))  # one row, or one a sample
+    return both.withColumn("res", res).drop("slope", "intercept")
 
 
 def spline_residuals(moments: DataFrame, knots: int = 5, penalty: float = 0.6) -> DataFrame:
     """As :func:`linear_residuals` with one penalised cubic spline; one row a gene goes to one task."""
+    ship(moments.sparkSession)
     logs = log_moments(moments)
     schema = logs.schema.add("res", "double")
 
@@ -99,19 +112,21 @@ def overdispersed_genes(counts: DataFrame, alpha: float = 0.05, spline: bool = F
     kept = filter_genes(filter_spots(counts))
     moments = gene_moments(kept)
     res = spline_residuals(moments) if spline else linear_residuals(moments)
-    genes = res.count()
+    ship(counts.sparkSession)
+    # one row a gene: small, and read twice
+    rows = res.withColumn("genes", F.count("*").over(Window.partitionBy()))
 
     @F.pandas_udf("p double, q double")
-    def tests(r: pd.Series, n: pd.Series) -> pd.DataFrame:
+    def tests(r: pd.Series, n: pd.Series, genes: pd.Series) -> pd.DataFrame:
         import numpy as np
 
         from tissueloom.functions.special import chi2_quantile, f_survival
 
         p = [f_survival(float(np.exp(min(x, 700.0))), float(k), float(k)) for x, k in zip(r, n)]
-        return pd.DataFrame({"p": p, "q": [chi2_quantile(1 - x, genes - 1) / genes if genes > 1 else 0.0 for x in p]})
+        return pd.DataFrame({"p": p, "q": [chi2_quantile(1 - x, g - 1) / g if g > 1 else 0.0 for x, g in zip(p, genes)]})
 
-    tested = res.withColumn("t", tests("res", F.col("n_spots").cast("double")))
-    tested = tested.withColumns({"p_value": F.col("t.p"), "chi_qv": F.col("t.q")}).drop("t")
+    tested = rows.withColumn("t", tests("res", F.col("n_spots").cast("double"), "genes"))
+    tested = tested.withColumns({"p_value": F.col("t.p"), "chi_qv": F.col("t.q")}).drop("t", "genes")
     adjusted = adjust_p_values(tested)
     scale = F.when(F.col("var") > 0, F.sqrt(F.least(F.lit(high), F.greatest(F.lit(low), F.col("chi_qv"))) / F.col("var"))).otherwise(F.lit(0.0))
     return adjusted.withColumns({"gene_scale_factor": scale, "is_odg": F.col("p_value_adj") < alpha})
@@ -141,3 +156,12 @@ def aggregate_by_type(counts: DataFrame, types: DataFrame, mean: bool = False) -
         return sums
     n = types.groupBy("celltype").agg(F.count("*").alias("n"))
     return sums.join(n, "celltype").select("gene", "celltype", (F.col("value") / F.col("n")).alias("value"))
+
+
+def selected_in_samples(counts: DataFrame, samples: list[str], **options) -> DataFrame:
+    """(gene, n_samples): genes over-dispersed in at least one sample, each tested on its own spots; counts: (sample_id, spot, gene, count)."""
+    out = None
+    for s in samples:  # a plan for each sample of a study; their rows stay apart from the first filter on
+        found = overdispersed_genes(counts.filter(F.col("sample_id") == s).drop("sample_id"), **options).filter("is_odg").select("gene")
+        out = found if out is None else out.union(found)
+    return out.groupBy("gene").agg(F.count("*").alias("n_samples"))

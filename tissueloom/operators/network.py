@@ -41,6 +41,28 @@ def group_connections(links: DataFrame, clusters: DataFrame) -> DataFrame:
     return into.join(out, ["program", "cluster"], "full").select("program", "cluster", zero("n_in"), zero("n_out"))
 
 
+def connection_matrix(links: DataFrame, clusters: DataFrame, order: list[int]) -> DataFrame:
+    """One row a program of ``clusters`` with in_Cluster<c> and out_Cluster<c>: log2(1 + links), 0 where there is none."""
+    found = group_connections(links, clusters)
+    cell = lambda n, c: F.log2(1.0 + F.coalesce(F.max(F.when(F.col("cluster") == c, F.col(n))), F.lit(0)))
+    every = clusters.select("program").distinct().join(found, "program", "left")
+    return every.groupBy("program").agg(*[cell(n, c).alias(f"{way}_Cluster{c}") for c in order for way, n in (("in", "n_in"), ("out", "n_out"))])
+
+
+def edge_flags(links: DataFrame, thresholds: tuple[float, ...] = (0.099, 0.199, 0.299, 0.399, 0.499)) -> DataFrame:
+    """(source, target, gt1 .. gt5): whether the weight is above each threshold."""
+    return links.select("source", "target", *[(F.abs("weight") > t).alias(f"gt{i}") for i, t in enumerate(thresholds, 1)])
+
+
+def network(usage: DataFrame, threshold: float = 0.0, n_bins: int = 100, edge_threshold: float = 0.199, prevalence: int = 100) -> dict[str, DataFrame]:
+    """All tables of a network by name: pairs, edges, flags, nodes, clusters and connections."""
+    pairs = pair_stats(usage, threshold)
+    links = edges(pairs, n_bins, edge_threshold)
+    clusters = communities(links, usage)
+    numbers = sorted(r[0] for r in clusters.select("cluster").distinct().collect())  # at most one a program
+    return {"pairs": pairs, "edges": links, "flags": edge_flags(links), "nodes": node_attributes(usage, threshold, prevalence), "clusters": clusters, "connections": connection_matrix(links, clusters, numbers)}
+
+
 def communities(links: DataFrame, nodes: DataFrame, trials: int = 10, seed: int = 42) -> DataFrame:
     """(program, cluster): flow communities by the map equation; programs without links get -1.
 

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tissueloom.shipping import ship
+
 
 def rank_genes(scores: DataFrame, top: int | None = None) -> DataFrame:
     """(program, gene, score, rank) by score descending, ties by gene; missing scores are left out."""
@@ -135,6 +137,7 @@ def greedy_match(scores: DataFrame) -> DataFrame:
 
 def over_representation(genesets: DataFrame, lists: DataFrame, population: int) -> DataFrame:
     """(set_name, program, overlap, set_size, list_size, p_value, p_value_adj): hypergeometric tails, adjusted by program."""
+    ship(genesets.sparkSession)
     sizes = genesets.groupBy("set_name").agg(F.count_distinct("gene").alias("set_size"))
     lengths = lists.groupBy("program").agg(F.count_distinct("gene").alias("list_size"))
     shared = genesets.select("set_name", "gene").distinct().join(lists.select("program", "gene").distinct(), "gene").groupBy("set_name", "program").agg(F.count("*").alias("overlap"))

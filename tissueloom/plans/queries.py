@@ -183,17 +183,16 @@ def node_attributes(spark, d):
 
 
 _SETS = """, rk AS (SELECT program, gene, row_number() OVER (PARTITION BY program ORDER BY score DESC, gene) AS rank FROM scores),
-gs AS (SELECT DISTINCT 'set' || (p_size % 5) AS set_name, 'g' || (p_partkey % 97) AS gene FROM part WHERE p_partkey <= 60)"""
+gs AS (SELECT DISTINCT 'set' || (p_size % 5) AS set_name, 'g' || (p_partkey % 97) AS gene FROM part)"""
 
 
-def gene_sets(spark, d, rows="true"):
-    part = _table(spark, d, "part").filter(rows)
-    return part.select(F.concat(F.lit("set"), F.col("p_size") % 5).alias("set_name"), F.concat(F.lit("g"), F.col("p_partkey") % 97).alias("gene")).distinct()
+def gene_sets(spark, d):
+    return _table(spark, d, "part").select(F.concat(F.lit("set"), F.col("p_size") % 5).alias("set_name"), F.concat(F.lit("g"), F.col("p_partkey") % 97).alias("gene")).distinct()
 
 
 @register(_SETS + " SELECT set_name, program, round(sum(1.0 / rank), 6) AS score FROM gs JOIN rk USING (gene) GROUP BY 1, 2")
 def marker_scores(spark, d):
-    return rounded(P.mean_rank_score(gene_sets(spark, d, "p_partkey <= 60"), P.rank_genes(scores(spark, d))), "score")
+    return rounded(P.mean_rank_score(gene_sets(spark, d), P.rank_genes(scores(spark, d))), "score")
 
 
 @register(_SETS + """, l AS (SELECT program AS name, gene AS item, rank FROM rk WHERE rank <= 50),
@@ -205,9 +204,17 @@ def rank_overlap(spark, d):
     return rounded(P.rank_biased_overlap(lists, lists), "score")
 
 
-@register()
+_CHOOSE = "(lgamma({0} + 1.0) - lgamma({1} + 1.0) - lgamma({0} - ({1}) + 1.0))"
+_TAIL = f"least(1.0, sum(CASE WHEN l - k <= 97 - s THEN exp({_CHOOSE.format('s', 'k')} + {_CHOOSE.format('(97 - s)', '(l - k)')} - {_CHOOSE.format('97', 'l')}) ELSE 0 END))"
+
+
+@register(_SETS + f""", li AS (SELECT program, gene FROM rk WHERE rank <= 30), z AS (SELECT set_name, count(*) AS s FROM gs GROUP BY 1),
+ov AS (SELECT set_name, program, s, 30 AS l, count(*) AS x FROM gs JOIN li USING (gene) JOIN z USING (set_name) GROUP BY 1, 2, 3),
+q AS (SELECT *, unnest(range(x, least(s, l) + 1)) AS k FROM ov), p AS (SELECT set_name, program, any_value(x) AS overlap, any_value(s) AS set_size, CAST(any_value(l) AS BIGINT) AS list_size, {_TAIL} AS p FROM q GROUP BY 1, 2),
+r AS (SELECT *, count(*) OVER (PARTITION BY program) AS n, count(*) OVER (PARTITION BY program ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS place FROM p)
+SELECT set_name, program, overlap, set_size, list_size, round(p, 6) AS p_value, round(least(1.0, min(p * n / place) OVER (PARTITION BY program ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS p_value_adj FROM r""")
 def set_enrichment(spark, d):
-    return P.over_representation(gene_sets(spark, d), P.rank_genes(scores(spark, d), 30), 97)
+    return rounded(P.over_representation(gene_sets(spark, d), P.rank_genes(scores(spark, d), 30), 97), "p_value", "p_value_adj")
 
 
 _PROFILES = """, x AS (SELECT gene AS key, program AS name, score AS value FROM scores),
@@ -240,11 +247,6 @@ def profile_cosine(spark, d):
     return rounded(P.similarity(*_profiles(spark, d), "cosine"), "score")
 
 
-@register()
-def matched_profiles(spark, d):
-    return P.greedy_match(P.similarity(*_profiles(spark, d)))
-
-
 @register()
 def program_gene_scores(spark, d):
     return P.gene_scores(counts(spark, d), usage(spark, d))
@@ -276,13 +278,13 @@ def open_bins(spark, d):
     return S.grid_bins(points(spark, d), 100, open_=True).groupBy("bx", "by").agg(F.count("*").alias("n"))
 
 
-@register(""", b AS (SELECT p_partkey AS box_id, p_retailprice AS x0, p_size * 10.0 AS y0, p_retailprice + 15 AS x1, p_size * 10.0 + 15 AS y1 FROM part WHERE p_partkey % 2 = 0),
-q AS (SELECT p_partkey AS square_id, p_retailprice AS x0, p_size * 10.0 AS y0, p_retailprice + 20 AS x1, p_size * 10.0 + 20 AS y1 FROM part WHERE p_partkey % 2 = 1)
+@register(""", b AS (SELECT p_partkey AS box_id, p_retailprice AS x0, p_size * 10.0 AS y0, p_retailprice + 1.5 AS x1, p_size * 10.0 + 1.5 AS y1 FROM part),
+q AS (SELECT p_partkey AS square_id, p_retailprice AS x0, p_size * 10.0 AS y0, p_retailprice + 2 AS x1, p_size * 10.0 + 2 AS y1 FROM part)
 SELECT box_id, square_id FROM b JOIN q ON b.x0 <= q.x1 AND q.x0 <= b.x1 AND b.y0 <= q.y1 AND q.y0 <= b.y1""")
 def box_overlaps(spark, d):
     part = _table(spark, d, "part")
     side = lambda name, w: part.select(F.col("p_partkey").alias(name), F.col("p_retailprice").alias("x0"), (F.col("p_size") * 10.0).alias("y0"), (F.col("p_retailprice") + w).alias("x1"), (F.col("p_size") * 10.0 + w).alias("y1"))
-    return S.boxes_over_squares(side("box_id", 15.0).filter("box_id % 2 = 0"), side("square_id", 20.0).filter("square_id % 2 = 1"), 50.0)
+    return S.boxes_over_squares(side("box_id", 1.5), side("square_id", 2.0), 5.0)
 
 
 @register(" SELECT event_type, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM events GROUP BY event_type")
