@@ -8,23 +8,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator, Sequence
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tissueloom.shipping import ship
+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset (tests, local mode) a temporary one is set."""
+    """The folder named by spark.checkpoint.dir; where unset, a temporary one is set in local mode, and anything else raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tissueloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,23 +49,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that workers need not have it installed."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="tissueloom-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for p in sorted(package.rglob("*.py")):
-            out.write(p, p.relative_to(package.parent))
-    context.addPyFile(str(target))
-    _shipped.add(context.applicationId)
-
-
 #: Session setting, its default, and what the operators set in place of that: a Python worker gets a few MB at a time.
 SMALL_BATCHES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b")
 IDLE_SECONDS = 3.0

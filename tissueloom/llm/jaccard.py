@@ -10,7 +10,9 @@ token, and those of length n - need + 2 share two.  So:
    tokens are frequent, and they meet under that pair.
 3. Under a key of at most ``bound`` classes, each pair that sizes and places allow is a candidate.  Under a larger
    key no pair is formed: its classes, as far as their sizes chain, become one family.
-4. Candidates that are not of one family are verified by the exact sizes of intersections.
+4. Of the candidates that are not of one family, those go whose parity bitmaps differ in more places than their
+   sets may: a token changes one bit, so the bitmaps never differ in more places than the sets.  The others are
+   verified by the exact sizes of intersections.
 5. A family is cut into blocks of bounded size, and whole sets meet block by block: first each block within
    itself, then, where a family has several blocks, those pairs of blocks that can still hold a link between
    different components.  Within a task, sizes of intersections are products of 0/1 matrices, and only a
@@ -45,6 +47,7 @@ BLOCK_CLASSES = 256
 BLOCK_TOKENS = 400_000
 BROADCAST_IDS = 2_000_000
 MATRIX_TOKENS = 4096
+BITMAP_BITS = 1024
 
 
 def needed(n, percent: int):
@@ -83,6 +86,12 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return one or 1, two
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the tokens' counts in ``BITMAP_BITS`` slots, as 64-bit words."""
+    odd = np.bincount((tokens >> U64(64 - BITMAP_BITS.bit_length() + 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 class Names:
     """64-bit names of sets: the first half of the fingerprint, or, of those known to clash, a mix of both."""
 
@@ -112,21 +121,23 @@ def _sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa
 
 
 def describe(src: DataFrame, words: int) -> DataFrame:
-    """kind 0: (doc_id, t, n, one, two) of each row; kind 1: (one: token, n: count) of tokens met often within a stretch of rows."""
-    names = ["kind", "doc_id", "t", "n", "one", "two"]
+    """kind 0: (doc_id, t, n, one, two, bits) of each row; kind 1: (one: token, n: count) of tokens met often within a stretch of rows."""
+    names = ["kind", "doc_id", "t", "n", "one", "two", "bits"]
+    words_each = BITMAP_BITS // 64
 
     def often(own: dict) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(list(own.values())), return_counts=True)
         at = counts >= LOCAL_FREQUENT
         m = int(at.sum())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(counts[at].astype(np.int64)), pa.array(signed(tokens[at])), pa.nulls(m, pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(counts[at].astype(np.int64)), pa.array(signed(tokens[at])), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64()))], names=names)
 
     def run(batches):
         own, held = {}, 0
         for rows, sets in _sets_of(batches, words):
             prints = [fingerprint(s) for s in sets]
             m = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())], names=names)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * words_each), pa.array(np.concatenate([np.zeros(0, np.int64), *map(bitmap, sets)])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), bits], names=names)
             for p, s in zip(prints, sets):
                 if len(s) > 1 and p not in own:
                     own[p] = s
@@ -137,7 +148,7 @@ def describe(src: DataFrame, words: int) -> DataFrame:
         if own:
             yield often(own)
 
-    return map_arrow(src, run, "kind int, doc_id long, t long, n long, one long, two long")
+    return map_arrow(src, run, "kind int, doc_id long, t long, n long, one long, two long, bits array<long>")
 
 
 class Frequent:
@@ -355,6 +366,16 @@ def sets_of(classes: DataFrame, src: DataFrame, reps: DataFrame, words: int, cla
     return class_sets(picked, words, clashing)
 
 
+def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps differ in no more places than the sets may: with sizes na and nb and an
+    overlap of o, in at most na + nb - 2 * o, where (100 + percent) * o >= percent * (na + nb)."""
+    one, two = (reps.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("rep.bits").alias(f"s{x}")) for x in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    least = f"(({percent} * (na + nb) + {99 + percent}) DIV {100 + percent})"
+    return both.filter(differ <= F.expr(f"na + nb - 2 * {least}")).select("a", "b")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose similarity is reached, by the exact sizes of their sets.
 
@@ -433,7 +454,9 @@ def within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def grouped(rows: DataFrame, by: list[str], function) -> DataFrame:
-    from .common import release, ship
+    from tissueloom.shipping import ship
+
+    from .common import release
 
     ship(rows.sparkSession)
 
@@ -490,7 +513,7 @@ def families(edges: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _described(src: DataFrame, words: int) -> tuple[DataFrame, Frequent, set[int], int]:
     seen = materialize(describe(src, words), "described")
-    rows = seen.filter("kind = 0").select("doc_id", "t", "n", "one", "two")
+    rows = seen.filter("kind = 0").drop("kind")
     total = rows.agg(F.sum("n")).first()[0] or 0
     bound = max(LEAST_BOUND, total // 5 // MOST_FREQUENT // 4)
     often = seen.filter("kind = 1").groupBy("one").agg(F.sum("n").alias("n")).filter(F.col("n") >= min(bound, LEAST_FREQUENT)).orderBy(F.desc("n"), "one").limit(MOST_FREQUENT).toArrow()
@@ -507,14 +530,14 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     # beyond 64 bits: the few first halves that clash are replaced by a mix of both
     clash = F.col("one").isin(*clashing) if clashing else F.lit(False)
     mixed = F.udf(Names.mixed, "long") if clashing else (lambda one, two: one)
-    rows = rows.withColumn("cls", F.when(clash, mixed("one", "two")).otherwise(F.col("one"))).select("doc_id", "t", "n", "cls")
-    one_each = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("rep")
+    rows = rows.withColumn("cls", F.when(clash, mixed("one", "two")).otherwise(F.col("one"))).select("doc_id", "t", "n", "cls", "bits")
+    one_each = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "bits")).alias("rep")
     reps = materialize(rows.filter("n > 1").groupBy("cls").agg(one_each, F.min("n").cast("int").alias("n")), "reps")
     met = materialize(meet(index(src, words, percent, frequent, clashing, bound), bound, percent).distinct(), "met")
     members = families(met.filter("family = 1").select("a", "b"), reps)
     one, two = (members.select(F.col("cls").alias(x), F.col("family").alias(f"f{x}")) for x in ("a", "b"))
     pairs = met.filter("family = 0").select("a", "b").join(_bounded(one), "a", "left").join(_bounded(two), "b", "left")
-    pairs = materialize(pairs.filter("NOT coalesce(fa = fb, false)").select("a", "b"), "pairs")
+    pairs = materialize(plausible(pairs.filter("NOT coalesce(fa = fb, false)").select("a", "b"), reps, percent), "pairs")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).union(members.select("cls")).distinct()
     sets = materialize(sets_of(wanted, src, reps, words, clashing), "sets")
     inside = within(members.select("cls", "family", "block"), sets, percent)
