@@ -2,10 +2,16 @@
 
 Each document's rates (integers per thousand) go into one mergeable quantile sketch per language, source
 and rate: a histogram with 64 buckets to each power of two, exact below 128 and within 1.6 % above, of at
-most a few thousand buckets, whatever the input.  Sketches of sources with few documents are merged into
-their language's, and those into one for all.  A rate's limit is its upper quartile plus a multiple of the
-quartile distance, at least a slack; mean word length has a lower limit as well.  The limits are joined back
-and every document that breaks one is rejected.
+most a few thousand buckets, whatever the input.  A source's sketch is merged with its language's, scaled to
+the weight of ``PRIOR`` documents, and that with the sketch of all, so small groups lean on larger ones by
+weight and no size switches a rule.
+
+Limits are quantiles of the merged sketch alone: a rate is too high beyond q + fence * (q - median), with q an
+upper quantile of the group.  For rates that clean text hardly has (symbols) and for word length, q and the
+median are low enough that a share of junk in the group does not move them; for rates that clean text has now
+and then (repeated lines and words), q is the 99th percentile.  A mean word length can be too low as well.
+A rate counts against a document only if ``EVENTS`` of what it counts are there, as one repeated line in three
+says nothing.
 """
 
 from __future__ import annotations
@@ -23,10 +29,13 @@ from .common import Block, U64, blocks, map_arrow, materialize, span_hash, split
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-FENCE = 4
-LEAST_DOCS = 200
-#: rate, its slack per thousand, whether it also has a lower limit
-RATES = (("symbol_rate", 60, False), ("dup_line_rate", 450, False), ("repeat_rate", 400, False), ("word_length", 2500, True), ("shout_rate", 250, False))
+#: A broader sketch weighs as many documents as this in a narrower one.
+PRIOR = 200
+EVENTS = 5
+SMALL_GROUPS = 100_000
+#: rate, upper percentile, fence, whether it also has a lower limit, the count of its events
+RATES = (("symbol_rate", 75, 4, False, "n_symbols"), ("dup_line_rate", 99, 3, False, "n_dup_lines"), ("repeat_rate", 99, 3, False, "n_repeat_words"), ("word_length", 90, 4, True, None))
+NAMES = tuple(r[0] for r in RATES)
 
 _IS_SYMBOL = np.zeros(256, np.int64)
 _IS_SYMBOL[list(SYMBOLS)] = 1
@@ -70,12 +79,6 @@ def measure_texts(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     again[at] = False
     count = lambda where, n=len(texts): np.bincount(where, minlength=n)[:n]
 
-    # shouting: words without a lower-case letter that end in "!" after any other marks, or hold only capitals
-    lower = (data >= 97) & (data <= 122)
-    has_lower = np.concatenate(([0], np.cumsum(lower)))
-    upper = (data >= 65) & (data <= 90)
-    has_upper = np.concatenate(([0], np.cumsum(upper)))
-    loud = (has_lower[block.end] == has_lower[block.begin]) & (has_upper[block.end] - has_upper[block.begin] > 1)
     return {
         "n_words": n_words,
         "word_chars": _sums(in_word & point, starts),
@@ -83,11 +86,10 @@ def measure_texts(texts: list[bytes | None]) -> dict[str, np.ndarray]:
         "n_dup_lines": count(line_doc[again]),
         "n_repeat_words": count(doc_of_word[repeat]),
         "n_lines": count(line_doc),
-        "n_loud": count(doc_of_word[loud]),
     }
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_loud")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
 def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -127,7 +129,6 @@ def rates(measured: DataFrame) -> DataFrame:
             "dup_line_rate": share("n_dup_lines", "n_lines"),
             "repeat_rate": share("n_repeat_words", "n_words"),
             "word_length": share("word_chars", "n_words"),
-            "shout_rate": share("n_loud", "n_words"),
             "g_lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")),
             "g_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")),
         }
@@ -141,46 +142,43 @@ def _bucket(v: str) -> str:
 
 
 def limits(rated: DataFrame) -> DataFrame:
-    """(g_lang, g_source, <rate>_low, <rate>_high) of every language and source present."""
-    cols = ", ".join(f"'{r}', {_bucket(r)}" for r, _, _ in RATES)
+    """(g_lang, g_source, <rate>_low, <rate>_high) of every language and source with a document that passes the base rule."""
+    cols = ", ".join(f"'{r}', {_bucket(r)}" for r in NAMES)
     cells = rated.filter("NOT base_failed").select("g_lang", "g_source", F.expr(f"stack({len(RATES)}, {cols}) AS (rate, v)"))
-    sketch = materialize(cells.groupBy("g_lang", "g_source", "rate", "v").agg(F.count("*").alias("n")), "sketch")
-    slack = F.expr("CASE rate " + " ".join(f"WHEN '{r}' THEN {s}" for r, s, _ in RATES) + " END")
-
-    def fences(keys: list[str]) -> DataFrame:
-        by = [*keys, "rate"]
-        merged = sketch.groupBy(*by, "v").agg(F.sum("n").alias("n"))
-        upto = Window.partitionBy(*by).orderBy("v")
-        ranked = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
-        at = lambda p: F.min(F.when(4 * F.col("upto") >= p * F.col("all"), F.col("v")))
-        q = ranked.groupBy(*by).agg(F.max("all").alias("docs"), at(1).alias("q1"), at(3).alias("q3"))
-        reach = F.greatest(FENCE * (F.col("q3") - F.col("q1")), slack)
-        return q.select(*by, "docs", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
-
-    def named(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(*[c for c in df.columns if c not in ("docs", "low", "high")], *[F.col(c).alias(f"{prefix}_{c}") for c in ("docs", "low", "high")])
-
-    groups = rated.select("g_lang", "g_source").distinct()
-    every = named(fences([]), "all")
-    own, lang = named(fences(["g_lang", "g_source"]), "own"), named(fences(["g_lang"]), "lang")
-    full = groups.withColumn("rate", F.explode(F.array(*[F.lit(r) for r, _, _ in RATES]))).join(every, "rate", "left")
-    full = full.join(lang, ["g_lang", "rate"], "left").join(own, ["g_lang", "g_source", "rate"], "left")
-
-    def chosen(c: str):
-        return F.when(F.col("own_docs") >= LEAST_DOCS, F.col(f"own_{c}")).when(F.col("lang_docs") >= LEAST_DOCS, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
-
-    full = full.select("g_lang", "g_source", "rate", chosen("low").alias("low"), chosen("high").alias("high"))
-    wide = [F.max(F.when(F.col("rate") == r, F.col(e))).alias(f"{r}_{e}") for r, _, _ in RATES for e in ("low", "high")]
-    return full.groupBy("g_lang", "g_source").agg(*wide)
+    sketch = materialize(cells.groupBy("g_lang", "g_source", "rate", "v").agg(F.count("*").alias("w")), "sketch")
+
+    def merged(own: DataFrame, keys: list[str], broad: DataFrame, shared: list[str]) -> DataFrame:
+        """Ten times the own counts plus the broader sketch scaled to 10 * PRIOR."""
+        total = F.sum("w").over(Window.partitionBy(*shared, "rate"))
+        scaled = broad.withColumn("total", total).withColumn("w", F.expr(f"({10 * PRIOR} * w) DIV total")).drop("total")
+        lent = own.select(*keys, "rate").distinct().join(scaled, [*shared, "rate"]).select(*keys, "rate", "v", "w")
+        return own.select(*keys, "rate", "v", (10 * F.col("w")).alias("w")).union(lent).groupBy(*keys, "rate", "v").agg(F.sum("w").alias("w"))
+
+    every = sketch.groupBy("rate", "v").agg(F.sum("w").alias("w"))
+    langs = materialize(merged(sketch.groupBy("g_lang", "rate", "v").agg(F.sum("w").alias("w")), ["g_lang"], every, []), "languages")
+    groups = merged(sketch, ["g_lang", "g_source"], langs, ["g_lang"])
+    by = ["g_lang", "g_source", "rate"]
+    upto, whole = F.sum("w").over(Window.partitionBy(*by).orderBy("v")), F.sum("w").over(Window.partitionBy(*by))
+    ranked = groups.withColumns({"upto": upto, "whole": whole})
+    percent = lambda of: F.expr("CASE rate " + " ".join(f"WHEN '{r}' THEN {of(p)}" for r, p, *_ in RATES) + " END")
+    fence = F.expr("CASE rate " + " ".join(f"WHEN '{r}' THEN {f}" for r, _, f, *_ in RATES) + " END")
+    at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("whole"), F.col("v")))
+    q = ranked.groupBy(*by).agg(at(F.lit(50)).alias("mid"), at(percent(lambda p: p)).alias("up"), at(percent(lambda p: 100 - p)).alias("down"))
+    q = q.withColumns({"high": F.col("up") + fence * (F.col("up") - F.col("mid")), "low": F.col("down") - fence * (F.col("mid") - F.col("down"))})
+    wide = [F.max(F.when(F.col("rate") == r, F.col(e))).alias(f"{r}_{e}") for r in NAMES for e in ("low", "high")]
+    return q.groupBy("g_lang", "g_source").agg(*wide)
 
 
 def _verdict(rated: DataFrame, found: DataFrame) -> DataFrame:
+    """found: the written limits, one row a language and source; broadcast once their number is known to be small."""
     fine = F.lit(True)
-    for r, _, two_sided in RATES:
-        fine = fine & F.coalesce(F.col(r) <= F.col(f"{r}_high"), F.lit(True))
-        if two_sided:
-            fine = fine & F.coalesce(F.col(r) >= F.col(f"{r}_low"), F.lit(True))
-    return rated.join(found, ["g_lang", "g_source"], "left").withColumn("kept", ~F.col("base_failed") & fine)
+    for r, _, _, two_sided, events in RATES:
+        fits = F.col(r) <= F.col(f"{r}_high")
+        fits = fits | (F.col(events) < EVENTS) if events else fits
+        fits = fits & (F.col(r) >= F.col(f"{r}_low")) if two_sided else fits
+        fine = fine & F.coalesce(fits, F.lit(True))
+    few = F.broadcast(found) if found.count() <= SMALL_GROUPS else found
+    return rated.join(few, ["g_lang", "g_source"], "left").withColumn("kept", ~F.col("base_failed") & fine)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,7 +188,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     group of its own.  Repeated rows are judged alike, each giving a row.  Other columns are not carried.
     """
     rated = rates(materialize(measure(docs, id_col, text_col), "measured"))
-    return _verdict(rated, limits(rated)).select(id_col, *COUNTS[:5], "base_failed", "kept", *[r for r, _, _ in RATES])
+    return _verdict(rated, materialize(limits(rated), "limits")).select(id_col, *COUNTS[:5], "base_failed", "kept", *NAMES)
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,19 +202,18 @@ def _oracle() -> str:
     def bucket(v: str) -> str:
         return f"CASE WHEN {v} < 128 THEN {v} ELSE ({v} >> (length(bin({v})) - 7)) << (length(bin({v})) - 7) END"
 
-    names = [r for r, _, _ in RATES]
-    cells = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, {bucket(r)} AS v FROM f WHERE NOT base_failed" for r in names)
-    slack = "CASE rate " + " ".join(f"WHEN '{r}' THEN {s}" for r, s, _ in RATES) + " END"
+    cells = " UNION ALL ".join(f"SELECT gl, gs, '{r}' AS rate, {bucket(r)} AS v FROM f WHERE NOT base_failed" for r in NAMES)
+    case = lambda of: "CASE rate " + " ".join(f"WHEN '{r[0]}' THEN {of(r)}" for r in RATES) + " END"
+    at = lambda p: f"min(CASE WHEN 100 * upto >= {p} * whole THEN v END)"
 
-    def fence(name: str, keys: str) -> str:
-        by = f"{keys}rate"
+    def merged(name: str, own: str, keys: str, broad: str, shared: str) -> str:
+        on = f"USING ({shared}rate)"
         return f"""
-{name}0 AS (SELECT {by}, v, sum(count(*)) OVER (PARTITION BY {by} ORDER BY v) AS upto, sum(count(*)) OVER (PARTITION BY {by}) AS n FROM c GROUP BY {by}, v),
-{name}1 AS (SELECT {by}, max(n) AS docs, min(CASE WHEN 4 * upto >= n THEN v END) AS q1, min(CASE WHEN 4 * upto >= 3 * n THEN v END) AS q3 FROM {name}0 GROUP BY {by}),
-{name} AS (SELECT *, q1 - greatest({FENCE} * (q3 - q1), {slack}) AS low, q3 + greatest({FENCE} * (q3 - q1), {slack}) AS high FROM {name}1)"""
+{name}t AS (SELECT {shared}rate, v, ({10 * PRIOR} * w) // sum(w) OVER (PARTITION BY {shared}rate) AS w FROM {broad}),
+{name} AS (SELECT {keys}rate, v, sum(w) AS w FROM (SELECT {keys}rate, v, 10 * w AS w FROM {own} UNION ALL SELECT {keys}rate, v, {name}t.w FROM (SELECT DISTINCT {keys}rate FROM {own}) JOIN {name}t {on}) GROUP BY {keys}rate, v)"""
 
-    breaks = " OR ".join(f"(rate = '{r}' AND (x.v > high" + (" OR x.v < low" if two else "") + "))" for r, _, two in RATES)
-    long = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{r}' AS rate, {r} AS v FROM f" for r in names)
+    breaks = " OR ".join(f"(rate = '{r}' AND ((x.v > high{f' AND events >= {EVENTS}' if e else ''}){' OR x.v < low' if two else ''}))" for r, _, _, two, e in RATES)
+    long = " UNION ALL ".join(f"SELECT doc_id, gl, gs, '{r}' AS rate, {r} AS v, {e or '0'} AS events FROM f" for r, _, _, _, e in RATES)
     return f"""
 WITH t AS (SELECT doc_id, lang, source, text, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
 wi AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM t WHERE len(w) > 2),
@@ -224,22 +221,20 @@ g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i
 rp AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY doc_id),
 ln AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id, line),
 ls AS (SELECT doc_id, sum(n) AS n_lines, sum(n - 1) AS dup FROM ln GROUP BY doc_id),
-m AS (SELECT t.doc_id, lang, source, len(w) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars,
+m AS (SELECT t.doc_id, coalesce('=' || lang, '') AS gl, coalesce('=' || source, '') AS gs, len(w) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars,
     CAST(coalesce(length(text) - length(translate(text, '#*$%&|<>', '')), 0) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines,
-    CAST(coalesce(rp.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
-    len([x FOR x IN w IF NOT regexp_matches(x, '[a-z]') AND length(regexp_replace(x, '[^A-Z]', '', 'g')) > 1]) AS n_loud
+    CAST(coalesce(rp.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines
   FROM t LEFT JOIN rp ON rp.doc_id = t.doc_id LEFT JOIN ls ON ls.doc_id = t.doc_id),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
     CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbol_rate, CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_rate,
-    CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate, CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS word_length,
-    CASE WHEN n_words > 0 THEN 1000 * n_loud // n_words ELSE 0 END AS shout_rate FROM m),
-c AS ({cells}),{fence("fo", "lang, source, ")},{fence("fl", "lang, ")},{fence("fa", "")},
+    CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate, CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS word_length FROM m),
+c AS (SELECT gl, gs, rate, v, CAST(count(*) AS HUGEINT) AS w FROM ({cells}) GROUP BY gl, gs, rate, v),
+ca AS (SELECT rate, v, sum(w) AS w FROM c GROUP BY rate, v), cl AS (SELECT gl, rate, v, sum(w) AS w FROM c GROUP BY gl, rate, v),{merged("ml", "cl", "gl, ", "ca", "")},{merged("mo", "c", "gl, gs, ", "ml", "gl, ")},
+r AS (SELECT *, sum(w) OVER (PARTITION BY gl, gs, rate ORDER BY v) AS upto, sum(w) OVER (PARTITION BY gl, gs, rate) AS whole FROM mo),
+q AS (SELECT gl, gs, rate, {at("50")} AS mid, {at("(" + case(lambda r: r[1]) + ")")} AS up, {at("(" + case(lambda r: 100 - r[1]) + ")")} AS down FROM r GROUP BY gl, gs, rate),
+li AS (SELECT gl, gs, rate, up + {case(lambda r: r[2])} * (up - mid) AS high, down - {case(lambda r: r[2])} * (mid - down) AS low FROM q),
 x AS ({long}),
-bad AS (SELECT DISTINCT doc_id FROM (SELECT x.doc_id, x.rate, x.v,
-      CASE WHEN fo.docs >= {LEAST_DOCS} THEN fo.low WHEN fl.docs >= {LEAST_DOCS} THEN fl.low ELSE fa.low END AS low,
-      CASE WHEN fo.docs >= {LEAST_DOCS} THEN fo.high WHEN fl.docs >= {LEAST_DOCS} THEN fl.high ELSE fa.high END AS high
-    FROM x LEFT JOIN fa ON fa.rate = x.rate LEFT JOIN fl ON fl.rate = x.rate AND fl.lang IS NOT DISTINCT FROM x.lang
-    LEFT JOIN fo ON fo.rate = x.rate AND fo.lang IS NOT DISTINCT FROM x.lang AND fo.source IS NOT DISTINCT FROM x.source) x WHERE {breaks})
+bad AS (SELECT DISTINCT doc_id FROM x JOIN li USING (gl, gs, rate) WHERE {breaks})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f
 """
 
