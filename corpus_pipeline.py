@@ -27,8 +27,9 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Entities get surrogates; n_chars follows where the text has changed."""
     if "n_chars" not in docs.columns:
         return pii.replace(docs)
-    out = pii.replace(docs.withColumn("__before", F.xxhash64("text")))
-    changed = ~F.xxhash64("text").eqNullSafe(F.col("__before"))
+    before = next(c for c in (f"before{k}" for k in range(len(docs.columns) + 1)) if c not in docs.columns)
+    out = pii.replace(docs.withColumn(before, F.xxhash64("text")))
+    changed = ~F.xxhash64("text").eqNullSafe(F.col(before))
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
