@@ -72,22 +72,63 @@ def test_jaccard_matches_brute_force(docs, texts):
     assert len(got) == len(texts) + 1 and dict(got) == components_of(list(enumerate(texts)))
 
 
-def test_jaccard_large_buckets_and_combinations(spark, monkeypatch):
-    """Every bucket above two rows takes the second way."""
+def test_jaccard_families_blocks_and_combinations(spark, monkeypatch):
+    """Every key above two classes makes a family, and families have several blocks."""
     monkeypatch.setattr(jaccard, "LEAST_BOUND", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 6)
+    monkeypatch.setattr(jaccard, "MATRIX_TOKENS", 16)
     rng = random.Random(8)
     passage = " ".join(f"p{i}" for i in range(40))
-    texts = make(rng, 50) + [passage + " " + " ".join(f"q{rng.randrange(12)}" for _ in range(10)) for _ in range(30)] + [" ".join(f"w{k}" for k in range(n)) for n in range(380, 520, 12)]
+    texts = make(rng, 50) + [passage + " " + " ".join(f"q{rng.randrange(12)}" for _ in range(10)) for _ in range(30)] + [" ".join(f"w{k}" for k in range(n)) for n in range(180, 320, 12)]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame).collect()} == components_of(list(enumerate(texts)))
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60, 900, 5000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate((a[n // 10 :], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)))
+        differ = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in jaccard.bitmap(a) ^ jaccard.bitmap(b))
+        assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_regular_words_and_lines_are_told_apart(spark, n):
+    one = thue_morse(n)
+    two = one.translate(str.maketrans("ab", "ba"))
+    frame = spark.createDataFrame([(0, one), (1, two), (2, f"{one}\n{two}\n{one}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame).collect()} == {0: 0, 1: 1, 2: 2}
+    assert {r.doc_id: r.n_dup_lines for r in quality.judge(frame).collect()} == {0: 0, 1: 0, 2: 1}
+    texts = [one.encode(), two.encode()]
+    many = Counter(t[k : k + 400] for t in texts for k in range(len(t) - 399))
+    want = [sum(any(many[t[k : k + 400]] > 1 for k in range(max(0, i - 399), min(i, len(t) - 400) + 1)) for i in range(len(t))) for t in texts]
+    got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(frame.filter("doc_id < 2")).collect()}
+    assert [got[0], got[1]] == want
+
+
 def test_one_of_each(docs, texts):
     want = components_of(list(enumerate(texts)))
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
+def test_one_of_each_keeps_texts_that_share_an_id(spark):
+    rng = random.Random(6)
+    t = make(rng, 1)[0]
+    other = " ".join(f"z{k}" for k in range(60))
+    rows = [(1, t), (2, t + " more"), (2, other), (None, t), (None, " ".join(f"y{k}" for k in range(60))), (3, other), (3, other), (4, ""), (4, "")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, spark.createDataFrame([(1, t), (2, other), rows[4], (4, ""), (4, "")], "doc_id long, text string").collect()))
+
+
 def test_quality_counts(docs, texts):
     for r in quality.judge(docs).collect():
         t = texts[r.doc_id] or ""
@@ -228,6 +269,22 @@ def test_surrogates(spark):
     assert given in pii.NAMES["f", "latin"] and pii.collisions(frame).count() == 0
 
 
+def test_surrogates_stay_with_names_and_formats(spark):
+    names = "Mr. Giovanni Rossi met Mary Smith. Mary said hi to Smith. Иванова Ольга ушла, Иванова."
+    numbers = "IBAN DE89370400440532013000, version 1.2.3.4, order 12345678901234567, card 4111111111111111"
+    long = "password=" + "a1" * 200 + "Z ghp_" + "x9" * 50 + " " + "q" * 70 + "@mail.example.com"
+    frame = spark.createDataFrame([(1, names, "k"), (2, numbers, "k"), (3, long, "k")], "doc_id int, text string, _tl0 string")
+    out = {r.doc_id: r for r in pii.replace(frame, with_counts=True).collect()}
+    assert frame.columns == pii.replace(frame).columns and out[1]._tl0 == "k"
+    a, b = re.search(r"met (\w+) (\w+)\. (?=\1 said hi to \2)", out[1].text).groups()
+    assert a in pii.NAMES["f", "latin"] and b != "Smith" and b.istitle() and "Rossi" not in out[1].text
+    assert re.search(r"(\w+ова) (\w+) ушла, \1\.", out[1].text)[2] in pii.NAMES["f", "cyrillic"] and "Иванова" not in out[1].text
+    iban = re.search(r"IBAN (\w+)", out[2].text)[1]
+    assert iban[:2] == "DE" and iban != "DE89370400440532013000" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert "version 1.2.3.4, order 12345678901234567," in out[2].text and "4111111111111111" not in out[2].text and out[2].n_entities == 2
+    assert "a1a1a1" not in out[3].text and "x9x9" not in out[3].text and "qqq" not in out[3].text
+
+
 def test_surrogates_are_one_to_one(spark):
     rows = [(i, f"+1 ({200 + i % 700}) 555-{i:04d} and 10.{i % 256}.{i // 256}.9 and u{i}@mail.example.com") for i in range(1500)]
     found = pii.entities(spark.createDataFrame(rows, "doc_id int, text string"))
