@@ -87,8 +87,9 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Parities of the tokens' counts in ``BITMAP_BITS`` slots, as 64-bit words."""
-    odd = np.bincount((tokens >> U64(64 - BITMAP_BITS.bit_length() + 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
+    """Parities of the tokens' counts, as 64-bit words, in as many slots as the next power of two, at least ``BITMAP_BITS``."""
+    slots = max(BITMAP_BITS, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else BITMAP_BITS
+    odd = np.bincount((tokens & U64(slots - 1)).astype(np.int64), minlength=slots) & 1
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
@@ -123,7 +124,6 @@ def _sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa
 def describe(src: DataFrame, words: int) -> DataFrame:
     """kind 0: (doc_id, t, n, one, two, bits) of each row; kind 1: (one: token, n: count) of tokens met often within a stretch of rows."""
     names = ["kind", "doc_id", "t", "n", "one", "two", "bits"]
-    words_each = BITMAP_BITS // 64
 
     def often(own: dict) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(list(own.values())), return_counts=True)
@@ -136,7 +136,9 @@ def describe(src: DataFrame, words: int) -> DataFrame:
         for rows, sets in _sets_of(batches, words):
             prints = [fingerprint(s) for s in sets]
             m = len(sets)
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * words_each), pa.array(np.concatenate([np.zeros(0, np.int64), *map(bitmap, sets)])))
+            maps = [bitmap(s) for s in sets]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in maps]))).astype(np.int32)
+            bits = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *maps])))
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), bits], names=names)
             for p, s in zip(prints, sets):
                 if len(s) > 1 and p not in own:
@@ -371,9 +373,14 @@ def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     overlap of o, in at most na + nb - 2 * o, where (100 + percent) * o >= percent * (na + nb)."""
     one, two = (reps.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("rep.bits").alias(f"s{x}")) for x in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b")
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    # one bitmap may have twice the other's slots: its halves are laid over each other
+    half = lambda x: (F.size(x) / 2).cast("int")
+    folded = lambda x: F.zip_with(F.slice(x, 1, half(x)), F.slice(x, half(x) + 1, half(x)), lambda p, q: p.bitwiseXOR(q))
+    fit = lambda x, y: F.when(F.size(x) > F.size(y), folded(x)).otherwise(F.col(x))
+    differ = F.aggregate(F.zip_with(fit("sa", "sb"), fit("sb", "sa"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     least = f"(({percent} * (na + nb) + {99 + percent}) DIV {100 + percent})"
-    return both.filter(differ <= F.expr(f"na + nb - 2 * {least}")).select("a", "b")
+    far = F.greatest(F.size("sa"), F.size("sb")) > 2 * F.least(F.size("sa"), F.size("sb"))  # only below a similarity of one half
+    return both.filter(far | (differ <= F.expr(f"na + nb - 2 * {least}"))).select("a", "b")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
