@@ -175,6 +175,28 @@ def test_classifier_fits_on_whole_texts(spark):
     assert {r.y: len(r.text) for r in rows} == {0: 50_000, 1: 5}
 
 
+def test_classifier_evidence_is_the_size_difference():
+    import zstandard
+
+    texts = [b"plain words in a row " * 300, b"$$$ " * 5000, b"short", b"", None]
+    good, bad = b"plain words in rows and more of it", b"$$$ ### $$$ ***"
+    size = lambda d, p: len(zstandard.ZstdCompressor(level=classifier.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(p))
+    got, some = classifier.evidence(texts, *classifier.compressors(good, bad))
+    for x, t in zip(got[:, 0], texts):
+        pieces = [t[i : i + classifier.PIECE] for i in range(0, len(t), classifier.PIECE)] if t else []
+        assert x == (sum(size(bad, p) - size(good, p) for p in pieces) / (len(t) + classifier.PRIOR) if t else 0)
+    assert some.tolist() == [True, True, True, False, False]
+
+
+def test_classifier_repeated_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "b text " * 20, "x", 0.5), (1, "a text " * 20, "x", 0.5), (2, None, "y", 0.1), (2, None, "y", 0.1)], "doc_id long, text string, _text string, score double")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    rows = classifier.training_rows(docs, labels, lambda c: c < 0, "doc_id", "text", "quality").collect()
+    assert sorted((r.y, bytes(r.text or b"")[:1]) for r in rows) == [(0, b""), (1, b"a")]
+    out = classifier.score(docs, classifier.fit(docs, labels, lambda c: c < 0))
+    assert out.columns == ["doc_id", "score", "predicted"] and out.count() == 4
+
+
 def test_classifier_separates(spark):
     rng = random.Random(3)
     word = lambda abc: "".join(rng.choice(abc) for _ in range(rng.randint(2, 6)))
@@ -303,8 +325,10 @@ def test_induced_suffixes(seed):
         assert {(p, i) for p, a, b in suffixes.repeated_starts(pieces, length, memory=rng.choice([64, 1 << 20])) for i in range(a, b + 1)} == want
 
 
-@pytest.mark.parametrize("length", [400, 24])
-def test_repeats_match_brute_force(docs, texts, length):
+@pytest.mark.parametrize("length, hot", [(400, 5000), (24, 5000), (400, 0), (24, 1)])
+def test_repeats_match_brute_force(docs, texts, length, hot, monkeypatch):
+    """hot: from how many kinds of surroundings on an anchor is split."""
+    monkeypatch.setattr(repeats, "HOT_PLACES", hot)
     rows = [(i, (t or "").encode()) for i, t in enumerate(texts)] + [(0, texts[0].encode())]
     many = Counter(t[k : k + length] for _, t in rows for k in range(len(t) - length + 1))
     for r in repeats.remove_repeats(docs, length=length, keep_text=True).collect():
@@ -315,6 +339,7 @@ def test_repeats_match_brute_force(docs, texts, length):
                 gone[k : k + length] = [True] * length
         kept = bytes(b for b, g in zip(t, gone) if not g)
         runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        assert r.text == kept.decode("utf-8", "ignore")
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.kept_sha256) == (len(t), sum(gone), runs, kept, hashlib.sha256(kept).hexdigest())
 
 

@@ -1,10 +1,9 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are built, one from text labelled good and one from text labelled bad.  A text is
-compressed in pieces of ``PIECE`` bytes with each.  Its evidence is the difference of the two sizes over their
-sum plus ``PRIOR`` bytes (so that short texts say little), and the logarithm of the compressed share itself
-(endless repeats shrink with either dictionary).  A logistic curve fitted on other labelled texts turns the
-evidence into a score.
+compressed in pieces of ``PIECE`` bytes with each.  Its evidence is the difference of the two sizes over its
+length plus ``PRIOR`` bytes (so that short texts say little).  A logistic curve fitted on other labelled texts
+turns the evidence into a score.
 
 Fitting uses at most ``SAMPLE`` labelled texts of either class, those with the smallest hashes of their id.
 Fitting and scoring read every text whole; the driver holds the texts fitted on.
@@ -65,8 +64,8 @@ def _dictionary(raw: bytes):
 
 
 def evidence(texts: list[bytes | None], with_good, with_bad) -> tuple[np.ndarray, np.ndarray]:
-    """The two columns of evidence of each text, and whether there is text at all."""
-    out, some = np.zeros((len(texts), 2)), np.zeros(len(texts), bool)
+    """The normalised size difference of each text, as a column, and whether there is text at all."""
+    out, some = np.zeros((len(texts), 1)), np.zeros(len(texts), bool)
     for i, t in enumerate(texts):
         if not t:
             continue
@@ -76,7 +75,7 @@ def evidence(texts: list[bytes | None], with_good, with_bad) -> tuple[np.ndarray
             piece = t[at : at + PIECE]
             a += len(with_good.compress(piece))
             b += len(with_bad.compress(piece))
-        out[i] = (b - a) / (a + b + PRIOR), np.log((a + b) / (2 * len(t)))
+        out[i] = (b - a) / (len(t) + PRIOR)
     return out, some
 
 
@@ -111,26 +110,28 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(y, order, text) of at most ``SAMPLE`` texts of either class; conflicting labels of an id count as bad, null labels not at all."""
+    """(y, order, text) of at most ``SAMPLE`` texts of either class, one an id.
+
+    Conflicting labels of an id count as bad, null labels not at all; of rows that repeat an id the smallest text is taken.
+    """
     rows = labels.filter(~held_out(F.col(f"`{id_col}`"))).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("y IN (0, 1)")
     rows = rows.groupBy("id").agg(F.min("y").alias("y")).withColumn("order", F.xxhash64("id"))
     picked = rows.filter("y = 1").orderBy("order", "id").limit(SAMPLE).union(rows.filter("y = 0").orderBy("order", "id").limit(SAMPLE))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     # at most 2 * SAMPLE ids
     found = texts.join(F.broadcast(picked), "id")
-    return found.select("y", "order", "text")
+    return found.groupBy("id", "y", "order").agg(F.min("text").alias("text")).select("y", "order", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model from the labelled texts whose id is not held out.  Without labels of both classes every score is one half."""
     rows = sorted(((r["order"], r["y"], bytes(r["text"] or b"")) for r in training_rows(docs, labels, held_out, id_col, text_col, label_col).toLocalIterator()), key=lambda r: (r[0], r[2]))
-    rows = rows[: 4 * SAMPLE]  # repeated ids; the sample stays bounded
     full = [r for r in rows if r[2]]
     empty = [r[1] for r in rows if not r[2]]
     halves = [[r for k, r in enumerate([r for r in full if r[1] == y]) if k % 2 == half] for y in (0, 1) for half in (0, 1)]
     (bad, bad_check), (good, good_check) = halves[:2], halves[2:]
     if not bad or not good:
-        return Model(b" " * 8, b" " * 8, (0.0, 0.0, 0.0), 0.5)
+        return Model(b" " * 8, b" " * 8, (0.0, 0.0), 0.5)
     good_d, bad_d = (build_dictionary([r[2] for r in part]) for part in (good, bad))
     check = good_check + bad_check or good + bad
     x, _ = evidence([r[2] for r in check], *compressors(good_d, bad_d))

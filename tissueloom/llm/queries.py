@@ -49,7 +49,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=True).drop("kept")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

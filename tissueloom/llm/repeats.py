@@ -10,6 +10,8 @@ shards by content, so that all places of one string meet in one shard:
    from its start) are repeats of each other.  An anchor with different surroundings stays open.
 3. The surroundings of open anchors, one of each kind, meet in shards, and the suffixes of a shard that
    start a LENGTH-byte string are sorted and compared with their neighbours (:mod:`.suffixes`).
+   An anchor with more than ``HOT_PLACES`` kinds of surroundings is split instead: each of the LENGTH-byte strings
+   that hold it is known by a 128-bit hash and meets its equals by that, so no shard outgrows a task.
 4. The spans found are merged by text and cut out.
 
 Equal texts are one text throughout, known by a 64-bit hash and the length.
@@ -32,8 +34,9 @@ from .suffixes import repeated_starts
 LENGTH = 400
 GRAM = 200
 BROADCAST_ROWS = 2_000_000
-#: Keys of a partition are sorted together up to so many bytes of text; one key is never split.
+#: Keys of a partition are sorted together up to so many bytes of text; one key adds at most HOT_PLACES pieces.
 SHARD_BYTES = 3_000_000
+HOT_PLACES = 5_000
 
 
 _BYTE_VALUE = splitmix(np.arange(256, dtype=U64))
@@ -234,27 +237,82 @@ def shards(parts: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(n, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["u", "n", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # copies of a text ask for the same pieces
-        rows = {(key, u, at): (key, u, n, at, raw) for b in batches for key, u, n, at, raw in zip(*(b.column(k).to_pylist() for k in range(5)))}
-        held, size, last = [], 0, None
-        for row in sorted(rows.values(), key=lambda r: r[0]):
-            if size >= SHARD_BYTES and row[0] != last:
-                yield shard(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[4])
-            last = row[0]
+        # rows come by key; copies of a text ask for the same pieces
+        held: dict[tuple, tuple] = {}
+        size, last = 0, None
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if size >= SHARD_BYTES and row[0] != last:
+                    yield shard(list(held.values()))
+                    held, size = {}, 0
+                last = row[0]
+                if (name := row[:2] + row[3:4]) not in held:
+                    held[name] = row
+                    size += len(row[4])
         if held:
-            yield shard(held)
+            yield shard(list(held.values()))
 
-    return map_arrow(parts.repartition("key"), run, "u long, n int, a int, b int")
+    return map_arrow(parts.repartition("key").sortWithinPartitions("key"), run, "u long, n int, a int, b int")
+
+
+def windows(src: DataFrame, asked: DataFrame, length: int, gram: int) -> DataFrame:
+    """(u, n, a, b): the strings of ``length`` bytes around anchors that occur at two places or more, found by their hashes alone.
+
+    Within a batch, places of one string are spans at once, runs of them joined, and one of them goes on, so a
+    string sends one row from a batch however often it occurs.
+    """
+    lists = asked.groupBy("u", "n").agg(F.array_sort(F.collect_set("a")).alias("asked"))
+    joined = src.drop("id").join(F.broadcast(lists) if asked.count() <= BROADCAST_ROWS else lists, ["u", "n"])
+    names = ["kind", "one", "two", "u", "n", "a", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, places = [], []
+            us, ns = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for row, (n, text, wanted) in enumerate(zip(ns.tolist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                starts = sorted({p for a in wanted for p in range(max(0, a - length + gram), min(a, n - length) + 1)})
+                raw = memoryview(text)
+                digests += [xxhash.xxh3_128_digest(raw[p : p + length]) for p in starts]
+                places.append(np.stack((np.full(len(starts), row), starts), 1).reshape(-1, 2))
+            if not digests:
+                continue
+            one, two = np.ascontiguousarray(np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T)
+            row, start = np.ascontiguousarray(np.concatenate(places).T.astype(np.int64))
+            order = np.lexsort((two, one))
+            new = np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))
+            several = np.repeat(np.diff(np.append(np.flatnonzero(new), len(order))) > 1, np.diff(np.append(np.flatnonzero(new), len(order))))
+            again = np.zeros(len(order), bool)
+            again[order[several]] = True
+            hit = np.flatnonzero(again)  # rows and starts ascend
+            if len(hit):
+                begin = np.flatnonzero(np.concatenate(([True], (row[hit][1:] != row[hit][:-1]) | (start[hit][1:] != start[hit][:-1] + 1))))
+                last = np.append(begin[1:], len(hit)) - 1
+                of = row[hit[begin]]
+                zero = np.zeros(len(begin), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32)), pa.array(zero), pa.array(zero), pa.array(us[of]), pa.array(ns[of]), pa.array(start[hit[begin]].astype(np.int32)), pa.array((start[hit[last]] + length).astype(np.int32))], names=names)
+            sent = order[new]
+            at = start[sent].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(sent), np.int32)), pa.array(one[sent]), pa.array(two[sent]), pa.array(us[row[sent]]), pa.array(ns[row[sent]]), pa.array(at), pa.array((at + length).astype(np.int32))], names=names)
+
+    rows = map_arrow(joined.select("u", "n", "text", "asked"), run, "kind int, one long, two long, u long, n int, a int, b int")
+    rows = materialize(rows, "windows")
+    met = rows.filter("kind = 1")
+    again = met.groupBy("one", "two").agg(F.count("*").alias("c")).filter("c > 1").select("one", "two")
+    return rows.filter("kind = 0").select("u", "n", "a", "b").union(met.join(again, ["one", "two"], "left_semi").select("u", "n", "a", "b"))
 
 
 def repeated_spans(src: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(u, n, a, b): spans of repeated strings, possibly overlapping, by text."""
     met = materialize(meet(anchor_rows(src, length, gram), length, gram), "anchors")
     asked = met.filter("kind = 1").select("key", "u", "n", "a")
+    hot = materialize(asked.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > HOT_PLACES).select("key"), "hot")
+    split = None
+    if not hot.isEmpty():
+        few = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+        split = windows(src, materialize(asked.join(few, "key", "left_semi"), "split"), length, gram)
+        asked = materialize(asked.join(few, "key", "left_anti"), "asked")
     found = shards(segments(src, asked, length, gram), length)
+    found = found if split is None else found.union(split)
     copies = src.filter(F.col("n") >= length).groupBy("u", "n").agg(F.count("*").alias("c")).filter("c > 1").select("u", "n", F.lit(0).alias("a"), F.col("n").alias("b"))
     return met.filter("kind = 0").select("u", "n", "a", "b").union(found).union(copies)
 
@@ -297,11 +355,11 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept) of every row.
+    """(id_col, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept and text) of every row.
 
     Null texts count as empty; texts shorter than ``length`` bytes lose nothing; of equal texts and repeated
-    rows every copy loses all.  kept is binary, as cuts need not fall between characters.  Other columns are
-    not carried.
+    rows every copy loses all.  kept is binary, as cuts need not fall between characters; text is the same
+    without the bytes of characters that were cut through.  Other columns are not carried.
     """
     src = _text(docs, id_col, text_col)
     lists = materialize(merged(repeated_spans(src, length, length // 2)), "spans")
@@ -316,8 +374,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = [batch.column(0), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
             names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if keep_text:
-                cols.append(pa.array(kept, pa.binary()))
-                names.append("kept")
+                cols += [pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())]
+                names += ["kept", "text"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return map_arrow(joined, run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return map_arrow(joined, run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, text string" * keep_text)
