@@ -3,11 +3,12 @@
 Re-Pair per shard block: frequent pairs of neighbouring symbols become nonterminals, again and again; the
 rules and the length of each rule's expansion are stored, so any range of ids is decoded by finding its
 symbols in the running sum of lengths.  Each round replaces a set of frequent pairs in which no symbol is the
-right half of one pair and the left half of another, so replacements never overlap.
+right half of one pair and the left half of another, so replacements never overlap; rounds go on until no pair
+occurs ``LEAST_COUNT`` times, from which on a rule takes more room than it saves.
 
 File format: Parquet files with one row per block: shard, block, n_docs, n_tokens, payload.  A payload is
-``RPR1``, five little-endian unsigned 32-bit counts (docs, tokens, symbols, rules, terminals), then arrays:
-document ids (int64), rule halves (2 x uint32 a rule), expansion lengths (uint32 a rule), symbols (uint32).
+``RPR2``, six little-endian unsigned 32-bit counts (docs, docs without an id, tokens, symbols, rules,
+terminals), then arrays: document ids (int64; those without an id come first, as 0), rule halves (2 x uint32 a rule), expansion lengths (uint32 a rule), symbols (uint32).
 Terminal number ``terminals - 1`` ends a document and stands for the end id; no rule holds it.
 """
 
@@ -27,22 +28,24 @@ from pyspark.sql import functions as F
 from .common import blocks, column_names, map_arrow, shared_dir
 from .pretokens import gather, loaded, tokenizer_text, word_coder
 
-MAGIC = b"RPR1"
+MAGIC = b"RPR2"
+HEAD = struct.Struct("<6I")
 END_ID = 2
 BLOCK_TOKENS = 2_000_000
-ROUNDS = 6
 RULES_A_ROUND = 4096
 LEAST_COUNT = 24
 _BITS = 20
 
 
-def compress(symbols: np.ndarray, terminals: int, rounds: int = ROUNDS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (n x 2) and the remaining symbols; symbol ``terminals - 1`` is never paired."""
+def compress(symbols: np.ndarray, terminals: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """Rules (n x 2) and the remaining symbols; symbol ``terminals - 1`` is never paired.
+
+    Pairs are counted by hash buckets first; once these show nothing more, exactly.
+    """
     seq = symbols.astype(np.int64)
     rules = np.zeros((0, 2), np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    exact = False
+    while len(seq) > 1:
         code = seq[:-1] << 32
         code |= seq[1:]
         bucket = ((code * -7046029254386353131) >> (64 - _BITS)) & ((1 << _BITS) - 1)
@@ -58,12 +61,15 @@ def compress(symbols: np.ndarray, terminals: int, rounds: int = ROUNDS, least: i
         if not len(at):
             break
         place, found = place[at], code[at]
-        # one pair stands for a bucket; another that shares it waits for a later round
-        own = np.zeros(len(heavy), np.int64)
-        own[place] = found
-        same = own[place] == found
-        n = np.bincount(place[same], minlength=len(heavy))
-        name = np.full(len(heavy), -1, np.int64)
+        if exact:
+            own, place, n = np.unique(found, return_inverse=True, return_counts=True)
+            same = np.ones(len(found), bool)
+        else:  # one pair stands for a bucket; another that shares it waits for a later round
+            own = np.zeros(len(heavy), np.int64)
+            own[place] = found
+            same = own[place] == found
+            n = np.bincount(place[same], minlength=len(heavy))
+        name = np.full(len(own), -1, np.int64)
         lefts: set[int] = set()
         rights: set[int] = set()
         taken: list[int] = []
@@ -79,7 +85,10 @@ def compress(symbols: np.ndarray, terminals: int, rounds: int = ROUNDS, least: i
             name[k] = terminals + len(rules) + len(taken)
             taken.append(p)
         if not taken:
-            break
+            if exact:
+                break
+            exact = True
+            continue
         new = name[place]
         hit = same & (new >= 0)
         at, new = at[hit], new[hit]
@@ -99,18 +108,30 @@ def compress(symbols: np.ndarray, terminals: int, rounds: int = ROUNDS, least: i
     return rules, seq
 
 
-def pack(doc_ids: np.ndarray, symbols: np.ndarray, terminals: int) -> bytes:
+def pack(doc_ids: np.ndarray, nulls: int, symbols: np.ndarray, terminals: int) -> bytes:
     rules, seq = compress(symbols, terminals)
     sizes = rule_sizes(rules, terminals)
-    head = struct.pack("<5I", len(doc_ids), len(symbols), len(seq), len(rules), terminals)
+    head = HEAD.pack(len(doc_ids), nulls, len(symbols), len(seq), len(rules), terminals)
     return MAGIC + head + doc_ids.astype("<i8").tobytes() + rules.astype("<u4").tobytes() + sizes.astype("<u4").tobytes() + seq.astype("<u4").tobytes()
 
 
+def levels(rules: np.ndarray, terminals: int) -> np.ndarray:
+    """How deep each symbol's rules nest: 0 for terminals."""
+    out = np.zeros(terminals + len(rules), np.int64)
+    while len(rules):
+        new = 1 + np.maximum(out[rules[:, 0]], out[rules[:, 1]])
+        if (new == out[terminals:]).all():
+            break
+        out[terminals:] = new
+    return out
+
+
 def rule_sizes(rules: np.ndarray, terminals: int) -> np.ndarray:
-    sizes = [1] * terminals
-    for a, b in rules.tolist():
-        sizes.append(sizes[a] + sizes[b])
-    return np.array(sizes[terminals:], np.int64)
+    sizes, level = np.ones(terminals + len(rules), np.int64), levels(rules, terminals)
+    for k in range(1, int(level.max(initial=0)) + 1):
+        at = np.flatnonzero(level == k)
+        sizes[at] = sizes[rules[at - terminals, 0]] + sizes[rules[at - terminals, 1]]
+    return sizes[terminals:]
 
 
 class Block:
@@ -119,8 +140,8 @@ class Block:
     def __init__(self, payload: bytes, end_id: int = END_ID):
         if payload[:4] != MAGIC:
             raise ValueError("not a grammar block")
-        docs, self.n_tokens, n_seq, n_rules, self.terminals = struct.unpack_from("<5I", payload, 4)
-        at, self.end_id = 24, end_id
+        docs, self.nulls, self.n_tokens, n_seq, n_rules, self.terminals = HEAD.unpack_from(payload, 4)
+        at, self.end_id = 4 + HEAD.size, end_id
         self.doc_ids = np.frombuffer(payload, "<i8", docs, at)
         at += 8 * docs
         self.rules = np.frombuffer(payload, "<u4", 2 * n_rules, at).reshape(-1, 2)
@@ -128,14 +149,16 @@ class Block:
         self.sizes = np.concatenate((np.ones(self.terminals, np.int64), np.frombuffer(payload, "<u4", n_rules, at)))
         at += 4 * n_rules
         self.seq = np.frombuffer(payload, "<u4", n_seq, at).astype(np.int64)
-        flat = [np.arange(self.terminals, dtype=np.int64)]
-        flat[0][-1] = end_id
-        parts: list[list[int]] = []
-        for a, b in self.rules.tolist():
-            parts.append((parts[a - self.terminals] if a >= self.terminals else [a]) + (parts[b - self.terminals] if b >= self.terminals else [b]))
-        flat.append(np.fromiter((x for p in parts for x in p), np.int64))
-        self.flat = np.concatenate(flat)
         self.offsets = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.zeros(int(self.sizes.sum()), np.int64)
+        self.flat[: self.terminals] = np.arange(self.terminals)
+        self.flat[self.terminals - 1] = end_id
+        level = levels(self.rules, self.terminals)
+        for k in range(1, int(level.max(initial=0)) + 1):
+            at_level = np.flatnonzero(level == k)
+            a, b = self.rules[at_level - self.terminals].astype(np.int64).T
+            self.flat[gather(self.offsets[at_level], self.sizes[a])] = self.expand(a)
+            self.flat[gather(self.offsets[at_level] + self.sizes[a], self.sizes[b])] = self.expand(b)
         self.after = np.cumsum(self.sizes[self.seq])
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
@@ -154,33 +177,35 @@ def write_corpus(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Encode every whole text, append ``end_id`` and write blocks in ascending id order.
 
     Null and empty texts hold only the end id.  Rows with equal ids stand in the order of their texts; rows
-    with a null id raise, as a file has no place for them.
+    with a null id come before all others.
     """
     text = tokenizer_text(tokenizer_path, "word_bpe_49k.json")
-    src = column_names(docs, id_col, text_col).withColumn(id_col, F.coalesce(F.col(id_col).cast("long"), F.raise_error("null id").cast("long")))
+    src = column_names(docs, id_col, text_col).withColumn(id_col, F.col(id_col).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded("word", text, word_coder)
         terminals = coder.tokenizer.get_vocab_size(with_added_tokens=True) + 1
         shard, block = TaskContext.get().partitionId(), 0
-        ids_held, docs_held, held = [], [], 0
+        ids_held, docs_held, held, nulls = [], [], 0, 0
 
         def out() -> pa.RecordBatch:
             doc_ids, symbols = np.concatenate(docs_held), np.concatenate(ids_held)
-            payload = pack(doc_ids, symbols, terminals)
+            payload = pack(doc_ids, nulls, symbols, terminals)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(symbols)], pa.int64()), pa.array([payload], pa.binary())], names=["shard", "block", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            texts, doc_ids = batch.column(1).to_pylist(), batch.column(0).to_numpy(zero_copy_only=False)
+            texts, given = batch.column(1).to_pylist(), batch.column(0)
+            none, doc_ids = given.is_null().to_numpy(zero_copy_only=False), given.fill_null(0).to_numpy()
             for part in blocks(texts):
                 ids, counts = coder.ids(texts[part])
                 symbols = np.insert(ids.astype(np.uint32), np.cumsum(counts), terminals - 1)
                 ids_held.append(symbols)
                 docs_held.append(doc_ids[part])
+                nulls += int(none[part].sum())
                 held += len(symbols)
                 if held >= BLOCK_TOKENS:
                     yield out()
-                    ids_held, docs_held, held = [], [], 0
+                    ids_held, docs_held, held, nulls = [], [], 0, 0
                     block += 1
         if docs_held:
             yield out()
@@ -211,7 +236,7 @@ def read_corpus(spark: SparkSession, path: str, with_ids: bool = True, end_id: i
                 ends = block.doc_ends()
                 starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
-                cols = [pa.array(np.full(len(ends), shard, np.int32)), pa.array(np.full(len(ends), number, np.int32)), pa.array(block.doc_ids.astype(np.int64)), pa.array(starts), pa.array(ends - starts), pa.array(crcs, pa.int64())]
+                cols = [pa.array(np.full(len(ends), shard, np.int32)), pa.array(np.full(len(ends), number, np.int32)), pa.array(block.doc_ids.astype(np.int64), mask=np.arange(len(ends)) < block.nulls), pa.array(starts), pa.array(ends - starts), pa.array(crcs, pa.int64())]
                 names = ["shard", "block", "doc_id", "at", "n_tokens", "ids_crc32"]
                 if with_ids:
                     offsets = np.concatenate(([0], ends)).astype(np.int32)
