@@ -227,6 +227,26 @@ def test_top_k(spark):
     assert not any(k[0] in (500, 600) for k in got)
 
 
+def test_top_k_scores_survivors_only():
+    draw = np.random.default_rng(1)
+    x = np.floor(1024 * draw.standard_normal((6000, 64)) / 8)
+    search = topk.Search(np.arange(20), x[:20], 10)
+    search.add(np.arange(6000), x)
+    assert search.exact < 0.6 * 20 * 6000
+    for r in range(20):
+        assert search.best[r] == sorted((-int(x[r] @ x[c]), c) for c in range(6000) if c != r)[:10]
+
+
+def test_top_k_repeats_large_values_and_clashing_columns(spark):
+    big = float(1 << 60)
+    rows = [(0, [big, -big], 1), (1, [big, big], 1), (1, [big, big], 1), (2, [-1.5, 0.25], 1), (3, [0.5, 0.5], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int")
+    small = frame.filter("vec_id > 1").unionAll(frame.filter("vec_id = 3"))
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(small, "id = 2").collect()]
+    s = -1536 * 512 + 256 * 512
+    assert sorted(got) == [(2, 1, 3, s), (2, 2, 3, s)]
+
+
 def test_bpe_matches_library(docs, texts):
     t = pretokens.open_tokenizer(pretokens.tokenizer_text(None, "byte_bpe_50k.json"))
     want = {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}

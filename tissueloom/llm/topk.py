@@ -4,7 +4,7 @@ A vector is cut into segments; the mean and the deviation of each are kept for s
 m and s those of a segment of length l, sum(a * b) <= l * (ma * mb + sa * sb), so the distance of two
 vectors is at least sqrt(sum l * ((ma - mb)^2 + (sa - sb)^2)) and their inner product at most the sum of the
 bounds.  Candidates are bounded coarse to fine against each query's k-th best so far, and only survivors get
-their exact score.  Queries are taken in blocks of bounded size, each block against all rows.
+their exact score; the first rows that a task meets come in few, so that there is a k-th best early.  Queries are taken in blocks of bounded size, each block against all rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 SCALE = 1024
-SEGMENTS = (4, 16)
+SEGMENTS = (4, 16, 32)
+#: The first rows of a task only set the queries' floors, so they come in few.
+FIRST_ROWS, MOST_ROWS = 64, 1024
 QUERY_BLOCK = 4096
 EXACT = float(1 << 53)
 
@@ -50,31 +52,32 @@ class Search:
         self.stats = [segment_statistics(queries, s) for s in segments]
         self.floor = np.full(len(ids), -np.inf)
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]
-        self.exact = 0
+        self.exact = self.seen = 0
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        for at in range(0, len(ids), 1024):
-            self._add(ids[at : at + 1024], x[at : at + 1024])
+        at = 0
+        while at < len(ids):
+            step = min(MOST_ROWS, max(FIRST_ROWS, self.seen))
+            self._add(ids[at : at + step], x[at : at + step])
+            self.seen += step
+            at += step
 
     def _add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        live = None
+        live = np.ones((len(self.ids), len(ids)), bool)
         for s, q_stats in zip(self.segments, self.stats):
             x_stats = segment_statistics(x, s)
             slack = 1e-9 * (np.abs(q_stats).sum(1)[:, None] * np.abs(x_stats).max(initial=0) + 1)
-            if live is None or live.mean() > 0.1:
-                bound = q_stats @ x_stats.T + slack >= self.floor[:, None]
-                live = bound if live is None else live & bound
+            if live.mean() > 0.1:
+                live &= q_stats @ x_stats.T + slack >= self.floor[:, None]
             else:
                 i, j = np.nonzero(live)
                 out = np.einsum("ij,ij->i", q_stats[i], x_stats[j]) + slack[i, 0] < self.floor[i]
                 live[i[out], j[out]] = False
-        rows, cols = np.flatnonzero(live.any(1)), np.flatnonzero(live.any(0))
-        if not len(rows):
-            return
-        scores = exact_scores(self.q[rows], x[cols])
         self.exact += int(live.sum())
-        for r, row in zip(rows.tolist(), scores):
-            at = np.flatnonzero(live[r, cols] & (row >= self.floor[r]))
+        for r in np.flatnonzero(live.any(1)).tolist():
+            cols = np.flatnonzero(live[r])
+            row = exact_scores(self.q[r : r + 1], x[cols])[0]
+            at = np.flatnonzero(row >= self.floor[r])
             own = ids[cols[at]]
             pick = own != self.ids[r]
             got = [(-int(s), int(i)) for s, i in zip(row[at[pick]].tolist(), own[pick].tolist())]
