@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 POSITIONS = "barcode string, in_tissue int, array_row int, array_col int, pxl_col_in_fullres double, pxl_row_in_fullres double"
@@ -13,23 +13,38 @@ def positions_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POSITIONS).csv(path, header=False)
 
 
+def positions_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Tissue positions of binned data; other columns are kept."""
+    return spark.read.parquet(path).withColumnRenamed("barcode", "spot")
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """Lines of one file with what orders them: the start of their split and their place in it."""
+    return lines.withColumns({"split": F.input_file_block_start(), "at": F.monotonically_increasing_id()})
+
+
 def matrix_market(spark: SparkSession, folder: str) -> DataFrame:
-    """(spot, gene, count) of a matrix.mtx folder with features.tsv and barcodes.tsv."""
-    lines = spark.read.text(f"{folder}/matrix.mtx").filter(~F.col("value").startswith("%"))
-    cells = lines.select(F.split("value", r"\s+").alias("p")).select(*[F.col("p")[k].cast("double").alias(c) for k, c in enumerate(("i", "j", "count"))])
-    sizes = numbered(spark, f"{folder}/features.tsv", "gene"), numbered(spark, f"{folder}/barcodes.tsv", "spot")
-    n_genes, n_spots = (s.count() for s in sizes)
-    # the size line is the one whose indices are the numbers of rows and whose third number is that of all others
-    total = cells.count() - 1
-    cells = cells.filter(~((F.col("i") == n_genes) & (F.col("j") == n_spots) & (F.col("count") == total)))
-    genes, spots = sizes
+    """(spot, gene, count) of a folder with matrix.mtx, features.tsv (or genes.tsv) and barcodes.tsv, plain or .gz.
+
+    The first line that is no comment holds the sizes and is left out.
+    """
+    lines = _placed(spark.read.text(f"{folder}/matrix.mtx*")).filter(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    first = lines.agg(F.min(F.struct("split", "at")).alias("first"))
+    cells = lines.join(F.broadcast(first), F.struct("split", "at") != F.col("first")).select(F.split(F.trim("value"), r"\s+").alias("p"))
+    cells = cells.select(F.col("p")[0].cast("long").alias("i"), F.col("p")[1].cast("long").alias("j"), F.col("p")[2].cast("double").alias("count"))
+    genes, spots = numbered(spark, f"{folder}/{{features,genes}}.tsv*", "gene"), numbered(spark, f"{folder}/barcodes.tsv*", "spot")
     return cells.join(genes.withColumnRenamed("row", "i"), "i").join(spots.withColumnRenamed("row", "j"), "j").select("spot", "gene", "count")
 
 
-def numbered(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(row, name) of the first tab-separated field, rows from 1 in the file's order."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("at", "line"))
-    return rows.select((F.col("at") + 1).cast("double").alias("row"), F.element_at(F.split("line", "\t"), 1).alias(name))
+def numbered(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    """(row, names) of the first tab-separated fields of one file, rows from 1 in its order: splits are counted, and lines numbered within them."""
+    lines = _placed(spark.read.text(path)).filter(F.col("value") != "")
+    starts = lines.groupBy("split").agg(F.count("*").alias("n"), F.min("at").alias("low"))  # one row a split
+    before = F.coalesce(F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = F.row_number().over(Window.partitionBy("split").orderBy("at"))
+    rows = lines.withColumn("k", local).join(F.broadcast(starts.withColumn("before", before)), "split")
+    fields = F.split("value", "\t")
+    return rows.select((F.col("before") + F.col("k")).alias("row"), *[fields[k].alias(n) for k, n in enumerate(names)])
 
 
 def gene_sets(spark: SparkSession, path: str, has_description: bool = True, trim: bool = True) -> DataFrame:
@@ -92,5 +107,3 @@ def samples_in_common(counts: DataFrame) -> DataFrame:
 def library_of(spots: DataFrame, libraries: DataFrame) -> DataFrame:
     """Adds library_id by the barcode's suffix; libraries: (position from 0, library_id)."""
     return spots.withColumn("position", F.element_at(F.split("spot", "-"), -1).cast("int") - 1).join(F.broadcast(libraries), "position", "left").drop("position")
-
-
