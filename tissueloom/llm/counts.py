@@ -43,15 +43,9 @@ class Counter:
         tokenizer = open_tokenizer(text)
         merge = library_words(tokenizer)
         self.coder = Coder(tokenizer, WORD_SPLIT, lambda words: (merge(words)[0], np.zeros(0, np.uint32)), keep_space=False, keep_ids=False)
-        self.whole = whole_tokens(tokenizer)
-        clear = self.coder.clear
-
-        def refill() -> None:
-            clear()
-            self.coder.put(self.whole, np.ones(len(self.whole), np.int64), np.zeros(0, np.uint32))
-
-        self.coder.clear = refill
-        refill()
+        whole = whole_tokens(tokenizer)
+        self.coder.always = (whole, np.ones(len(whole), np.int64), np.zeros(0, np.uint32))
+        self.coder.clear()
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         return self.coder.count(texts)

@@ -1,8 +1,11 @@
 """Pre-tokens of the two tokenizer files, coded once per distinct pre-token.
 
 A text is cut into units and these into pre-tokens, each distinct one is encoded once, and a text's ids are
-gathered from a table by code.  The tables are caches: they are emptied when there are ``LIMIT`` units, which
+gathered from a table by code.  The tables are caches: at ``LIMIT`` units those met least often go, which
 costs time and never changes a result.
+
+Where units are words between white space, they are found as spans of bytes and known by two 64-bit hashes, so
+that only words met for the first time become strings.
 """
 
 from __future__ import annotations
@@ -13,9 +16,12 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import regex
 
-from .common import kept_by_worker
+from .common import Block, kept_by_worker, span_hash, splitmix, U64
 
-LIMIT = 250_000
+LIMIT = 500_000
+#: Distinct pre-tokens are only needed for units met for the first time.
+CODE_LIMIT = 200_000
+OFTEN = 4
 BYTE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: The same over units joined by a mark that no pre-token holds (in bytes a lone surrogate, which no text has); it is a match of its own.
@@ -24,8 +30,11 @@ WORD_MARKED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N
 #: Outside these ranges Unicode versions of Python and of the library may differ; such texts take the library's own path.
 _UNSURE = regex.compile("[^\u0000-ͷ΄-ԩऀ-ॣḀ-ỿ -⁤₠-₿←-⏾①-⭳ぁ-ゖァ-ヿ一-鿪가-힣︰-﹒！-ﾾ\U0001f300-\U0001f64f]")
 
+#: A second view of the bytes, for a second hash.
+_STEP = np.random.default_rng(7).permutation(256).astype(np.uint8)
 _SPACE_RUN = regex.compile(r" (?:\s|$|[\x1c-\x1f])")
-_SEPARATORS = regex.compile(r"[\x1c-\x1f]")
+#: White space to the pattern as well, whatever surrounds it.
+_WHITE = regex.compile(r"[ \t\n\x0b\x0c\r]+")
 
 
 class Grown:
@@ -66,13 +75,35 @@ class Coder:
         self.on_special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self.clear()
 
+    always: tuple[list, np.ndarray, np.ndarray] | None = None
+
     def clear(self) -> None:
+        self.unit: dict = {}
+        self.unit_start, self.unit_size, self.unit_flat, self.hits = Grown(np.int64), Grown(np.int64), Grown(np.uint32), Grown(np.int64)
+        self.clear_codes()
+
+    def clear_codes(self) -> None:
         self.code: dict = {}
         self.start, self.size, self.flat = Grown(np.int64), Grown(np.int64), Grown(np.uint32)
-        self.unit: dict = {}
-        self.unit_start, self.unit_size, self.unit_flat = Grown(np.int64), Grown(np.int64), Grown(np.uint32)
         self.put([self.mark], np.zeros(1, np.int64), np.zeros(0, np.uint32))
         self.put([("special", s) for s in self.special], np.ones(len(self.special), np.int64), np.array(list(self.special.values()), np.uint32))
+        if self.always:
+            self.put(*self.always)
+
+    def trim(self) -> None:
+        """Keep the units met ``OFTEN`` times, at most half of the limit; their ids stand by themselves, so codes can all go."""
+        hits = self.hits.data[: self.hits.n]
+        keep = np.flatnonzero(hits >= OFTEN)
+        if 2 * len(keep) > LIMIT:
+            keep = np.sort(keep[np.argsort(-hits[keep], kind="stable")[: LIMIT // 2]])
+        names, sizes = list(self.unit), self.unit_size.data[keep]
+        flat = self.unit_flat.data[gather(self.unit_start.data[keep], sizes)] if self.keep_ids else np.zeros(0, np.uint32)
+        self.clear()
+        self.unit = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.unit_start.add(np.cumsum(sizes) - sizes)
+        self.unit_size.add(sizes)
+        self.unit_flat.add(flat)
+        self.hits.add(np.zeros(len(keep), np.int64))
 
     def put(self, words: list, sizes: np.ndarray, ids: np.ndarray) -> None:
         self.code.update(zip(words, range(len(self.code), len(self.code) + len(words))))
@@ -110,9 +141,7 @@ class Coder:
             out = text.split(" ")
             out[0] = ("first", out[0])
             return out
-        if _SEPARATORS.search(text):  # white space to str.split, but not to the pattern
-            return [("piece", p) for p in self.plain(text)]
-        return text.split()
+        return [u for u in _WHITE.split(text) if u]
 
     def pieces(self, unit) -> list:
         if isinstance(unit, str):
@@ -136,17 +165,19 @@ class Coder:
             joined = unicodedata.normalize("NFC", self.mark.join(units)).replace("Σ", "σ").lower()
         return [*self.marked.findall(joined), self.mark]
 
-    def learn(self, units: list) -> None:
-        plain = [u for u in units if type(u) is str]
-        if len(plain) != len(units):
-            self.learn([u for u in units if type(u) is not str]) if plain else self.add(units)
-            if not plain:
-                return
-        for at in range(0, len(plain), 50_000):
-            self.add(plain[at : at + 50_000])
+    def learn(self, units: list, names: list) -> None:
+        """Units met for the first time; ``names`` are what they are known by."""
+        plain = [type(u) is str for u in units]
+        for kind in (False, True):
+            at = [i for i, p in enumerate(plain) if p is kind]
+            for k in range(0, len(at), 50_000):
+                part = at[k : k + 50_000]
+                self.add([units[i] for i in part], [names[i] for i in part])
 
-    def add(self, units: list) -> None:
+    def add(self, units: list, names: list) -> None:
         flat = self.cut(units)
+        if len(self.code) > CODE_LIMIT:
+            self.clear_codes()
         if new := list(set(flat).difference(self.code)):
             self.put(new, *self.encode(new))
         codes = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
@@ -154,13 +185,25 @@ class Coder:
         ids = self.flat.data[gather(self.start.data[codes], sizes)] if self.keep_ids else np.zeros(0, np.uint32)
         # the mark is code 0 and has no ids
         own = per_text(sizes, np.diff(np.flatnonzero(codes == 0), prepend=-1))
-        self.unit.update(zip(units, range(len(self.unit), len(self.unit) + len(units))))
+        self.unit.update(zip(names, range(len(self.unit), len(self.unit) + len(units))))
         self.unit_start.add(self.unit_flat.n + np.cumsum(own) - own)
         self.unit_size.add(own)
         self.unit_flat.add(ids)
+        self.hits.add(np.zeros(len(units), np.int64))
 
     def codes(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The code of each unit of all texts, and how many units each text has."""
+        if len(self.unit) > LIMIT:
+            self.trim()
+        special = [bool(self.special and t and "<" in t and self.on_special.search(t)) for t in texts]
+        if self.keep_space:
+            return self.listed(texts)
+        if any(special):  # few texts: their units are listed, the others' hashed
+            parts = [self.listed([t]) if s else self.hashed([t]) for t, s in zip(texts, special)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        return self.hashed(texts)
+
+    def listed(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         all_units: list = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -168,11 +211,30 @@ class Coder:
                 found = self.units(t)
                 counts[i] = len(found)
                 all_units += found
-        if len(self.unit) > LIMIT:
-            self.clear()
         if new := list(set(all_units).difference(self.unit)):
-            self.learn(new)
-        return np.fromiter(map(self.unit.__getitem__, all_units), np.int64, len(all_units)), counts
+            self.learn(new, new)
+        codes = np.fromiter(map(self.unit.__getitem__, all_units), np.int64, len(all_units))
+        self.hits.data[: self.hits.n] += np.bincount(codes, minlength=self.hits.n)
+        return codes, counts
+
+    def hashed(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        block = Block([t.encode() if t else None for t in texts])
+        one = block.words
+        two = splitmix(one ^ U64(0x9FB21C651E98DF25)) ^ span_hash(_STEP[block.data], block.begin, block.end)
+        _, first, back, met = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
+        if not (two[first][back] == two).all():  # two words with one hash
+            _, first, back, met = np.unique(np.stack((one, two), 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+        names = np.ascontiguousarray(np.stack((one[first], two[first]), 1)).view("V16")[:, 0].tolist()
+        found = [self.unit.get(k, -1) for k in names]
+        if fresh := [i for i, f in enumerate(found) if f < 0]:
+            raw, at = block.data.tobytes(), first[fresh]
+            words = [raw[a:b].decode() for a, b in zip(block.begin[at].tolist(), block.end[at].tolist())]
+            self.learn(words, [names[i] for i in fresh])
+            for i in fresh:
+                found[i] = self.unit[names[i]]
+        units = np.array(found, np.int64)
+        self.hits.data[units] += met
+        return units[back], np.diff(block.first)
 
     def ids(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and how many each text has."""
@@ -194,33 +256,19 @@ def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def library_words(tokenizer) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Encoder of distinct word pre-tokens by the tokenizers library itself.
+    """Encoder of distinct word pre-tokens by the tokenizers library's own model.
 
-    The words are normal and cut already, so its model gets them as they are, many in one string.
+    The words are normal and cut already, so the model gets them as they are, with bytes spelled as it wants them.
     """
-    from tokenizers import Tokenizer
-    from tokenizers.pre_tokenizers import ByteLevel, Sequence as Steps, WhitespaceSplit
+    from .bpe import byte_alphabet
 
-    model = Tokenizer.from_str(tokenizer.to_str())
-    model.normalizer = None
-    model.pre_tokenizer = Steps([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
-    model.encode_special_tokens = True
+    spelled = {b: c for c, b in byte_alphabet().items()}
+    model = tokenizer.model
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        sizes, ids = np.zeros(len(words), np.int64), []
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            got = model.encode(" ".join(part), add_special_tokens=False)
-            of = np.array(got.word_ids, np.int64)
-            if len(of) and of[-1] + 1 == len(part):
-                sizes[at : at + len(part)] = np.bincount(of, minlength=len(part))
-                ids.append(np.array(got.ids, np.uint32))
-            else:  # a pre-token that does not stand alone; encode each by itself
-                for k, w in enumerate(part):
-                    one = np.array(tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
-                    sizes[at + k] = len(one)
-                    ids.append(one)
-        return sizes, np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        got = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(spelled))] for w in words]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return sizes, np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
 
     return encode
 
