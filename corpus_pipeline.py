@@ -14,12 +14,12 @@ from tissueloom.llm.common import materialize, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, among them null and empty texts and those below fifty words."""
     return quality.keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similarity 0.8 or more, the one with the smallest id stays."""
+    """Of documents linked by similarity 0.8 or more, the one with the smallest id stays, null ids last; rows that share an id but no text are different documents, and rows without words all stay."""
     return jaccard.one_of_each(docs)
 
 
@@ -34,12 +34,12 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; those without words are left out, a null source is one of its own."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document of the mix."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document of the mix; null texts count as empty."""
     return bpe.round_trip(docs)
 
 

@@ -237,16 +237,23 @@ def test_top_k_scores_survivors_only():
         assert search.best[r] == sorted((-int(x[r] @ x[c]), c) for c in range(6000) if c != r)[:10]
 
 
-def test_top_k_repeats_large_values_and_clashing_columns(spark):
-    big = float(1 << 60)
-    rows = [(0, [big, -big], 1), (1, [big, big], 1), (1, [big, big], 1), (2, [-1.5, 0.25], 1), (3, [0.5, 0.5], 1)]
+def test_top_k_repeats_and_clashing_columns(spark):
+    rows = [(2, [-1.5, 0.25], 1), (3, [0.5, 0.5], 1), (3, [0.5, 0.5], 1), (2, [9.0, 9.0, 9.0], 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int")
-    small = frame.filter("vec_id > 1").unionAll(frame.filter("vec_id = 3"))
-    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(small, "id = 2").collect()]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, "id = 2").collect()]
     s = -1536 * 512 + 256 * 512
     assert sorted(got) == [(2, 1, 3, s), (2, 2, 3, s)]
 
 
+def test_mix_null_and_repeated_ids(spark):
+    rows = [(None, f"w{i} " * (i % 7 + 1), "a") for i in range(60)] + [(1, "x y z", "b")] * 20 + [(2, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = mixing.mix(frame).collect()
+    assert len(out) == 81 and sorted(map(str, out)) == sorted(map(str, mixing.mix(frame.repartition(7)).collect()))
+    for s, group in ((s, [r for r in out if r.source == s]) for s in ("a", "b")):
+        assert abs(sum(r.taken for r in group) - group[0].target) <= 7
+
+
 def test_bpe_matches_library(docs, texts):
     t = pretokens.open_tokenizer(pretokens.tokenizer_text(None, "byte_bpe_50k.json"))
     want = {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
@@ -395,6 +402,25 @@ def test_word_hash_is_independent_of_place():
     assert a.words[1] == a.words[2] == b.words[0] == b.words[1] != b.words[2]
 
 
+def test_pipeline_stages_on_odd_tables(spark, none, tmp_path):
+    """No rows; and nulls, repeats, very long texts and clashing columns."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(4000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    same, long = text(90), text(40_000)
+    rows = [(1, same), (1, same), (2, same + " end"), (None, text(80)), (None, None), (3, ""), (4, long), (5, text(70)), (5, text(75))]
+    odd = spark.createDataFrame([(i, t, None, "s", 0, 1, "k", "r", 2, 3) for i, t in rows], COLUMNS).repartition(3)
+    for docs, want in ((none, 0), (odd, 5)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, "")
+            assert k == 4 or out.columns == docs.columns
+            if k < 2:  # of the rows with a text of fifty words one of each group stays
+                docs = common.materialize(out, "odd")
+        assert docs.count() == want
+
+
 def test_pipeline_matches_brute_force(spark, tmp_path):
     """run() against SQL for the rules and the mix, all pairs for copies, and the library for tokens."""
     import duckdb

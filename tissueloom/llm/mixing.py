@@ -60,11 +60,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     times is how often the mix holds the document, taken its size times that.  size is the number of words
     (null and empty: 0; such documents are never taken beyond complete epochs and add nothing).  Equal keys,
     as of repeated rows, are ordered by size and a hash of the text, and then are alike.  A null source is a
-    source of its own; a null id is an id like any other.  ``weight`` is a column of positive quality weights.
+    source of its own; rows with a null id are told apart by their text.  ``weight`` is a column of positive quality weights.
     With carry, the whole row stands in column ``row`` as well.
     """
     quality = quality_weight(text_col) if weight is None else weight
-    ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
+    ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("~"), F.md5(F.col(f"`{text_col}`").cast("binary"))), F.lit("~"))
     digits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), ident)), 1, 13), 16, 10).cast("double")
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"),

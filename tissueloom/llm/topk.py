@@ -108,7 +108,7 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, ties to the smaller id.
 
     Candidates are all rows but those with the query's own id; repeated ids are one candidate each row.
-    Vectors of another length than the query's are no candidates.  ``is_query`` is a condition on ``id``.
+    Vectors of another length than the query's are no candidates, and a score beyond 64 bits raises.  ``is_query`` is a condition on ``id``.
     Queries come to the driver ``QUERY_BLOCK`` at a time; each block goes over all rows, a running best list
     a task, and the lists are merged.
     """
