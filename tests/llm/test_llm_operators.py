@@ -72,6 +72,40 @@ def test_jaccard_matches_brute_force(docs, texts):
     assert len(got) == len(texts) + 1 and dict(got) == components_of(list(enumerate(texts)))
 
 
+def test_jaccard_pairs_meet_once(spark):
+    """Copies that share hundreds of keys, dealt over many tasks, come out about once a pair, and none is lost."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(w if k % 400 != 13 * i else f"x{i}" for k, w in enumerate(base)) for i in range(12)]
+    texts += [" ".join(rng.choice("abcdefgh") * 3 for _ in range(120)) for _ in range(12)]
+    src = jaccard._source(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "doc_id", "text")
+    for frequent in (jaccard.Frequent(np.zeros(0, np.uint64), np.zeros(0, np.int64)), jaccard.Frequent(*np.unique(np.concatenate(jaccard.shingle_sets([t.encode() for t in texts])), return_counts=True))):
+        rows = jaccard.index(src, 5, 80, frequent, set(), 128).collect()
+        keys = {}
+        for r in rows:
+            keys.setdefault(r.key, []).append(r)
+        met = Counter()
+        for found in keys.values():
+            found.sort(key=lambda r: r.n)
+            cls, n, left, before = (np.array([r[c] for r in found]) for c in ("cls", "n", "left", "before"))
+            for a, b in jaccard._pairs_in_runs(np.array([0]), np.array([len(found)]), cls, n, left, before, 80):
+                met.update(zip(a.tolist(), b.tolist()))
+        assert len(met) >= 66 and sum(met.values()) < 8 * len(met)
+
+
+def test_jaccard_rest_of_pairs_across_components(spark):
+    """In a chain where the smallest partner is not always similar, the second round finds the links left."""
+    rng = random.Random(5)
+    texts = []
+    for f in range(6):
+        words = [f"f{f}w{k}" for k in range(120)]
+        for i in range(14):
+            words[rng.randrange(120)] = f"f{f}n{i}"
+            texts.append(" ".join(words))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame).collect()} == components_of(list(enumerate(texts)))
+
+
 def test_jaccard_families_blocks_and_combinations(spark, monkeypatch):
     """Every key above two classes makes a family, and families have several blocks."""
     monkeypatch.setattr(jaccard, "LEAST_BOUND", 2)

@@ -8,11 +8,12 @@ token, and those of length n - need + 2 share two.  So:
 2. Prefixes are indexed: rare tokens as single keys; frequent ones, from the prefix extended by one, as pairs of
    tokens.  Two similar sets whose first shared token is rare meet under it; otherwise their first two shared
    tokens are frequent, and they meet under that pair.
-3. Under a key of at most ``bound`` classes, each pair that sizes and places allow is a candidate.  Under a larger
-   key no pair is formed: its classes, as far as their sizes chain, become one family.
+3. Under a key of at most ``bound`` classes, each pair that sizes and places allow is a candidate, unless both sets
+   have the same token just before: then they met under that one already.  Under a larger key no pair is formed: its
+   classes, as far as their sizes chain, become one family.
 4. Of the candidates that are not of one family, those go whose parity bitmaps differ in more places than their
    sets may: a token changes one bit, so the bitmaps never differ in more places than the sets.  The others are
-   verified by the exact sizes of intersections.
+   verified by the exact sizes of intersections: first one for each class, then those between different components.
 5. A family is cut into blocks of bounded size, and whole sets meet block by block: first each block within
    itself, then, where a family has several blocks, those pairs of blocks that can still hold a link between
    different components.  Within a task, sizes of intersections are products of 0/1 matrices, and only a
@@ -43,8 +44,8 @@ MOST_FREQUENT = 1_000_000
 LEAST_FREQUENT = 16
 LEAST_BOUND = 128
 COMBINED_UP_TO = 200
-BLOCK_CLASSES = 256
-BLOCK_TOKENS = 400_000
+BLOCK_CLASSES = 1024
+BLOCK_TOKENS = 1_600_000
 BROADCAST_IDS = 2_000_000
 MATRIX_TOKENS = 4096
 BITMAP_BITS = 1024
@@ -172,10 +173,12 @@ class Frequent:
         return np.where(self.tokens[at] == tokens, self.place[at], -1)
 
 
-def keys_of(sets: list[np.ndarray], frequent: Frequent, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, index of the set, left) of all sets.
+def keys_of(sets: list[np.ndarray], frequent: Frequent, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, index of the set, left, before) of all sets.
 
     left: the largest overlap a set can have with one whose first shared tokens in the order are this key's.
+    before: the token that stands before the key's (before the second of a pair, or before the first where the two
+    are neighbours), 0 if there is none.  Two sets that share a key and what is before it share the earlier key, too.
     Sets of up to ``COMBINED_UP_TO`` tokens use pairs of frequent tokens; sets from ``percent`` of that on use
     single ones as well, so that two similar sets always have one kind in common, and long sets never need all
     pairs.
@@ -190,7 +193,11 @@ def keys_of(sets: list[np.ndarray], frequent: Frequent, percent: int) -> tuple[n
     at = upto[:-1] - np.repeat(upto[first], n)  # a rare token's place within its set
     length = n - needed(n, percent) + 1
     pick = rare & (at < np.repeat(length, n))
-    keys, owners, lefts = [splitmix(flat[pick])], [owner[pick]], [np.repeat(n, n)[pick] - at[pick]]
+    earlier = np.zeros(len(flat), U64)
+    where = np.flatnonzero(rare)
+    earlier[where[1:]] = flat[where[:-1]]
+    earlier[at == 0] = 0
+    keys, owners, lefts, befores = [splitmix(flat[pick])], [owner[pick]], [np.repeat(n, n)[pick] - at[pick]], [earlier[pick]]
     for i in np.flatnonzero((n_rare < length + 1) & (n_rare < n)).tolist():
         s, p, m = sets[i], place[first[i] : first[i] + n[i]], int(n[i])
         inside, before = int(min(m, length[i] + 1)), int(n_rare[i])
@@ -200,12 +207,14 @@ def keys_of(sets: list[np.ndarray], frequent: Frequent, percent: int) -> tuple[n
             keys.append(splitmix(alone))
             lefts.append(m - before - np.arange(len(alone)))
             owners.append(np.full(len(alone), i))
+            befores.append(np.concatenate((np.zeros(1, U64), alone))[: len(alone)])
         if m <= COMBINED_UP_TO and len(often) > 1:
             a, b = np.triu_indices(len(often), 1)
             keys.append(splitmix(splitmix(often[a]) + splitmix(often[b] ^ U64(0x5BD1E995)) * U64(3)))
             lefts.append(m - before - b + 1)
             owners.append(np.full(len(a), i))
-    return np.concatenate(keys), np.concatenate(owners), np.concatenate(lefts)
+            befores.append(np.concatenate((np.zeros(1, U64), often))[np.where(b - 1 > a, b, a)])
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(lefts), np.concatenate(befores)
 
 
 def chains(key: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
@@ -216,13 +225,13 @@ def chains(key: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def index(src: DataFrame, words: int, percent: int, frequent: Frequent, clashing: set[int], bound: int) -> DataFrame:
-    """Rows (kind, key, cls, n, left): kind 0 a class under a key, 1 the same under a key known to be large, 2 an edge (key, cls) of a family.
+    """Rows (kind, key, cls, n, left, before): kind 0 a class under a key, 1 the same under a key known to be large, 2 an edge (key, cls) of a family.
 
     Within a stretch of rows, the classes of a key with more than ``bound`` of them form families at once, and
     of each run of sizes only so many go on that any other class that could link into it can link to one of
     them.  So a key sends few rows from a task, however many documents hold it.
     """
-    names = ["kind", "key", "cls", "n", "left"]
+    names = ["kind", "key", "cls", "n", "left", "before"]
 
     def run(batches):
         own = Names(clashing)
@@ -230,11 +239,11 @@ def index(src: DataFrame, words: int, percent: int, frequent: Frequent, clashing
             named = {own.of(s): s for s in sets if len(s) > 1}
             if not named:
                 continue
-            key, at, left = keys_of(list(named.values()), frequent, percent)
+            key, at, left, before = keys_of(list(named.values()), frequent, percent)
             cls = np.fromiter(named, np.int64, len(named))[at]
             n = np.array([len(s) for s in named.values()], np.int32)[at]
             order = np.lexsort((n, key))
-            key, cls, n, left = signed(key[order]), cls[order], n[order], left[order].astype(np.int32)
+            key, cls, n, left, before = signed(key[order]), cls[order], n[order], left[order].astype(np.int32), signed(before[order])
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(start, len(key)))
             kind = np.repeat((size > bound).astype(np.int32), size)
@@ -252,15 +261,15 @@ def index(src: DataFrame, words: int, percent: int, frequent: Frequent, clashing
                 edge = (kind == 1) & (hub != cls)
                 pairs = np.unique(np.stack((hub[edge], cls[edge]), 1), axis=0)
                 zero = np.zeros(len(pairs), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(zero + 2), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(zero), pa.array(zero)], names=names)
-                kind, key, cls, n, left = (x[sent] for x in (kind, key, cls, n, left))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, key, cls, n, left)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(zero + 2), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(zero), pa.array(zero), pa.array(zero.astype(np.int64))], names=names)
+                kind, key, cls, n, left, before = (x[sent] for x in (kind, key, cls, n, left, before))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, key, cls, n, left, before)], names=names)
 
-    return map_arrow(src, run, "kind int, key long, cls long, n int, left int")
+    return map_arrow(src, run, "kind int, key long, cls long, n int, left int, before long")
 
 
-def _pairs_in_runs(start: np.ndarray, size: np.ndarray, cls: np.ndarray, n: np.ndarray, left: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (a < b) within runs of rows that sizes and ``left`` allow, some runs at a time."""
+def _pairs_in_runs(start: np.ndarray, size: np.ndarray, cls: np.ndarray, n: np.ndarray, left: np.ndarray, before: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b) within runs of rows that sizes and ``left`` allow and that no earlier key has, some runs at a time."""
     for m in np.unique(size[size > 1]).tolist():
         i, j = np.triu_indices(m, 1)
         runs = start[size == m]
@@ -271,6 +280,7 @@ def _pairs_in_runs(start: np.ndarray, size: np.ndarray, cls: np.ndarray, n: np.n
             nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
             ok = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
             ok &= (100 + percent) * np.minimum(left[x], left[y]).astype(np.int64) >= percent * (nx + ny)
+            ok &= (before[x] != before[y]) | (before[x] == 0)
             x, y = cls[x[ok]], cls[y[ok]]
             yield np.minimum(x, y), np.maximum(x, y)
 
@@ -278,17 +288,17 @@ def _pairs_in_runs(start: np.ndarray, size: np.ndarray, cls: np.ndarray, n: np.n
 def meet(rows: DataFrame, bound: int, percent: int) -> DataFrame:
     """(family, a, b): edges of families (1) and candidate pairs (0), each once a task at least.  Keys stream by in order; one is held at a time."""
 
-    def found(key, cls, n, left, kind) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def found(key, cls, n, left, before, kind) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         order = np.lexsort((cls, n, key))
-        key, cls, n, left, kind = (x[order] for x in (key, cls, n, left, kind))
+        key, cls, n, left, before, kind = (x[order] for x in (key, cls, n, left, before, kind))
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
         kind = np.maximum.reduceat(kind, np.flatnonzero(fresh))
-        key, cls, n, left = (x[fresh] for x in (key, cls, n, left))
+        key, cls, n, left, before = (x[fresh] for x in (key, cls, n, left, before))
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(start, len(key)))
         large = (size > bound) | (np.maximum.reduceat(kind, start) > 0)
-        for a, b in _pairs_in_runs(start[~large], size[~large], cls, n, left, percent):
+        for a, b in _pairs_in_runs(start[~large], size[~large], cls, n, left, before, percent):
             yield 0, a, b
         if large.any():
             inside = np.repeat(large, size)
@@ -315,13 +325,13 @@ def meet(rows: DataFrame, bound: int, percent: int) -> DataFrame:
                     yield len(a)
 
         for batch in batches:
-            kind, key, cls, n, left = (batch.column(k).to_numpy() for k in range(5))
+            kind, key, cls, n, left, before = (batch.column(k).to_numpy() for k in range(6))
             edge = kind == 2
             if edge.any():
                 out[1].append(np.stack((key[edge], cls[edge]), 1))
                 n_out += int(edge.sum())
-                kind, key, cls, n, left = (x[~edge] for x in (kind, key, cls, n, left))
-            now = [key, cls, n, left, kind]
+                kind, key, cls, n, left, before = (x[~edge] for x in (kind, key, cls, n, left, before))
+            now = [key, cls, n, left, before, kind]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             if not len(now[0]):
@@ -394,6 +404,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.filter(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
 
 
+def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one component of ``roots`` (node, root) already."""
+    one, two = (_bounded(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))) for x in ("a", "b"))
+    return pairs.join(one, "a", "left").join(two, "b", "left").filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+
+
 def overlaps(sets: list[np.ndarray], cut: int) -> np.ndarray:
     """Sizes of intersections: of all sets with all (cut = 0), or of the first ``cut`` with the others."""
     n = [len(s) for s in sets]
@@ -548,8 +564,14 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).union(members.select("cls")).distinct()
     sets = materialize(sets_of(wanted, src, reps, words, clashing), "sets")
     inside = within(members.select("cls", "family", "block"), sets, percent)
-    links = materialize(verify(pairs, sets, percent).union(inside).distinct(), "links")
+    # a copy of a passage meets every other one, so links to the smallest partner join most; the rest is checked across components
+    first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    links = materialize(verify(first, sets, percent).union(inside).distinct(), "links")
     roots = materialize(components(links), "roots")
+    rest = materialize(across(pairs.join(_bounded(first), ["a", "b"], "left_anti"), roots), "rest")
+    if not rest.isEmpty():
+        links = materialize(links.union(verify(rest, sets, percent)).distinct(), "links")
+        roots = materialize(components(links), "roots")
     several = members.filter("blocks > 1").select("cls", "family", "n")
     if not several.isEmpty():
         more = materialize(between(several, roots, sets, percent), "more")
