@@ -161,3 +161,13 @@ def test_sources_and_sinks(spark, tmp_path):
     ranked = spark.createDataFrame([("p", "a", 1), ("p", "b", 2)], "program string, gene string, rank int")
     writers.gene_sets(ranked, "made", str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()[0] == "p\tmade\ta\tb"
+
+
+def test_boxes_of_equal_corners_meet_as_one_and_are_dealt(spark):
+    """Many boxes of one place in a single partition: all pairs, null ids too, from several tasks."""
+    rows = [(i if i else None, float(i % 3) * 7, 10.0 * (i % 2), float(i % 3) * 7 + 1.5, 10.0 * (i % 2) + 1.5) for i in range(60)]
+    boxes = spark.createDataFrame(rows, "box_id long, x0 double, y0 double, x1 double, y1 double").coalesce(1)
+    found = S.boxes_over_squares(boxes, boxes.withColumnRenamed("box_id", "square_id"), 5.0)
+    want = sorted((str(a[0]), str(b[0])) for a in rows for b in rows if a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4])
+    assert sorted((str(r.box_id), str(r.square_id)) for r in found.collect()) == want
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

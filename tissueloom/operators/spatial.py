@@ -26,16 +26,21 @@ def bin_types(points: DataFrame, width: float, types: list[str]) -> DataFrame:
 def boxes_over_squares(boxes: DataFrame, squares: DataFrame, cell: float) -> DataFrame:
     """(box_id, square_id): boxes (x0, y0, x1, y1) that meet squares of the same form, by a grid of cells.
 
-    Each side goes to the cells it covers; a pair that shares several is reported once, in the first.
+    Each side goes to the cells it covers; a pair that shares several is reported once, in the first.  Boxes of equal
+    corners meet as one, with a list of their ids.  The cells are dealt over a fixed number of partitions: the input may
+    be one small file and the result many times its size.
     """
+    parts = 8 * boxes.sparkSession.sparkContext.defaultParallelism
 
     def dealt(df: DataFrame, prefix: str, ident: str) -> DataFrame:
         cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-        return df.withColumn("gx", cells("x0", "x1")).withColumn("gy", cells("y0", "y1")).select("gx", "gy", F.col(ident), *[F.col(c).alias(prefix + c) for c in ("x0", "y0", "x1", "y1")])
+        whole = df.groupBy("x0", "y0", "x1", "y1").agg(F.collect_list(F.struct(ident)).alias(ident))  # a struct keeps null ids
+        return whole.withColumn("gx", cells("x0", "x1")).withColumn("gy", cells("y0", "y1")).select("gx", "gy", F.col(ident), *[F.col(c).alias(prefix + c) for c in ("x0", "y0", "x1", "y1")]).repartition(parts, "gx", "gy")
 
     both = dealt(boxes, "a", "box_id").join(dealt(squares, "b", "square_id"), ["gx", "gy"])
     both = both.filter("ax0 <= bx1 AND bx0 <= ax1 AND ay0 <= by1 AND by0 <= ay1")
-    return both.filter((F.col("gx") == F.floor(F.greatest("ax0", "bx0") / cell)) & (F.col("gy") == F.floor(F.greatest("ay0", "by0") / cell))).select("box_id", "square_id")
+    both = both.filter((F.col("gx") == F.floor(F.greatest("ax0", "bx0") / cell)) & (F.col("gy") == F.floor(F.greatest("ay0", "by0") / cell)))
+    return both.select(F.explode("box_id").alias("b"), "square_id").select("b.box_id", F.explode("square_id").alias("s")).select("box_id", "s.square_id")
 
 
 def shares(df: DataFrame, column: str) -> DataFrame:
