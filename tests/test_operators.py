@@ -171,3 +171,21 @@ def test_boxes_of_equal_corners_meet_as_one_and_are_dealt(spark):
     want = sorted((str(a[0]), str(b[0])) for a in rows for b in rows if a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4])
     assert sorted((str(r.box_id), str(r.square_id)) for r in found.collect()) == want
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_factorisation_in_one_task_equals_that_over_many(spark, monkeypatch):
+    """Where the spots fit a task, few jobs run however many steps; the result is that of a job for each step."""
+    draw = np.random.default_rng(7)
+    rows = [(f"s{j:02}", f"g{i}", float(x)) for i, line in enumerate(draw.poisson(2.0, (6, 70)) + 1) for j, x in enumerate(line)]
+    frame = spark.createDataFrame(rows, "spot string, gene string, count double")
+    s = otnmf.Settings(k=2, inner=25, outer=2)
+    spark.sparkContext.setJobGroup("lone", "")
+    usage, spectra, losses = otnmf.factorise(frame, s)
+    usage = {(r.spot, r.program): r.usage for r in usage.collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("lone"))
+    spark.sparkContext.setJobGroup("many", "")
+    monkeypatch.setattr(otnmf, "CELLS", 100)
+    many, other, noted = otnmf.factorise(frame, s)
+    assert jobs < 30 and losses == pytest.approx(noted, abs=1e-9)
+    assert usage == pytest.approx({(r.spot, r.program): r.usage for r in many.collect()}, abs=1e-7)
+    assert {(r.gene, r.program): r.weight for r in spectra.collect()} == pytest.approx({(r.gene, r.program): r.weight for r in other.collect()}, abs=1e-7)
