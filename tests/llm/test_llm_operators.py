@@ -106,6 +106,36 @@ def test_jaccard_rest_of_pairs_across_components(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame).collect()} == components_of(list(enumerate(texts)))
 
 
+def test_written_steps_leave_no_shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    frame = spark.range(1000).selectExpr("id % 10 AS k", "id")
+    out = common.materialize(frame.groupBy("k").count().join(frame, "k").repartition(3, "id"), "step")
+    assert files() <= before
+    assert out.count() == 1000
+
+
+def test_jaccard_pairs_and_blocks_in_parts(spark, monkeypatch):
+    """With parts of a few pairs, candidates, links and blocks come in several parts, and nothing is lost."""
+    monkeypatch.setattr(jaccard, "PART_PAIRS", 3)
+    monkeypatch.setattr(jaccard, "LEAST_BOUND", 4)
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 6)
+    names, keep = Counter(), jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: names.update([name]) or keep(df, name))
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [passage + " " + " ".join(f"q{rng.randrange(30)}" for _ in range(12)) for _ in range(24)]
+    for f in range(5):
+        words = [f"f{f}w{k}" for k in range(100)]
+        for i in range(4):
+            words[rng.randrange(100)] = f"f{f}n{i}"
+            texts.append(" ".join(words))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame).collect()} == components_of(list(enumerate(texts)))
+    assert names["verified"] > 1 and names["across-blocks"] > 1
+
+
 def test_jaccard_families_blocks_and_combinations(spark, monkeypatch):
     """Every key above two classes makes a family, and families have several blocks."""
     monkeypatch.setattr(jaccard, "LEAST_BOUND", 2)

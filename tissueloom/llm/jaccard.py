@@ -19,6 +19,9 @@ token, and those of length n - need + 2 share two.  So:
    different components.  Within a task, sizes of intersections are products of 0/1 matrices, and only a
    spanning forest of the links leaves it, so no task emits more rows than it has read sets.
 
+Candidates and pairs of blocks are worked off in parts of bounded size, each written before the next, and shuffle files
+go with each write: a growing number of candidates costs time, but not disk for all of their sets at once.
+
 Only components are returned, so links inside one need no verification; every pair of classes that shares a
 key is verified, meets in a block, or is in one component already.
 ``bound`` is at least ``LEAST_BOUND`` and grows with the rows, which bounds the frequent tokens at a million.
@@ -27,6 +30,7 @@ key is verified, meets in a block, or is in one component already.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +52,8 @@ BLOCK_CLASSES = 1024
 BLOCK_TOKENS = 1_600_000
 BROADCAST_IDS = 2_000_000
 MATRIX_TOKENS = 4096
+#: Pairs of classes whose sets move at a time: this or a quarter of the number of classes.
+PART_PAIRS = 250_000
 BITMAP_BITS = 1024
 
 
@@ -352,6 +358,13 @@ def meet(rows: DataFrame, bound: int, percent: int) -> DataFrame:
     return map_arrow(dealt, run, "family int, a long, b long")
 
 
+def in_parts(rows: DataFrame, most: int, step, name: str) -> DataFrame:
+    """``step`` of the rows, about ``most`` of them at a time; each part is written before the next begins."""
+    parts = max(1, -(-rows.count() // most))
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
+    return reduce(DataFrame.union, [materialize(step(rows if parts == 1 else rows.filter(part == k)), name) for k in range(parts)])
+
+
 def class_sets(src: DataFrame, words: int, clashing: set[int]) -> DataFrame:
     """(cls, n, tokens) of each row."""
 
@@ -492,7 +505,7 @@ def grouped(rows: DataFrame, by: list[str], function) -> DataFrame:
     return rows.groupBy(*by).applyInArrow(run, "a long, b long")
 
 
-def between(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def between(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
     """Links between components of one family; members: (cls, family, n) of families of several blocks.
 
     Classes of a large component fill blocks of their own, others share blocks, and a block holds sizes of one
@@ -513,8 +526,10 @@ def between(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int)
     reach = (100 * F.col("x.high") >= percent * F.col("y.low")) & (100 * F.col("y.high") >= percent * F.col("x.low"))
     cells = one.join(two, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block")) & apart & reach)
     cells = materialize(cells.select(F.col("x.block").alias("one"), F.col("y.block").alias("two")), "cells")
-    sides = cells.select(F.col("one").alias("block"), "one", "two").union(cells.filter("one <> two").select(F.col("two").alias("block"), "one", "two"))
-    placed = sets.join(_bounded(rows.select("cls", "block")), "cls").join(_bounded(sides), "block").select("one", "two", (F.col("block") == F.col("two")).cast("int").alias("side"), "cls", "tokens")
+
+    def placed(cells: DataFrame) -> DataFrame:
+        sides = cells.select(F.col("one").alias("block"), "one", "two").union(cells.filter("one <> two").select(F.col("two").alias("block"), "one", "two"))
+        return sets.join(_bounded(rows.select("cls", "block")), "cls").join(_bounded(sides), "block").select("one", "two", (F.col("block") == F.col("two")).cast("int").alias("side"), "cls", "tokens")
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
@@ -523,7 +538,7 @@ def between(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int)
         cut = int((side == 0).sum())
         return _edges(*linked(cls[order], [own[i] for i in order], percent, cut if cut < len(side) else 0))
 
-    return grouped(placed, ["one", "two"], run)
+    return in_parts(cells, max(1, most // (2 * BLOCK_CLASSES)), lambda part: grouped(placed(part), ["one", "two"], run), "across-blocks")
 
 
 def families(edges: DataFrame, reps: DataFrame) -> DataFrame:
@@ -556,27 +571,30 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     rows = rows.withColumn("cls", F.when(clash, mixed("one", "two")).otherwise(F.col("one"))).select("doc_id", "t", "n", "cls", "bits")
     one_each = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "bits")).alias("rep")
     reps = materialize(rows.filter("n > 1").groupBy("cls").agg(one_each, F.min("n").cast("int").alias("n")), "reps")
+    most = max(PART_PAIRS, reps.count() // 4)
     met = materialize(meet(index(src, words, percent, frequent, clashing, bound), bound, percent).distinct(), "met")
     members = families(met.filter("family = 1").select("a", "b"), reps)
     one, two = (members.select(F.col("cls").alias(x), F.col("family").alias(f"f{x}")) for x in ("a", "b"))
     pairs = met.filter("family = 0").select("a", "b").join(_bounded(one), "a", "left").join(_bounded(two), "b", "left")
-    pairs = materialize(plausible(pairs.filter("NOT coalesce(fa = fb, false)").select("a", "b"), reps, percent), "pairs")
+    apart = materialize(pairs.filter("NOT coalesce(fa = fb, false)").select("a", "b"), "apart")
+    pairs = in_parts(apart, 4 * most, lambda part: plausible(part, reps, percent), "pairs")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).union(members.select("cls")).distinct()
     sets = materialize(sets_of(wanted, src, reps, words, clashing), "sets")
     inside = within(members.select("cls", "family", "block"), sets, percent)
     # a copy of a passage meets every other one, so links to the smallest partner join most; the rest is checked across components
     first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    links = materialize(verify(first, sets, percent).union(inside).distinct(), "links")
+    links = in_parts(first, most, lambda part: verify(part, sets, percent), "verified")
+    links = materialize(links.union(inside).distinct(), "links")
     roots = materialize(components(links), "roots")
     rest = materialize(across(pairs.join(_bounded(first), ["a", "b"], "left_anti"), roots), "rest")
     if not rest.isEmpty():
-        links = materialize(links.union(verify(rest, sets, percent)).distinct(), "links")
+        links = materialize(links.union(in_parts(rest, most, lambda part: verify(part, sets, percent), "verified")).distinct(), "links")
         roots = materialize(components(links), "roots")
     several = members.filter("blocks > 1").select("cls", "family", "n")
     if not several.isEmpty():
-        more = materialize(between(several, roots, sets, percent), "more")
+        more = materialize(between(several, roots, sets, percent, most), "more")
         roots = materialize(components(links.union(more)), "roots")
-    discard(met, pairs, sets)
+    discard(met, apart, sets)
     named = _bounded(roots.select(F.col("node").alias("cls"), "root"))
     return rows.join(named, "cls", "left").select("doc_id", "t", "n", F.coalesce("root", "cls").alias("root"))
 
