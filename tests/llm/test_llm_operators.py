@@ -336,6 +336,40 @@ def test_token_counts_match_library(docs, texts):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((texts[r.doc_id] or "").encode()), n, n > 2048)
 
 
+def test_hashed_units_survive_slots_and_trims(monkeypatch):
+    """Keys of one slot are told apart, also by the second hash, and ids stay right while the table is trimmed and grows."""
+    table = pretokens.Hashes(16)
+    one = np.array([5 + 16 * k for k in range(40)] + [5], np.uint64)
+    two = np.array([0] * 40 + [9], np.uint64)
+    for k in range(0, 41, 7):
+        table.add(one[k : k + 7], two[k : k + 7], np.arange(k, min(k + 7, 41)))
+    assert table.find(one, two).tolist() == list(range(41)) and table.find(one[:3], two[:3] + np.uint64(1)).tolist() == [-1] * 3
+    monkeypatch.setattr(pretokens, "LIMIT", 20)
+    coder = pretokens.word_coder(pretokens.tokenizer_text(None, "word_bpe_49k.json"))
+    rng = random.Random(2)
+    for _ in range(12):
+        texts = [" ".join(rng.choice(["the", "of", "Été", "x1"]) if rng.random() < 0.7 else str(rng.randrange(10**6)) for _ in range(30)) for _ in range(4)] + [None, "a <|endoftext|> b", "the of"]
+        ids, sizes = coder.ids(texts)
+        want = [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+    assert coder.hits.n < 12 * 40
+
+
+def test_grammar_rounds_look_only_where_pairs_can_be_frequent(monkeypatch):
+    """Once rare pairs are known, later rounds hash far fewer places than there are symbols."""
+    looked, keep = [], np.bincount
+    monkeypatch.setattr(grammar.np, "bincount", lambda x, **more: (looked.append(len(x)) if more.get("minlength", 0) >= 1024 else None) or keep(x, **more))
+    rng = np.random.default_rng(5)
+    s = np.where(rng.random(60_000) < 0.1, rng.integers(0, 3, 60_000), rng.integers(3, 5000, 60_000))
+    s[1000:3000] = np.tile([7, 8, 9, 10, 11, 12, 13, 14], 250)
+    rules, seq = grammar.compress(s, 5001, least=24)
+    assert len(rules) >= 4 and len(looked) > 3 and max(looked[1:]) < 30_000
+    out = seq.tolist()
+    for k in range(len(rules) - 1, -1, -1):
+        out = [y for x in out for y in (rules[k].tolist() if x == 5001 + k else [x])]
+    assert out == s.tolist()
+
+
 def test_grammar_files(spark, docs, texts, tmp_path):
     t = pretokens.open_tokenizer(pretokens.tokenizer_text(None, "word_bpe_49k.json"))
     unique = docs.dropDuplicates(["doc_id"])

@@ -40,27 +40,39 @@ _BITS = 20
 def compress(symbols: np.ndarray, terminals: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """Rules (n x 2) and the remaining symbols; symbol ``terminals - 1`` is never paired.
 
-    Pairs are counted by hash buckets first; once these show nothing more, exactly.
+    Pairs are counted by hash buckets first; once these show nothing more, exactly.  A pair seen less than ``least``
+    times can only be rarer later, so a place is looked at again only once a new symbol stands there.
     """
     seq = symbols.astype(np.int64)
     rules = np.zeros((0, 2), np.int64)
     exact = False
+    live = np.ones(len(seq), bool)
     while len(seq) > 1:
-        code = seq[:-1] << 32
-        code |= seq[1:]
-        bucket = ((code * -7046029254386353131) >> (64 - _BITS)) & ((1 << _BITS) - 1)
-        end = seq == terminals - 1
-        bucket[end[:-1] | end[1:]] = 1 << _BITS
-        counts = np.bincount(bucket, minlength=(1 << _BITS) + 1)
-        counts[-1] = 0
-        heavy = np.flatnonzero(counts >= max(least, int(np.partition(counts, -2 * RULES_A_ROUND)[-2 * RULES_A_ROUND])))
+        live[-1] = False
+        at = np.flatnonzero(live)
+        left, right = seq[at], seq[at + 1]
+        inside = (left != terminals - 1) & (right != terminals - 1)
+        if not inside.all():
+            live[at[~inside]] = False
+            at, left, right = at[inside], left[inside], right[inside]
+        code = left << 32
+        code |= right
+        bits = min(_BITS, max(10, len(at).bit_length()))
+        bucket = ((code * -7046029254386353131) >> (64 - bits)) & ((1 << bits) - 1)
+        counts = np.bincount(bucket, minlength=1 << bits)
+        often = counts >= least
+        mine = often[bucket]
+        live[at[~mine]] = False
+        heavy = np.flatnonzero(often)
+        if len(heavy) > 2 * RULES_A_ROUND:
+            heavy = heavy[counts[heavy] >= np.partition(counts[heavy], -2 * RULES_A_ROUND)[-2 * RULES_A_ROUND]]
         rank = np.full(len(counts), -1, np.int32)
         rank[heavy] = np.arange(len(heavy))
         place = rank[bucket]
-        at = np.flatnonzero(place >= 0)
-        if not len(at):
+        among = np.flatnonzero(place >= 0)
+        if not len(among):
             break
-        place, found = place[at], code[at]
+        at, place, found = at[among], place[among], code[among]
         if exact:
             own, place, n = np.unique(found, return_inverse=True, return_counts=True)
             same = np.ones(len(found), bool)
@@ -102,9 +114,11 @@ def compress(symbols: np.ndarray, terminals: int, least: int = LEAST_COUNT) -> t
         pairs = np.array(taken, np.int64)
         rules = np.concatenate((rules, np.stack((pairs >> 32, pairs & 0xFFFFFFFF), 1)))
         seq[at] = new
+        live[at] = True
+        live[at[at > 0] - 1] = True
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
+        seq, live = seq[keep], live[keep]
     return rules, seq
 
 

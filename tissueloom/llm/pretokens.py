@@ -21,6 +21,8 @@ from .common import Block, kept_by_worker, span_hash, splitmix, U64
 LIMIT = 500_000
 #: Distinct pre-tokens are only needed for units met for the first time.
 CODE_LIMIT = 200_000
+#: Units known by hashes take less room than strings: so many times ``LIMIT`` of them.
+HASHED_TIMES = 3
 OFTEN = 4
 BYTE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -51,6 +53,42 @@ class Grown:
         self.n = need
 
 
+class Hashes:
+    """Places of keys of two 64-bit hashes, found for many keys at once: open addressing, at most half full."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.n, self.at = 0, np.full(slots, -1, np.int32)
+        self.one, self.two = np.zeros(slots, U64), np.zeros(slots, U64)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where there is none."""
+        out = np.full(len(one), -1, np.int64)
+        live, slot = np.arange(len(one)), (one & U64(len(self.at) - 1)).astype(np.int64)
+        while len(live):
+            at = self.at[slot]
+            same = (at >= 0) & (self.one[slot] == one[live]) & (self.two[slot] == two[live])
+            out[live[same]] = at[same]
+            on = (at >= 0) & ~same
+            live, slot = live[on], slot[on] + 1 & len(self.at) - 1
+        return out
+
+    def add(self, one: np.ndarray, two: np.ndarray, places: np.ndarray) -> None:
+        """Distinct keys that are not there yet."""
+        if 2 * (self.n + len(one)) > len(self.at):
+            used = self.at >= 0
+            held = self.one[used], self.two[used], self.at[used]
+            self.__init__(1 << (4 * (self.n + len(one))).bit_length())
+            self.add(*held)
+        self.n += len(one)
+        live, slot = np.arange(len(one)), (one & U64(len(self.at) - 1)).astype(np.int64)
+        while len(live):
+            free = self.at[slot] < 0
+            self.at[slot[free]] = places[live[free]]  # of several keys for one slot the last has it
+            won = free & (self.at[slot] == places[live])
+            self.one[slot[won]], self.two[slot[won]] = one[live[won]], two[live[won]]
+            live, slot = live[~won], slot[~won] + 1 & len(self.at) - 1
+
+
 def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices starts[i] .. starts[i] + sizes[i] - 1, one run after another."""
     total = int(sizes.sum())
@@ -79,6 +117,7 @@ class Coder:
 
     def clear(self) -> None:
         self.unit: dict = {}
+        self.by_hash = Hashes()
         self.unit_start, self.unit_size, self.unit_flat, self.hits = Grown(np.int64), Grown(np.int64), Grown(np.uint32), Grown(np.int64)
         self.clear_codes()
 
@@ -94,12 +133,19 @@ class Coder:
         """Keep the units met ``OFTEN`` times, at most half of the limit; their ids stand by themselves, so codes can all go."""
         hits = self.hits.data[: self.hits.n]
         keep = np.flatnonzero(hits >= OFTEN)
-        if 2 * len(keep) > LIMIT:
-            keep = np.sort(keep[np.argsort(-hits[keep], kind="stable")[: LIMIT // 2]])
-        names, sizes = list(self.unit), self.unit_size.data[keep]
+        most = LIMIT if self.keep_space else HASHED_TIMES * LIMIT
+        if 2 * len(keep) > most:
+            keep = np.sort(keep[np.argsort(-hits[keep], kind="stable")[: most // 2]])
+        now = np.full(len(hits), -1, np.int64)
+        now[keep] = np.arange(len(keep))
+        names, sizes = [(u, now[i]) for u, i in self.unit.items() if now[i] >= 0], self.unit_size.data[keep]
+        used = np.flatnonzero(self.by_hash.at >= 0)
+        used = used[now[self.by_hash.at[used]] >= 0]
+        hashed = self.by_hash.one[used], self.by_hash.two[used], now[self.by_hash.at[used]]
         flat = self.unit_flat.data[gather(self.unit_start.data[keep], sizes)] if self.keep_ids else np.zeros(0, np.uint32)
         self.clear()
-        self.unit = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.unit = {u: int(k) for u, k in names}
+        self.by_hash.add(*hashed)
         self.unit_start.add(np.cumsum(sizes) - sizes)
         self.unit_size.add(sizes)
         self.unit_flat.add(flat)
@@ -165,16 +211,19 @@ class Coder:
             joined = unicodedata.normalize("NFC", self.mark.join(units)).replace("Σ", "σ").lower()
         return [*self.marked.findall(joined), self.mark]
 
-    def learn(self, units: list, names: list) -> None:
-        """Units met for the first time; ``names`` are what they are known by."""
+    def learn(self, units: list) -> np.ndarray:
+        """The places of units met for the first time."""
+        places = np.zeros(len(units), np.int64)
         plain = [type(u) is str for u in units]
         for kind in (False, True):
             at = [i for i, p in enumerate(plain) if p is kind]
             for k in range(0, len(at), 50_000):
                 part = at[k : k + 50_000]
-                self.add([units[i] for i in part], [names[i] for i in part])
+                places[part] = self.hits.n + np.arange(len(part))
+                self.add([units[i] for i in part])
+        return places
 
-    def add(self, units: list, names: list) -> None:
+    def add(self, units: list) -> None:
         flat = self.cut(units)
         if len(self.code) > CODE_LIMIT:
             self.clear_codes()
@@ -185,7 +234,6 @@ class Coder:
         ids = self.flat.data[gather(self.start.data[codes], sizes)] if self.keep_ids else np.zeros(0, np.uint32)
         # the mark is code 0 and has no ids
         own = per_text(sizes, np.diff(np.flatnonzero(codes == 0), prepend=-1))
-        self.unit.update(zip(names, range(len(self.unit), len(self.unit) + len(units))))
         self.unit_start.add(self.unit_flat.n + np.cumsum(own) - own)
         self.unit_size.add(own)
         self.unit_flat.add(ids)
@@ -193,7 +241,7 @@ class Coder:
 
     def codes(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The code of each unit of all texts, and how many units each text has."""
-        if len(self.unit) > LIMIT:
+        if self.hits.n > (LIMIT if self.keep_space else HASHED_TIMES * LIMIT):
             self.trim()
         special = [bool(self.special and t and "<" in t and self.on_special.search(t)) for t in texts]
         if self.keep_space:
@@ -212,7 +260,7 @@ class Coder:
                 counts[i] = len(found)
                 all_units += found
         if new := list(set(all_units).difference(self.unit)):
-            self.learn(new, new)
+            self.unit.update(zip(new, self.learn(new).tolist()))
         codes = np.fromiter(map(self.unit.__getitem__, all_units), np.int64, len(all_units))
         self.hits.data[: self.hits.n] += np.bincount(codes, minlength=self.hits.n)
         return codes, counts
@@ -221,20 +269,18 @@ class Coder:
         block = Block([t.encode() if t else None for t in texts])
         one = block.words
         two = splitmix(one ^ U64(0x9FB21C651E98DF25)) ^ span_hash(_STEP[block.data], block.begin, block.end)
-        _, first, back, met = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
-        if not (two[first][back] == two).all():  # two words with one hash
-            _, first, back, met = np.unique(np.stack((one, two), 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
-        names = np.ascontiguousarray(np.stack((one[first], two[first]), 1)).view("V16")[:, 0].tolist()
-        found = [self.unit.get(k, -1) for k in names]
-        if fresh := [i for i, f in enumerate(found) if f < 0]:
-            raw, at = block.data.tobytes(), first[fresh]
-            words = [raw[a:b].decode() for a, b in zip(block.begin[at].tolist(), block.end[at].tolist())]
-            self.learn(words, [names[i] for i in fresh])
-            for i in fresh:
-                found[i] = self.unit[names[i]]
-        units = np.array(found, np.int64)
-        self.hits.data[units] += met
-        return units[back], np.diff(block.first)
+        units = self.by_hash.find(one, two)
+        fresh = np.flatnonzero(units < 0)
+        if len(fresh):
+            order = fresh[np.lexsort((two[fresh], one[fresh]))]
+            new = np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))
+            at = order[new]
+            raw = block.data.tobytes()
+            places = self.learn([raw[a:b].decode() for a, b in zip(block.begin[at].tolist(), block.end[at].tolist())])
+            self.by_hash.add(one[at], two[at], places)
+            units[order] = places[np.cumsum(new) - 1]
+        self.hits.data[: self.hits.n] += np.bincount(units, minlength=self.hits.n)
+        return units, np.diff(block.first)
 
     def ids(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and how many each text has."""
@@ -264,9 +310,10 @@ def library_words(tokenizer) -> Callable[[list[str]], tuple[np.ndarray, np.ndarr
 
     spelled = {b: c for c, b in byte_alphabet().items()}
     model = tokenizer.model
+    plain = all(spelled[b] == chr(b) for b in range(33, 127))
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(spelled))] for w in words]
+        got = [[t.id for t in model.tokenize(w if plain and w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(spelled))] for w in words]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         return sizes, np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
 
