@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tissueloom.llm import bpe, classifier, common, counts, grammar, jaccard, mixing, pii, pretokens, quality, repeats, suffixes, topk
+from tissueloom.llm import bpe, classifier, common, components, counts, grammar, jaccard, mixing, pii, pretokens, quality, repeats, suffixes, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size int, key string, row string, u int, root int"
@@ -93,6 +93,32 @@ def test_jaccard_pairs_meet_once(spark):
         assert len(met) >= 66 and sum(met.values()) < 8 * len(met)
 
 
+def test_components_on_both_paths_and_in_few_tasks(spark, monkeypatch):
+    """A long chain, a star, a tree and loops; small tables take no rounds of shuffles, which filled the driver."""
+    rng = random.Random(8)
+    pairs = [(i, i + 1) for i in range(300)] + [(10_000, 9_000 + i) for i in range(200)] + [(20_000 + i, 20_000 + rng.randrange(i)) for i in range(1, 400)] + [(5, 5), (77_777, 77_777), (-4, 3), (-4, 3)]
+    rng.shuffle(pairs)
+    want = {i: -4 for i in (-4, *range(301))} | {i: 9_000 for i in (10_000, *range(9_000, 9_200))} | {20_000 + i: 20_000 for i in range(400)}
+    edges = common.materialize(spark.createDataFrame(pairs, "a long, b long").repartition(3), "test-edges")
+    context = spark.sparkContext
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        context.setJobGroup("components", "components")
+        got = components.components(edges).collect()
+        track = context.statusTracker()
+        tasks = sum(track.getStageInfo(s).numTasks for j in track.getJobIdsForGroup("components") for s in track.getJobInfo(j).stageIds if track.getStageInfo(s))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(got) == sorted(want.items()) and tasks < 40
+    for most in (0, 50, 600):  # by stars; a task's forest goes out early; one task again
+        monkeypatch.setattr(components, "LOCAL_EDGES", most)
+        assert sorted(components.components(edges).collect()) == sorted(want.items())
+
+
 def test_jaccard_rest_of_pairs_across_components(spark):
     """In a chain where the smallest partner is not always similar, the second round finds the links left."""
     rng = random.Random(5)

@@ -379,7 +379,7 @@ def class_sets(src: DataFrame, words: int, clashing: set[int]) -> DataFrame:
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it is small; otherwise left to a shuffled join."""
+    """Marked for broadcast if it is small; otherwise left to a shuffled join.  Counting must be cheap: tables that need a shuffle are written first."""
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
@@ -412,7 +412,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Sets of b go to their pairs in place, and from there to a, so that each pair moves one set.
     """
     two = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")).join(_bounded(pairs), "b")
-    one = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(_bounded(pairs.select("a").distinct()), "a", "left_semi")
+    one = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(_bounded(materialize(pairs.select("a").distinct(), "first-sets")), "a", "left_semi")
     shared = two.join(one, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("shared"))
     return shared.filter(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
 
@@ -515,10 +515,10 @@ def between(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int,
     rows = rows.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int"))
     rows = materialize(rows, "rooted")
     big = rows.groupBy("family", "root").agg(F.count("*").alias("c")).filter(F.col("c") >= BLOCK_CLASSES // 2).select("family", "root", F.lit(True).alias("big"))
-    rows = rows.join(_bounded(big), ["family", "root"], "left").withColumn("own", F.when(F.col("big"), F.col("root")))
+    rows = rows.join(_bounded(materialize(big, "large-roots")), ["family", "root"], "left").withColumn("own", F.when(F.col("big"), F.col("root")))
     sizes = rows.groupBy("family", "own", "step").agg(F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_TOKENS)).alias("k"))
     same = F.col("s.family").eqNullSafe(F.col("r.family")) & F.col("s.own").eqNullSafe(F.col("r.own")) & (F.col("s.step") == F.col("r.step"))
-    rows = rows.alias("r").join(_bounded(sizes).alias("s"), same).select("r.cls", "r.family", "r.own", "r.n", F.xxhash64("r.family", F.col("r.own").isNull(), "r.own", "r.step", F.pmod(F.xxhash64("r.cls"), F.col("s.k"))).alias("block"))
+    rows = rows.alias("r").join(_bounded(materialize(sizes, "sizes")).alias("s"), same).select("r.cls", "r.family", "r.own", "r.n", F.xxhash64("r.family", F.col("r.own").isNull(), "r.own", "r.step", F.pmod(F.xxhash64("r.cls"), F.col("s.k"))).alias("block"))
     rows = materialize(rows, "blocked")
     about = rows.groupBy("family", "own", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     one, two = about.alias("x"), about.alias("y")
@@ -546,7 +546,7 @@ def families(edges: DataFrame, reps: DataFrame) -> DataFrame:
     found = components(edges).select(F.col("node").alias("cls"), F.col("root").alias("family")).join(reps.select("cls", "n"), "cls")
     found = materialize(found, "families")
     sizes = found.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
-    return materialize(found.join(_bounded(sizes), "family").select("cls", "family", "n", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block"), "blocks"), "members")
+    return materialize(found.join(_bounded(materialize(sizes, "sizes")), "family").select("cls", "family", "n", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block"), "blocks"), "members")
 
 
 def _described(src: DataFrame, words: int) -> tuple[DataFrame, Frequent, set[int], int]:
@@ -585,15 +585,15 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     links = in_parts(first, most, lambda part: verify(part, sets, percent), "verified")
     links = materialize(links.union(inside).distinct(), "links")
-    roots = materialize(components(links), "roots")
+    roots = components(links)
     rest = materialize(across(pairs.join(_bounded(first), ["a", "b"], "left_anti"), roots), "rest")
     if not rest.isEmpty():
         links = materialize(links.union(in_parts(rest, most, lambda part: verify(part, sets, percent), "verified")).distinct(), "links")
-        roots = materialize(components(links), "roots")
+        roots = components(links)
     several = members.filter("blocks > 1").select("cls", "family", "n")
     if not several.isEmpty():
         more = materialize(between(several, roots, sets, percent, most), "more")
-        roots = materialize(components(links.union(more)), "roots")
+        roots = components(links.union(more))
     discard(met, apart, sets)
     named = _bounded(roots.select(F.col("node").alias("cls"), "root"))
     return rows.join(named, "cls", "left").select("doc_id", "t", "n", F.coalesce("root", "cls").alias("root"))
