@@ -189,3 +189,29 @@ def test_factorisation_in_one_task_equals_that_over_many(spark, monkeypatch):
     assert jobs < 30 and losses == pytest.approx(noted, abs=1e-9)
     assert usage == pytest.approx({(r.spot, r.program): r.usage for r in many.collect()}, abs=1e-7)
     assert {(r.gene, r.program): r.weight for r in spectra.collect()} == pytest.approx({(r.gene, r.program): r.weight for r in other.collect()}, abs=1e-7)
+
+
+def test_usage_step_stops_each_spot_at_the_tolerance(monkeypatch):
+    """The W half-step ends at the inner tolerance as the H half-step does, spot by spot, at the minimum."""
+    draw = np.random.default_rng(5)
+    a = draw.random((8, 30)) + 0.05
+    a /= a.sum(0)
+    kern, h = otnmf.kernel(a + 1e-6, 0.05), draw.random((8, 3))
+    h /= h.sum(0)
+    s = otnmf.Settings(k=3, inner=1000)
+    stepped = []
+    monkeypatch.setattr(otnmf, "descend", lambda *x, step=otnmf.descend: stepped.append(x[0].shape[1]) or step(*x))
+    g, w = otnmf.usage_step(a, np.zeros_like(a), kern, h, s)
+    assert len(stepped) < s.inner and stepped[-1] < 30
+    alone, own = otnmf.usage_step(a[:, 4:5], np.zeros((8, 1)), kern, h, s)
+    assert g[:, 4:5] == pytest.approx(alone, abs=1e-6) and w[:, 4:5] == pytest.approx(own, abs=1e-6)
+    assert np.abs(otnmf.transport(a, g, kern, s.eps)[1] - h @ w).sum(0).max() < 1e-4
+
+
+def test_steps_of_a_few_tasks_cells_need_no_jobs(spark, monkeypatch):
+    draw = np.random.default_rng(11)
+    rows = [(f"s{j:02}", f"g{i}", float(x)) for i, line in enumerate(draw.poisson(2.0, (6, 70)) + 1) for j, x in enumerate(line)]
+    monkeypatch.setattr(otnmf, "CELLS", 150)
+    spark.sparkContext.setJobGroup("cells", "")
+    usage, _, _ = otnmf.factorise(spark.createDataFrame(rows, "spot string, gene string, count double"), otnmf.Settings(k=2, inner=25, outer=2))
+    assert usage.count() == 140 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("cells")) < 30
