@@ -578,3 +578,22 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
         row = (i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text_of[i].encode()).hexdigest())
         want += [row] * int(n // size)
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_words_of_letters_alone_are_learned_without_the_pattern(monkeypatch):
+    """The pattern cuts only units that hold more than letters; ids are the library's, and a failed encoder leaves no codes behind."""
+    coder = pretokens.word_coder(pretokens.tokenizer_text(None, "word_bpe_49k.json"))
+    texts = ["Plain WORDS ΣΑΣ İstanbul straße été naïve don't x1 a, 漢字 الكتاب ½ ẞ", "Plain é words' \U0001e900 ǅ ﬁne ͅ -- I'll 's", None, ""]
+    cut_units = []
+    monkeypatch.setattr(coder, "cut", lambda units, cut=coder.cut: cut_units.extend(units) or cut(units))
+    with monkeypatch.context() as m:
+        m.setattr(coder, "encode", lambda words: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            coder.ids(["Plain words"])
+    cut_units.clear()
+    for t in texts:  # alone, as letters outside the sure ranges send all units of a call to the library's own path
+        ids, counts = coder.ids([t])
+        assert ids.tolist() == coder.tokenizer.encode(t or "", add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+    ids, _ = coder.ids(["several plain words, and Others"])
+    assert ids.tolist() == coder.tokenizer.encode("several plain words, and Others", add_special_tokens=False).ids
+    assert "several" not in cut_units and "Others" not in cut_units and "words," in cut_units

@@ -43,45 +43,49 @@ def compress(symbols: np.ndarray, terminals: int, least: int = LEAST_COUNT) -> t
     Pairs are counted by hash buckets first; once these show nothing more, exactly.  A pair seen less than ``least``
     times can only be rarer later, so a place is looked at again only once a new symbol stands there.
     """
-    seq = symbols.astype(np.int64)
+    seq = symbols.astype(np.int32)  # half the memory to move; a block has far fewer symbols than fit
     rules = np.zeros((0, 2), np.int64)
     exact = False
     live = np.ones(len(seq), bool)
     while len(seq) > 1:
         live[-1] = False
         at = np.flatnonzero(live)
-        left, right = seq[at], seq[at + 1]
-        inside = (left != terminals - 1) & (right != terminals - 1)
+        left, right = seq.take(at), seq[1:].take(at)
+        inside = left != terminals - 1
+        inside &= right != terminals - 1
         if not inside.all():
             live[at[~inside]] = False
             at, left, right = at[inside], left[inside], right[inside]
-        code = left << 32
-        code |= right
+        halves = np.empty((len(at), 2), np.int32)
+        halves[:, 0], halves[:, 1] = right, left
+        code = halves.view("<i8").ravel()
         bits = min(_BITS, max(10, len(at).bit_length()))
-        bucket = ((code * -7046029254386353131) >> (64 - bits)) & ((1 << bits) - 1)
+        bucket = code.view(np.uint64) * np.uint64(11400714819323198485)
+        bucket >>= np.uint64(64 - bits)
+        bucket = bucket.view(np.int64)
         counts = np.bincount(bucket, minlength=1 << bits)
         often = counts >= least
-        mine = often[bucket]
-        live[at[~mine]] = False
         heavy = np.flatnonzero(often)
         if len(heavy) > 2 * RULES_A_ROUND:
             heavy = heavy[counts[heavy] >= np.partition(counts[heavy], -2 * RULES_A_ROUND)[-2 * RULES_A_ROUND]]
-        rank = np.full(len(counts), -1, np.int32)
+        # the heaviest buckets are at most 2 * RULES_A_ROUND and those that tie with the last
+        rank = np.where(often, -1, -2).astype(np.int16 if len(heavy) < 1 << 15 else np.int32)
         rank[heavy] = np.arange(len(heavy))
-        place = rank[bucket]
+        place = rank.take(bucket)
+        live[at[place == -2]] = False
         among = np.flatnonzero(place >= 0)
         if not len(among):
             break
-        at, place, found = at[among], place[among], code[among]
+        at, place, found = at.take(among), place.take(among).astype(np.int64), code.take(among)
         if exact:
             own, place, n = np.unique(found, return_inverse=True, return_counts=True)
             same = np.ones(len(found), bool)
         else:  # one pair stands for a bucket; another that shares it waits for a later round
             own = np.zeros(len(heavy), np.int64)
             own[place] = found
-            same = own[place] == found
-            n = np.bincount(place[same], minlength=len(heavy))
-        name = np.full(len(own), -1, np.int64)
+            same = own.take(place) == found
+            n = np.bincount(place, minlength=len(heavy)) - np.bincount(place[~same], minlength=len(heavy))
+        name = np.full(len(own), -1, np.int32)
         lefts: set[int] = set()
         rights: set[int] = set()
         taken: list[int] = []
@@ -101,9 +105,9 @@ def compress(symbols: np.ndarray, terminals: int, least: int = LEAST_COUNT) -> t
                 break
             exact = True
             continue
-        new = name[place]
-        hit = same & (new >= 0)
-        at, new = at[hit], new[hit]
+        new = name.take(place)
+        hit = np.flatnonzero(same & (new >= 0))
+        at, new = at.take(hit), new.take(hit)
         # matches at consecutive places come only from pairs of one symbol: take every other of a run
         fresh = np.ones(len(at), bool)
         fresh[1:] = at[1:] != at[:-1] + 1

@@ -11,7 +11,10 @@ that only words met for the first time become strings.
 from __future__ import annotations
 
 import unicodedata
+from codecs import charmap_decode
+from collections import defaultdict
 from collections.abc import Callable, Sequence
+from itertools import compress, islice
 
 import numpy as np
 import regex
@@ -95,7 +98,9 @@ def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     if not total:
         return np.zeros(0, np.int64)
     ends = np.cumsum(sizes)
-    return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
+    out = np.repeat(starts - (ends - sizes), sizes)
+    out += np.arange(total)
+    return out
 
 
 class Coder:
@@ -122,7 +127,8 @@ class Coder:
         self.clear_codes()
 
     def clear_codes(self) -> None:
-        self.code: dict = {}
+        self.code: defaultdict = defaultdict()
+        self.code.default_factory = self.code.__len__  # a pre-token not met before gets the next code
         self.start, self.size, self.flat = Grown(np.int64), Grown(np.int64), Grown(np.uint32)
         self.put([self.mark], np.zeros(1, np.int64), np.zeros(0, np.uint32))
         self.put([("special", s) for s in self.special], np.ones(len(self.special), np.int64), np.array(list(self.special.values()), np.uint32))
@@ -153,6 +159,10 @@ class Coder:
 
     def put(self, words: list, sizes: np.ndarray, ids: np.ndarray) -> None:
         self.code.update(zip(words, range(len(self.code), len(self.code) + len(words))))
+        self.store(sizes, ids)
+
+    def store(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """The ids of the next codes."""
         self.start.add(self.flat.n + np.cumsum(sizes) - sizes)
         self.size.add(sizes)
         self.flat.add(ids)
@@ -216,24 +226,46 @@ class Coder:
         places = np.zeros(len(units), np.int64)
         plain = [type(u) is str for u in units]
         for kind in (False, True):
-            at = [i for i, p in enumerate(plain) if p is kind]
+            at = [i for i, p in enumerate(plain) if p is kind] if not all(p is kind for p in plain) else range(len(units))
             for k in range(0, len(at), 50_000):
-                part = at[k : k + 50_000]
-                places[part] = self.hits.n + np.arange(len(part))
-                self.add([units[i] for i in part])
+                part = np.array(at[k : k + 50_000])
+                some = [units[i] for i in part.tolist()]
+                words = self.lowered(some) if kind and not self.keep_space else None
+                if words:
+                    # letters alone are one pre-token, as the pattern has them
+                    letters = np.fromiter(map(str.isalpha, words), bool, len(words))
+                    places[part[letters]] = self.hits.n + np.arange(letters.sum())
+                    self.add(list(compress(words, letters)), whole=True)
+                    part, some = part[~letters], list(compress(some, ~letters))
+                if some:
+                    places[part] = self.hits.n + np.arange(len(part))
+                    self.add(some)
         return places
 
-    def add(self, units: list) -> None:
-        flat = self.cut(units)
+    def lowered(self, units: list[str]) -> list[str] | None:
+        """Word units as the normalizer leaves them; None if Unicode versions may differ on some."""
+        joined = "\n".join(units)  # no unit has a line break
+        if joined.isascii():
+            return joined.lower().split("\n")
+        return None if _UNSURE.search(joined) else unicodedata.normalize("NFC", joined).replace("Σ", "σ").lower().split("\n")
+
+    def add(self, units: list, whole: bool = False) -> None:
+        """Units at the next places; ``whole`` ones are normal and one pre-token each."""
+        flat = units if whole else self.cut(units)
         if len(self.code) > CODE_LIMIT:
             self.clear_codes()
-        if new := list(set(flat).difference(self.code)):
-            self.put(new, *self.encode(new))
+        known = len(self.code)
         codes = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
+        if fresh := len(self.code) - known:
+            try:
+                self.store(*self.encode(list(islice(reversed(self.code), fresh))[::-1]))
+            except BaseException:
+                self.clear()  # codes without ids must not stay
+                raise
         sizes = self.size.data[codes]
         ids = self.flat.data[gather(self.start.data[codes], sizes)] if self.keep_ids else np.zeros(0, np.uint32)
         # the mark is code 0 and has no ids
-        own = per_text(sizes, np.diff(np.flatnonzero(codes == 0), prepend=-1))
+        own = sizes if whole else per_text(sizes, np.diff(np.flatnonzero(codes == 0), prepend=-1))
         self.unit_start.add(self.unit_flat.n + np.cumsum(own) - own)
         self.unit_size.add(own)
         self.unit_flat.add(ids)
@@ -272,14 +304,19 @@ class Coder:
         units = self.by_hash.find(one, two)
         fresh = np.flatnonzero(units < 0)
         if len(fresh):
-            order = fresh[np.lexsort((two[fresh], one[fresh]))]
-            new = np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))
+            order = fresh[np.argsort(one[fresh])]
+            a, b = one[order], two[order]
+            new = np.concatenate(([True], a[1:] != a[:-1]))
+            if (b[1:] != b[:-1])[~new[1:]].any():  # words that only the second hash tells apart
+                order = fresh[np.lexsort((two[fresh], one[fresh]))]
+                a, b = one[order], two[order]
+                new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
             at = order[new]
             raw = block.data.tobytes()
             places = self.learn([raw[a:b].decode() for a, b in zip(block.begin[at].tolist(), block.end[at].tolist())])
             self.by_hash.add(one[at], two[at], places)
             units[order] = places[np.cumsum(new) - 1]
-        self.hits.data[: self.hits.n] += np.bincount(units, minlength=self.hits.n)
+        np.add.at(self.hits.data, units, 1)
         return units, np.diff(block.first)
 
     def ids(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -309,13 +346,20 @@ def library_words(tokenizer) -> Callable[[list[str]], tuple[np.ndarray, np.ndarr
     from .bpe import byte_alphabet
 
     spelled = {b: c for c, b in byte_alphabet().items()}
-    model = tokenizer.model
-    plain = all(spelled[b] == chr(b) for b in range(33, 127))
+    table = "".join(spelled[b] for b in range(256))
+    tokenize = tokenizer.model.tokenize
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [[t.id for t in model.tokenize(w if plain and w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(spelled))] for w in words]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return sizes, np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
+        # no pre-token holds a line break
+        shown = charmap_decode("\n".join(words).encode(), "strict", table)[0].split(table[10])
+        if len(shown) != len(words):
+            shown = [charmap_decode(w.encode(), "strict", table)[0] for w in words]
+        sizes, ids = [], []
+        for w in shown:
+            got = tokenize(w)  # tokens are objects of the library: kept, they would cost much time of the garbage collector
+            sizes.append(len(got))
+            ids += [t.id for t in got]
+        return np.array(sizes, np.int64), np.array(ids, np.uint32)
 
     return encode
 
